@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import op10_minhash
+from . import op6_toxicity, op7_secrets, op8_packing, op10_minhash
 
 QUERIES = {
+    "op6_toxicity": op6_toxicity.query,
+    "op7_secret_scan": op7_secrets.query,
+    "op8_packing": op8_packing.query,
     "op10_minhash_near_dedup": op10_minhash.query,
 }
 
