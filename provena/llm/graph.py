@@ -78,4 +78,5 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if mark == seen:
             break
     roots = e.groupBy("u").agg(F.min("v").alias("component"))
-    return roots.unionByName(e.select(F.col("v").alias("u"), F.col("v").alias("component")).distinct()).groupBy(F.col("u").alias("id")).agg(F.min("component").alias("component"))
+    out = roots.unionByName(e.select(F.col("v").alias("u"), F.col("v").alias("component")).distinct()).groupBy(F.col("u").alias("id")).agg(F.min("component").alias("component"))
+    return work.save(out, "components")

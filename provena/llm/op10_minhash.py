@@ -10,8 +10,11 @@ Steps, none of which lists all pairs of a group:
 2. equal sets collapse into classes, represented by the smallest id;
 3. bands: in each bucket every member meets the bucket's smallest id, and those links are verified on
    full shingle sets; verified links are grouped;
-4. only buckets that still hold several groups are compared across groups (signature estimate first,
-   then full sets), so no candidate pair of a bucket is lost;
+4. only buckets that still hold several groups are compared across groups, in blocks of bounded size
+   and by an exact bound: two sets differ in at least as many shingles as their parity bitmaps differ
+   in bits, and a similarity of p allows (1 - p) / (1 + p) of their summed sizes. First each document
+   meets the closest member of every other group of its bucket, then all pairs that the bound leaves
+   are verified, so no candidate pair of a bucket is lost;
 5. all verified links are grouped again.
 
 Defined results: null or wordless text has n_shingles 0 and its own component; a null id makes no link
@@ -35,8 +38,8 @@ from .bytes_ import Words, column, list_array, mix, slices, windows
 #: 24 bands of 4 slots: a pair at similarity 0.8 shares no bucket with probability 3e-6.
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
-#: Pairs are verified only if this share of slots agrees; at similarity 0.8 that is 4.5 deviations off.
-ESTIMATE = 0.62
+#: Bits of a parity bitmap, and most rows on one side of a block of a bucket.
+PARITY, BLOCK = 2048, 2048
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -101,10 +104,12 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         band = mix(band + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)[full]
         ends = np.zeros(n + 1, np.int64)
         ends[1:] = np.cumsum(count > 0)
-        short = mix(sig).astype(np.uint32).view(np.int32)[full]
+        doc = np.repeat(np.arange(n), count)
+        odd = np.bincount(doc * PARITY + (value & np.uint64(PARITY - 1)).astype(np.int64), minlength=n * PARITY).astype(np.uint8) & 1
+        parity = np.packbits(odd.reshape(n, PARITY), axis=1).view(np.int64)[full]
         yield pa.RecordBatch.from_arrays(
-            [column(batch, "doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(pair[0].view(np.int64)), pa.array(pair[1].view(np.int64)), list_array(band.ravel(), ends * BANDS, pa.int64()), list_array(short.ravel(), ends * SLOTS, pa.int32())],
-            ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sig"],
+            [column(batch, "doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(pair[0].view(np.int64)), pa.array(pair[1].view(np.int64)), list_array(band.ravel(), ends * BANDS, pa.int64()), list_array(parity.ravel(), ends * (PARITY // 64), pa.int64())],
+            ["doc_id", "n_shingles", "set_a", "set_b", "bands", "parity"],
         )
 
 
@@ -116,7 +121,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _signed(it, size), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sig array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lambda it: _signed(it, size), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, parity array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -126,33 +131,80 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", same.cast("long").alias("same"), (F.size("set_x") + F.size("set_y")).cast("long").alias("total")).filter(f"100 * same >= {percent} * (total - same)").select("a", "b")
 
 
+def _across(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of different groups inside each block that the parity bound leaves. Rows come sorted by
+    block; a block has at most 2 * BLOCK rows."""
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        ids, n, group, side = (t.column(c).to_numpy() for c in ("id", "n", "component", "side"))
+        bits = t.column("parity").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        left, right = [], []
+        for lo in range(0, len(ids), 256):
+            x = np.arange(lo, min(lo + 256, len(ids)))
+            far = np.zeros((len(x), len(ids)), np.int32)
+            for w in range(bits.shape[1]):
+                far += np.bitwise_count(bits[x, w][:, None] ^ bits[None, :, w])
+            ok = (group[x][:, None] != group) & ((100 + percent) * far <= (100 - percent) * (n[x][:, None] + n))
+            if best:
+                i, j = np.nonzero(ok)
+                order = np.lexsort((far[i, j], group[j], i))
+                i, j = i[order], j[order]
+                first = np.ones(len(i), bool)
+                first[1:] = (i[1:] != i[:-1]) | (group[j[1:]] != group[j[:-1]])
+                i, j = i[first], j[first]
+            else:  # each pair once: inside a side by the order of ids, across sides from the first one
+                i, j = np.nonzero(ok & np.where(side[x][:, None] == side, ids[x][:, None] < ids, side[x][:, None] < side))
+            left.append(ids[x[i]])
+            right.append(ids[j])
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        key = np.stack([held.column(c).to_numpy() for c in ("bucket", "i", "j")])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield pairs(held.slice(lo, hi - lo))
+        held = held.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield pairs(held)
+
+
+def _blocks(member: DataFrame, group: DataFrame, bits: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several groups, dealt into blocks (bucket, i, j), i <= j."""
+    placed = member.join(group, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
+    mixed = mixed.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    rest = placed.join(mixed, "bucket").join(bits, "id").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "n", "component", (F.col("part") > F.col("other")).cast("int").alias("side"), "parity")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id, kept."""
     signed = work.save(signatures(docs, size), "signatures")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = work.save(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "sig"), "classes")
+    reps = work.save(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "parity"), "classes")
     rows = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     hubs = rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("members")).filter("members > 1").select("bucket", "hub")
     member = work.save(rows.join(hubs, "bucket"), "buckets")
     ids = member.select("id").distinct()
     sets = work.save(docs.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(lambda it: _sets(it, size), "id long, set array<long>"), "sets")
+    bits = reps.select(F.col("doc_id").alias("id"), "parity")
     tried = member.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     links = work.save(_verified(tried, sets, percent), "verified")
     group = graph.components(links, "a", "b")
-    # Buckets that still hold several groups: compare across groups.
-    placed = work.save(member.join(group, "id", "left").select("bucket", "id", "n", "hub", F.coalesce("component", "id").alias("component")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = placed.join(mixed, "bucket", "left_semi")
-    x, y = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "hub", "component"))) for s in "xy")
-    close = f"id_x < id_y and component_x <> component_y and id_x <> hub_x and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
-    pairs = x.join(y, "bucket").filter(close).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
-    sig = reps.select("doc_id", "sig")
-    agree = F.aggregate(F.zip_with("sig_x", "sig_y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
-    likely = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_x")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_y")), "b").filter(agree >= int(ESTIMATE * SLOTS)).select("a", "b")
-    more = work.save(_verified(likely, sets, percent), "verified")
-    if not more.isEmpty():
-        group = graph.components(links.unionByName(more), "a", "b")
+    for best in (True, False):
+        dealt = _blocks(member, group, bits).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        likely = dealt.mapInArrow(lambda it, best=best: _across(it, percent, best), "a long, b long").distinct()
+        more = work.save(_verified(likely, sets, percent), "verified")
+        if more.isEmpty():
+            continue
+        links = links.unionByName(more)
+        group = graph.components(links, "a", "b")
     joined = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b", "n_shingles"], "left").join(group.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
