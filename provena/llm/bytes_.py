@@ -101,15 +101,34 @@ class Words:
         """A 64-bit hash of each word (tabulation by position and byte)."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        sizes = self.ends - self.starts
-        at = np.zeros(len(sizes), np.int64)
-        np.cumsum(sizes[:-1], out=at[1:])
-        pos = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(at.astype(np.int32), sizes)
-        cell = ((pos & 63) << 8) | self.buf[self.solid]
-        value = _TAB[fold][cell]
-        if sizes.max() > 64:
-            value *= ((pos >> 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C16)) + np.uint64(1)
-        return mix(np.add.reduceat(value, at) + sizes.astype(np.uint64))
+        return segment_hashes(self.buf[self.solid], self.ends - self.starts, fold)
+
+
+def segment_hashes(data: np.ndarray, sizes: np.ndarray, fold: bool = False) -> np.ndarray:
+    """A 64-bit hash of each of the adjoining segments (of at least one byte) that make up `data`."""
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    at = np.zeros(len(sizes), np.int64)
+    np.cumsum(sizes[:-1], out=at[1:])
+    pos = np.arange(len(data), dtype=np.int32) - np.repeat(at.astype(np.int32), sizes)
+    cell = ((pos & 63) << 8) | data
+    value = _TAB[fold][cell]
+    if sizes.max() > 64:
+        value *= ((pos >> 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C16)) + np.uint64(1)
+    return mix(np.add.reduceat(value, at) + sizes.astype(np.uint64))
+
+
+def totals(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sum of `mask` over each text."""
+    c = np.zeros(len(mask) + 1, np.int64)
+    np.cumsum(mask, out=c[1:])
+    return c[off[1:]] - c[off[:-1]]
+
+
+def byte_set(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[*chars]] = True
+    return out
 
 
 def windows(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

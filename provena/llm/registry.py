@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from . import op6_toxicity, op7_secrets, op8_packing, op10_minhash
+from . import op1_quality, op2_langid, op3_mixing, op5_lines, op6_toxicity, op7_secrets, op8_packing, op9_metric_join, op10_minhash
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality.query,
+    "op2_language_id": op2_langid.query,
+    "op3_source_mixing": op3_mixing.query,
+    "op5_quality_rules": op5_lines.query,
     "op6_toxicity": op6_toxicity.query,
     "op7_secret_scan": op7_secrets.query,
     "op8_packing": op8_packing.query,
+    "op9_embedding_near_dedup": op9_metric_join.query,
     "op10_minhash_near_dedup": op10_minhash.query,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op3_source_mixing": op3_mixing.SQL,
+}
