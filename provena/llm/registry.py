@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op1_quality, op2_langid, op3_mixing, op5_lines, op6_toxicity, op7_secrets, op8_packing, op9_metric_join, op10_minhash
+from . import op1_quality, op2_langid, op3_mixing, op4_pii, op5_lines, op6_toxicity, op7_secrets, op8_packing, op9_metric_join, op10_minhash
 
 QUERIES = {
     "op1_quality_classifier": op1_quality.query,
     "op2_language_id": op2_langid.query,
     "op3_source_mixing": op3_mixing.query,
+    "op4_pii": op4_pii.query,
     "op5_quality_rules": op5_lines.query,
     "op6_toxicity": op6_toxicity.query,
     "op7_secret_scan": op7_secrets.query,
