@@ -1,8 +1,9 @@
 """Packing: shortest-pack-first over the length histogram.
 
 1. Tokenise (one pass). A text's white-space-separated chunks are encoded once for each distinct chunk
-   of a slice and looked up in a bounded cache, because this tokenizer never looks across white space;
-   a document is the joined ids with the end id, cut into pieces of at most `size` ids.
+   and looked up in a bounded cache, because this tokenizer lower-cases and never looks across white
+   space or between letters and marks; a document is the joined ids with the end id, cut into pieces of
+   at most `size` ids. The tokenizer itself encodes every chunk.
 2. The histogram of piece lengths has at most `size` rows, so it is the one thing the driver sees.
    Lengths are placed longest first; each goes to the packs with the most room (the shortest packs),
    all equal packs at once, so only pattern counts change. Patterns number at most two for each length.
@@ -18,7 +19,9 @@ own length where that is a power of two).
 from __future__ import annotations
 
 import heapq
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,10 @@ from .bytes_ import column, slices
 
 SIZE = 4096
 END = 2
-_CACHE = 400_000
+#: Chunks that a worker remembers (about 150 bytes each).
+_CACHE = 900_000
+#: Two marks side by side, which the tokenizer takes as one.
+_MARKS = re.compile(r"[^\s\w][^\s\w]|_")
 _loaded: dict = {}
 
 
@@ -42,49 +48,66 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _encoder(key: str, json: str):
+def _encoder(key: str, text: str):
     if key not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[key] = (Tokenizer.from_str(json), {"": b""})
+        vocabulary = json.loads(text)["model"]["vocab"]
+        last = np.zeros(max(vocabulary.values(), default=0) + 100, bool)
+        last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        _loaded[key] = (Tokenizer.from_str(text), last, {"": b""})
     return _loaded[key]
 
 
-def _learn(tokenizer, cache: dict[str, bytes], new: list[str]) -> None:
-    """Ids of the new chunks: they are encoded as one text, and each token belongs to the chunk in
-    which it starts."""
-    if len(cache) + len(new) > _CACHE:
-        cache.clear()
-        cache[""] = b""
-    sizes = np.fromiter(map(len, new), np.int64, len(new))
-    starts = np.zeros(len(new), np.int64)
-    np.cumsum(sizes[:-1] + 1, out=starts[1:])
-    lo = 0
-    while lo < len(new):
-        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + 200_000)))
-        enc = tokenizer.encode(" ".join(new[lo:hi]), add_special_tokens=False)
-        ids = np.array(enc.ids, "<u4").tobytes()
-        at = np.fromiter((o[0] for o in enc.offsets), np.int64, len(enc.offsets)) + starts[lo]
-        cut = (np.searchsorted(at, np.append(starts[lo:hi], starts[hi - 1] + sizes[hi - 1] + 1)) * 4).tolist()
-        for i, w in enumerate(new[lo:hi]):
-            cache[w] = ids[cut[i] : cut[i + 1]]
-        lo = hi
-
-
-def _tokenized(batches: Iterator[pa.RecordBatch], key: str, json, size: int, end: int) -> Iterator[pa.RecordBatch]:
-    tokenizer, cache = _encoder(key, json.value)
-    last = np.array([end], "<u4").tobytes()
+def _chunks(text: str) -> list[str]:
+    """White-space-separated chunks, in lower case and with single stops and commas apart where that
+    cannot change the ids."""
+    if _LATIN(text) and not _MARKS.search(text):
+        text = text.lower().replace(".", " . ").replace(",", " , ")
+    return text.replace("\n", " ").split(" ")
+
+
+def _LATIN(text: str) -> bool:  # noqa: N802
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _learn(tokenizer, last: np.ndarray, cache: dict[str, bytes], new: set[str]) -> None:
+    """Ids of new chunks. Words of letters only are encoded as one text, each ending at its first
+    end-of-word token; other chunks are encoded alone."""
+    words = [w for w in new if w.isalpha()]
+    for lo in range(0, len(words), 20_000):
+        own = words[lo : lo + 20_000]
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(last[ids]) + 1
+        if len(ends) == len(own) and ends[-1] == len(ids):
+            raw, cut = ids.tobytes(), [0, *(ends * 4).tolist()]
+            cache.update(zip(own, [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], strict=True))
+        else:  # a word without an end of its own
+            cache.update((w, _one(tokenizer, w)) for w in own)
+    other = [w for w in new if not w.isalpha()]
+    for lo in range(0, len(other), 20_000):
+        for w, e in zip(other[lo : lo + 20_000], tokenizer.encode_batch_fast(other[lo : lo + 20_000], add_special_tokens=False), strict=True):
+            cache[w] = np.array(e.ids, "<u4").tobytes()
+
+
+def _tokenized(batches: Iterator[pa.RecordBatch], key: str, text, size: int, end: int) -> Iterator[pa.RecordBatch]:
+    tokenizer, last, cache = _encoder(key, text.value)
+    stop = np.array([end], "<u4").tobytes()
     for batch, _, _ in slices(batches):
         row, start, length, total, ids = [], [], [], [], []
-        for i, text in enumerate(column(batch, "text").to_pylist()):
-            chunks = (text or "").replace("\n", " ").split(" ")
-            try:
-                got = b"".join([cache[c] for c in chunks])
-            except KeyError:
-                _learn(tokenizer, cache, list({c for c in chunks if c not in cache}))
-                got = b"".join([cache[c] if c in cache else _one(tokenizer, c) for c in chunks])
-            got += last
+        split = [_chunks(t or "") for t in column(batch, "text").to_pylist()]
+        if new := set().union(*split).difference(cache):
+            if len(cache) + len(new) > _CACHE:
+                cache.clear()
+                new = set().union(*split)
+            _learn(tokenizer, last, cache, new)
+        for i, chunks in enumerate(split):
+            got = b"".join([cache[c] for c in chunks]) + stop
             n = len(got) // 4
             for s in range(0, n, size):
                 row.append(i)
@@ -108,9 +131,9 @@ def tokenize(docs: DataFrame, path: str | None = None, size: int = SIZE, end: in
     ship(spark)
     path = path or tokenizer_file()
     with open(path) as f:
-        json = spark.sparkContext.broadcast(f.read())  # one vocabulary file, a few megabytes
+        held = spark.sparkContext.broadcast(f.read())  # one vocabulary file, a few megabytes
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _tokenized(it, path, json, size, end), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lambda it: _tokenized(it, path, held, size, end), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
 
 
 def patterns(histogram: dict[int, int], size: int) -> list[tuple[int, list[tuple[int, int]]]]:
