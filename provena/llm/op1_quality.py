@@ -158,5 +158,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text of `documents`, learned from `labels`."""
     described = work.save(describe(table(spark, sf_dir, "documents")), "statistics")
     forest = learn(described, table(spark, sf_dir, "labels"))
-    held = (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out")
     return score(described, forest).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

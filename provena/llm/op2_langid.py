@@ -178,5 +178,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text of `documents`."""
     docs = table(spark, sf_dir, "documents")
-    held = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
     return predict(docs, learn(docs)).select("doc_id", held, "lang_pred", "score")

@@ -98,9 +98,9 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], total: str, epochs:
     full = edge.selectExpr(*LEVELS, "slot")
     cut = inside.filter("cum <= part").groupBy(*LEVELS).agg(F.max("mix_key").alias("cut"))
     last = full.join(ranges.select(*LEVELS, "width"), list(LEVELS)).join(cut, list(LEVELS), "left").selectExpr(*LEVELS, "coalesce(cut, slot * width - 1) as cut")
-    final = work.save(plan.join(last, list(LEVELS), "left").selectExpr(*LEVELS, "whole", "coalesce(cut, -1) as cut").filter("whole > 0 or cut >= 0"), "cuts")
-    taken = named.join(small(final), list(LEVELS)).withColumn("mix_epoch", F.expr("sequence(1, cast(whole as int) + if(mix_key <= cut, 1, 0))"))
-    taken = taken.filter("whole > 0 or mix_key <= cut").withColumn("mix_epoch", F.explode("mix_epoch"))
+    final = work.save(plan.join(last, list(LEVELS), "left").selectExpr(*LEVELS, "whole as mix_whole", "coalesce(cut, -1) as mix_cut").filter("mix_whole > 0 or mix_cut >= 0"), "cuts")
+    taken = named.join(small(final), list(LEVELS)).withColumn("mix_epoch", F.expr("sequence(1, cast(mix_whole as int) + if(mix_key <= mix_cut, 1, 0))"))
+    taken = taken.filter("mix_whole > 0 or mix_key <= mix_cut").withColumn("mix_epoch", F.explode("mix_epoch"))
     return taken.select(*docs.columns, "mix_domain", "mix_tokens", "mix_epoch")
 
 

@@ -127,7 +127,8 @@ def strip(docs: DataFrame, host: str = "source") -> DataFrame:
     own = stats.select("doc_id", "host", F.explode("lines").alias("line"))
     few = F.broadcast(bad) if bad.count() <= SMALL else bad
     gone = own.join(few, own.host.eqNullSafe(few.host) & (own.line == few.line)).groupBy("doc_id").agg(F.collect_set(own.line).alias("mix_gone"))
-    return docs.join(gone, "doc_id", "left").select(*docs.columns, "mix_gone").mapInArrow(lambda it: _stripped(it, docs.columns), docs.schema)
+    names = docs.columns
+    return docs.join(gone, "doc_id", "left").select(*names, "mix_gone").mapInArrow(lambda it: _stripped(it, names), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,10 +184,10 @@ def _placed(batches: Iterator[pa.RecordBatch], table_, key_shift: int = 44) -> I
     t = table_.value
     keys = (t[:, 0] << key_shift) + t[:, 1]
     for batch in batches:
-        length, rank = (column(batch, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
+        length, rank = (column(batch, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "pack_rank"))
         s = t[np.searchsorted(keys, (length << key_shift) + rank, "right") - 1]
         own = rank - s[:, 1]
-        names = [n for n in batch.schema.names if n != "rank"]
+        names = [n for n in batch.schema.names if n != "pack_rank"]
         yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in names), pa.array(s[:, 2] + own // s[:, 3]), pa.array(s[:, 4] + own % s[:, 3] * length)], [*names, "sequence_id", "offset"])
 
 
@@ -200,11 +200,11 @@ def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     if not histogram:
         return pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     group = max(1, -(-sum(histogram.values()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    deal = spark.createDataFrame([(k, -(-n // group)) for k, n in histogram.items()], "length long, parts long")
-    dealt = pieces.join(F.broadcast(deal), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), "parts")).drop("parts")
-    base = dealt.groupBy("length", "part").agg(F.count("*").alias("n")).selectExpr("length", "part", "sum(n) over (partition by length order by part) - n as base")
+    deal = spark.createDataFrame([(k, -(-n // group)) for k, n in histogram.items()], "length long, pack_parts long")
+    dealt = pieces.join(F.broadcast(deal), "length").withColumn("pack_part", F.pmod(F.xxhash64("doc_id", "start"), "pack_parts")).drop("pack_parts")
+    base = dealt.groupBy("length", "pack_part").agg(F.count("*").alias("n")).selectExpr("length", "pack_part", "sum(n) over (partition by length order by pack_part) - n as pack_base")
     columns = pieces.columns
-    ranked = dealt.join(base, ["length", "part"]).selectExpr(*(f"`{c}`" for c in columns), "base + row_number() over (partition by length, part order by doc_id, start) - 1 as rank")
+    ranked = dealt.join(base, ["length", "pack_part"]).selectExpr(*(f"`{c}`" for c in columns), "pack_base + row_number() over (partition by length, pack_part order by doc_id, start) - 1 as pack_rank")
     held = spark.sparkContext.broadcast(slots(patterns(histogram, size)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return ranked.mapInArrow(lambda it: _placed(it, held), f"{schema}, sequence_id long, offset long")
