@@ -70,3 +70,15 @@ def layer_index(name: Column) -> Column:
 def tensor_size(shape: Column, width: int = 4) -> Column:
     """Bytes of a tensor of this shape."""
     return F.aggregate(shape, F.lit(width).cast("long"), lambda a, x: a * x)
+
+
+def below_root(path: Column) -> Column:
+    """No prefix of a relative path climbs above its root, whatever it passes through."""
+    step = lambda s: F.when(s == "..", -1).when((s == "") | (s == "."), 0).otherwise(1)
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("low"))
+
+    def walk(acc: Column, s: Column) -> Column:
+        at = acc["at"] + step(s)
+        return F.struct(at.alias("at"), F.least(acc["low"], at).alias("low"))
+
+    return ~path.startswith("/") & (F.aggregate(F.split(path, "/"), zero, walk)["low"] >= 0)

@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -15,3 +15,17 @@ def folder(spark: SparkSession, name: str) -> str:
         base = f"file://{tempfile.mkdtemp(prefix='provena-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/provena/{name}-{uuid.uuid4().hex}"
+
+
+def write_atomic(df: DataFrame, path: str) -> None:
+    """Write beside the target and rename, so readers see all of it or nothing; a failure leaves no part."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    own, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.tmp-{uuid.uuid4().hex}", path))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(own.toString())
+        if not fs.rename(own, target):
+            raise OSError(f"could not rename to {path}")
+    finally:
+        fs.delete(own, True)
