@@ -2,7 +2,7 @@
 
 The lexicon is learned: terms whose share of toxic training documents is significantly high, on their
 own or together with the other terms of their stem (`STEMS` letters), and that stand in several
-different contexts (terms that only ever follow one word come from copies of one document).
+different contexts (terms that stand between the same words again and again come from copies of one document).
 All terms form a trie; the automaton that accepts every string within a term's edit limit is the
 trie's states paired with edits spent, made deterministic lazily and kept for reuse, so a distinct word
 costs one step for each character until it dies, whatever the number of terms. Each hit is scored in
@@ -38,6 +38,8 @@ SAMPLE, TERMS = 8000, 400
 RATIO = 20.0
 #: Letters of the stems that a term shares with its inflected forms.
 STEMS = (4, 5)
+#: A term stands between so many different pairs of words for each document that has it.
+CONTEXTS = 0.8
 #: Words on either side of a hit.
 WINDOW = 10
 _WORD = re.compile(r"[^\W_]+")
@@ -186,28 +188,28 @@ def features(text: str | None, auto: Automaton) -> list[float] | None:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of toxic training texts: term, word before; of clean ones: term, how many texts have it."""
+    """Rows of toxic training texts: term, words around it; of clean ones: term, how many texts have it."""
     clean: Counter = Counter()
 
-    def rows(term: list, before: list, toxic: bool, n: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(before, pa.string()), pa.array([toxic] * len(term), pa.bool_()), pa.array(n, pa.int64())], ["term", "before", "toxic", "n"])
+    def rows(term: list, around: list, toxic: bool, n: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(around, pa.string()), pa.array([toxic] * len(term), pa.bool_()), pa.array(n, pa.int64())], ["term", "around", "toxic", "n"])
 
     for batch, _, _ in slices(batches):
-        term, before, n = [], [], []
+        term, around, n = [], [], []
         for text, toxic in zip(column(batch, "text").to_pylist(), column(batch, "label").to_pylist(), strict=True):
             words = _WORD.findall((text or "").lower())
             if toxic:
                 seen = set()
-                pairs = set(zip(["", *words], words, strict=False))
+                pairs = {(f"{b} {a}", t) for b, t, a in zip(["", *words], words, [*words[1:], ""], strict=False)}
                 for b, t in sorted(pairs | {(b, t[:k] + "*") for b, t in pairs for k in STEMS if len(t) > k}):
                     term.append(t)
-                    before.append(b)
+                    around.append(b)
                     n.append(int(t not in seen))
                     seen.add(t)
             else:
                 own = set(words)
                 clean.update(own | {t[:k] + "*" for t in own for k in STEMS if len(t) > k})
-        yield rows(term, before, True, n)
+        yield rows(term, around, True, n)
         if len(clean) > _KEPT:
             yield rows(list(clean), [None] * len(clean), False, list(clean.values()))
             clean.clear()
@@ -245,8 +247,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     bad, good = sum(n for k, n in size.items() if k), size.get(0, 0)
     if not bad or not good:
         return Model(bias=5.0 if bad else -5.0)
-    terms = known.mapInArrow(_contexts, "term string, before string, toxic boolean, n long").groupBy("term").agg(
-        F.expr("sum(n) filter (where toxic)").alias("bad"), F.expr("coalesce(sum(n) filter (where not toxic), 0)").alias("good"), F.expr("count(distinct before)").alias("contexts")
+    terms = known.mapInArrow(_contexts, "term string, around string, toxic boolean, n long").groupBy("term").agg(
+        F.expr("sum(n) filter (where toxic)").alias("bad"), F.expr("coalesce(sum(n) filter (where not toxic), 0)").alias("good"), F.expr("count(distinct around)").alias("contexts")
     )
     terms = work.save(terms.filter("bad > 0"), "terms")
     p = bad / (bad + good)
@@ -254,7 +256,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     n = F.col("bad") + F.col("good")
     # Likelihood ratio against the share of all documents, held against the number of terms tried.
     surprise = F.col("bad") * F.log(F.col("bad") / (n * p)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - p)))).otherwise(0.0)
-    sure = terms.filter((ratio >= min(RATIO, good / 4)) & (F.col("contexts") >= F.greatest(F.lit(3), 0.3 * F.col("bad"))) & (F.length("term") >= 3) & (surprise >= np.log(max(terms.count(), 2))))
+    sure = terms.filter((ratio >= min(RATIO, good / 4)) & (F.col("contexts") >= F.greatest(F.lit(3), CONTEXTS * F.col("bad"))) & (F.length("term") >= 3) & (surprise >= np.log(max(terms.count(), 2))))
     stems = sure.filter("term like '%*'").orderBy(F.desc("bad"), "term").limit(most).select(F.col("term").alias("stem"))
     own = terms.filter("term not like '%*'")
     forms = own.filter("good = 0").withColumn("stem", F.explode(F.array(*(F.concat(F.substring("term", 1, k), F.lit("*")) for k in STEMS)))).join(F.broadcast(stems), "stem").select("term", "bad")
