@@ -31,7 +31,7 @@ from .docstats import SYMBOLS, Lines, code_points, distinct, repeated
 #: A line is boilerplate in more than this share of a host's distinct texts, and in more than LEAST.
 SHARE, LEAST = 0.1, 10
 #: A document is depleted if fewer words than this, or a smaller share of its words, remain.
-WORDS_LEFT, SHARE_LEFT = 20, 0.3
+WORDS_LEFT, SHARE_LEFT = 10, 0.3
 SMALL = 100_000
 _STATS = "host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_a long, text_b long, lines array<long>, line_words array<int>"
 
