@@ -9,11 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def folder(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='provena-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = f"file://{tempfile.mkdtemp(prefix='provena-')}"
+        base = _own[app]
     return f"{base.rstrip('/')}/provena/{name}-{uuid.uuid4().hex}"
 
 
