@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strategies
-from ..operators import benchmark, contracts, optimizer
+from ..operators import benchmark, contracts, decoder, optimizer
 from ..session import ship, table
 from ..sources import binary, bundle, shared
 from ._register import query
@@ -147,3 +147,13 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = Observation("events")
     table(spark, sf_dir, "events").observe(o, F.count("*").alias("n"), F.max("user_id").alias("hi")).write.format("noop").mode("overwrite").save()
     return spark.createDataFrame([(o.get["n"], o.get["hi"])], "n long, hi long")
+
+
+@query("m09_m12_decoder_gradient")
+def decoder_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss and gradient norms of a two-block decoder over all token windows of the events."""
+    g = decoder.Geometry(vocab=64, width=16, layers=2, heads=4, kv_heads=2, hidden=24)
+    tokens = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 64).alias("token"))
+    grad = decoder.gradients(decoder.token_windows(tokens, "event_id", "token", 32), decoder.initial(g), g)
+    square = F.aggregate("g", F.lit(0.0), lambda s, e: s + e * e)
+    return grad.groupBy("slot").agg(F.count("*").alias("rows"), F.round(F.sqrt(F.sum(square)) / F.max("windows"), 6).alias("norm"), F.round(F.max(F.col("loss") / F.col("windows")), 6).alias("loss"), F.max("windows").alias("windows"))
