@@ -118,6 +118,21 @@ def segment_hashes(data: np.ndarray, sizes: np.ndarray, fold: bool = False) -> n
     return mix(np.add.reduceat(value, at) + sizes.astype(np.uint64))
 
 
+def digests(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each whole text."""
+    size = np.diff(off)
+    some = np.flatnonzero(size)
+    out = np.zeros((2, len(size)), np.uint64)
+    if len(some):
+        pos = np.arange(len(buf), dtype=np.int64) - np.repeat(off[:-1], size)
+        value = _TAB[False][((pos & 63) << 8) | buf] * ((pos >> 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C16) + np.uint64(1))
+        out[0, some] = np.add.reduceat(value, off[some])
+        value ^= value >> np.uint64(29)
+        value *= np.uint64(0xBF58476D1CE4E5B9)
+        out[1, some] = np.add.reduceat(value, off[some])
+    return tuple(mix(x + size.astype(np.uint64)).view(np.int64) for x in out)
+
+
 def totals(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sum of `mask` over each text."""
     c = np.zeros(len(mask) + 1, np.int64)

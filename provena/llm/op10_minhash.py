@@ -186,7 +186,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """One row for each row of `docs`: doc_id, n_shingles, component_id, kept."""
     signed = work.save(signatures(docs, size), "signatures")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # As a table, so that the last join reads it by a plain shuffle, whose hot keys Spark can split.
+    classes = work.save(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "sets-of-classes")
     reps = work.save(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "parity"), "classes")
     rows = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     hubs = rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("members")).filter("members > 1").select("bucket", "hub")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship, table
 from . import work
-from .bytes_ import Words, column, list_array, mix, slices, totals
+from .bytes_ import Words, column, digests, list_array, slices, totals
 from .docstats import SYMBOLS, Lines, code_points, distinct, repeated
 
 #: A line is boilerplate in more than this share of a host's distinct texts, and in more than LEAST.
@@ -46,17 +46,6 @@ def _distinct_lines(lines: Lines, n: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return k[at], np.add.reduceat(w, at) if len(at) else w, np.searchsorted(d[at], np.arange(n + 1))
 
 
-def _digest(h: np.ndarray, words: Words, buf: np.ndarray, off: np.ndarray, salt: int) -> np.ndarray:
-    """64 bits of each text: its words and their byte positions."""
-    out = mix(np.diff(off).astype(np.uint64) + np.uint64(salt))
-    some = np.flatnonzero(words.counts)
-    if len(some):
-        place = (words.starts - np.repeat(off[:-1], words.counts)).astype(np.uint64)
-        value = mix(mix(h + np.uint64(salt)) + place * np.uint64(0x9E3779B97F4A7C15))
-        out[some] ^= np.add.reduceat(value, words.first[some])
-    return out.view(np.int64)
-
-
 def _counted(batches: Iterator[pa.RecordBatch], host: str) -> Iterator[pa.RecordBatch]:
     for batch, buf, off in slices(batches):
         n = batch.num_rows
@@ -65,9 +54,10 @@ def _counted(batches: Iterator[pa.RecordBatch], host: str) -> Iterator[pa.Record
         lines = Lines(buf, off, words, words.hashes(fold=True))
         norm, size, at = _distinct_lines(lines, n)
         dup = np.bincount(lines.doc, minlength=n) - distinct(lines.raw, lines.doc, n)[0]
+        text_a, text_b = digests(buf, off)
         long = lambda x: pa.array(x, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [column(batch, "doc_id"), column(batch, host).cast(pa.string()), long(words.counts), long(totals(words.solid & code_points(buf), off)), long(totals(SYMBOLS[buf], off)), long(dup), long(repeated(h, words.first, 8, n)), long(_digest(h, words, buf, off, 1)), long(_digest(h, words, buf, off, 2)), list_array(norm.view(np.int64), at, pa.int64()), list_array(size, at, pa.int32())],
+            [column(batch, "doc_id"), column(batch, host).cast(pa.string()), long(words.counts), long(totals(words.solid & code_points(buf), off)), long(totals(SYMBOLS[buf], off)), long(dup), long(repeated(h, words.first, 8, n)), long(text_a), long(text_b), list_array(norm.view(np.int64), at, pa.int64()), list_array(size, at, pa.int32())],
             ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_a", "text_b", "lines", "line_words"],
         )
 
@@ -91,6 +81,7 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     lines, bad = _boilerplate(texts)
     few = F.broadcast(bad) if bad.count() <= SMALL else bad
     hit = lines.join(few, lines.host.eqNullSafe(few.host) & (lines.line == few.line)).groupBy(lines.host.alias("host_"), F.col("text_a").alias("a_"), F.col("text_b").alias("b_")).agg(F.count("*").alias("n_removed_lines"), F.sum("words").alias("removed"))
+    hit = work.save(hit, "hits")  # a plain shuffle below, whose hot keys Spark can split
     out = stats.join(hit, F.col("host").eqNullSafe(F.col("host_")) & (F.col("text_a") == F.col("a_")) & (F.col("text_b") == F.col("b_")), "left")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
@@ -134,3 +125,18 @@ def strip(docs: DataFrame, host: str = "source") -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules over every whole text of `documents`, with sources as hosts."""
     return judge(table(spark, sf_dir, "documents"))
+
+
+#: The same in DuckDB's SQL.
+SQL = f"""with d as (select row_number() over () rid, doc_id, source host, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') ws from documents),
+l as (select rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ls from d),
+r as (select rid, i from (select rid, i, array_to_string(ws[i:i + 7], ' ') k from (select rid, ws, unnest(range(1, len(ws) - 6)) i from d)) qualify count(*) over (partition by rid, k) > 1),
+c as (select rid, count(distinct i + o) n from r, range(8) x(o) group by rid),
+n as (select rid, host, t, array_to_string(nw, ' ') line, len(nw) words from (select l.rid, host, t, regexp_extract_all(translate(unnest(ls), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') nw from l join d using (rid))),
+z as (select host, count(distinct t) size from n group by host),
+bad as (select n.host, line from n join z on n.host is not distinct from z.host group by n.host, line, size having count(distinct t) > {LEAST} and count(distinct t) > {SHARE}::double * size),
+g as (select rid, count(distinct n.line) kinds, sum(words)::bigint removed from n join bad on n.host is not distinct from bad.host and n.line = bad.line group by rid),
+f as (select d.doc_id, len(ws) n_words, length(array_to_string(ws, '')) word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) n_symbols, len(ls) - len(list_distinct(ls)) n_dup_lines,
+coalesce(c.n, 0) n_repeat_words, coalesce(kinds, 0) n_removed_lines, len(ws) - coalesce(removed, 0) words_left, removed is not null hit from d join l using (rid) left join c using (rid) left join g using (rid))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed,
+not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and not (hit and (words_left < {WORDS_LEFT} or words_left < {SHARE_LEFT}::double * n_words)) kept, n_removed_lines, words_left from f"""

@@ -19,4 +19,5 @@ QUERIES = {
 
 SQL = {
     "op3_source_mixing": op3_mixing.SQL,
+    "op5_quality_rules": op5_lines.SQL,
 }
