@@ -23,10 +23,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays (and documents without an id)."""
-    found = op10_minhash.near_duplicates(docs)
+    """The document with the smallest id of each group stays (and documents without an id); of rows
+    that repeat its id and text, one."""
+    found = work.save(op10_minhash.near_duplicates(docs).select("doc_id", "kept"), "near-duplicates")
     gone = found.filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = work.save(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return left
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ the rows is a filter, so texts are not shuffled.
 Defined results: null levels are a branch of their own, named ''; null and empty texts have no tokens
 and come with every epoch that their leaf gives, and with the partial one if it has any; rows of one
 order key (repeated rows) stand or fall together; nodes without weight or tokens get nothing; an empty
-table gives no rows; extra columns are kept, and columns that clash with `mix_*` are an error.
+table gives no rows; extra columns are kept, whatever their names: a row travels as one struct, and where
+`docs` has a column of an added name, its own stays and the added one is left out.
 """
 
 from __future__ import annotations
@@ -40,9 +41,9 @@ SHARE, EPOCHS, SEED = (3, 5), 2, 7
 
 
 def _named(docs: DataFrame, domain: str, tokens: str, seed: int) -> DataFrame:
-    """Adds the levels, the tokens and the 60-bit order key of the partial epoch."""
+    """Each row as a struct, with its levels, tokens and the 60-bit order key of the partial epoch."""
     key = f"cast(conv(substr(md5(concat('{seed}', ':', coalesce(cast(doc_id as string), ''))), 1, 15), 16, 10) as bigint)"
-    return docs.selectExpr("*", f"{domain} as mix_domain", "coalesce(lang, '') as mix_lang", "coalesce(source, '') as mix_source", f"cast({tokens} as bigint) as mix_tokens", f"{key} as mix_key")
+    return docs.selectExpr("struct(*) as mix_row", f"{domain} as mix_domain", "coalesce(lang, '') as mix_lang", "coalesce(source, '') as mix_source", f"cast({tokens} as bigint) as mix_tokens", f"{key} as mix_key")
 
 
 def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
@@ -101,7 +102,8 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], total: str, epochs:
     final = work.save(plan.join(last, list(LEVELS), "left").selectExpr(*LEVELS, "whole as mix_whole", "coalesce(cut, -1) as mix_cut").filter("mix_whole > 0 or mix_cut >= 0"), "cuts")
     taken = named.join(small(final), list(LEVELS)).withColumn("mix_epoch", F.expr("sequence(1, cast(mix_whole as int) + if(mix_key <= mix_cut, 1, 0))"))
     taken = taken.filter("mix_whole > 0 or mix_key <= mix_cut").withColumn("mix_epoch", F.explode("mix_epoch"))
-    return taken.select(*docs.columns, "mix_domain", "mix_tokens", "mix_epoch")
+    own = {c.lower() for c in docs.columns}
+    return taken.select("mix_row.*", *(c for c in ("mix_domain", "mix_tokens", "mix_epoch") if c not in own))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ generator's threshold is the lowest score at which its weak precision reaches `P
 Spans stay arrays in their document's row, so nothing is shuffled but the table's counts. Defined
 results: null and empty texts have no spans; base spans always stay; added spans never overlap base spans
 or better added ones; repeated rows and null ids are handled like others; an empty table gives no rows;
-extra columns are ignored by `find` and kept by `redact`.
+extra columns are ignored by `find` and kept, whatever their names, by `redact`.
 """
 
 from __future__ import annotations
@@ -128,10 +128,11 @@ def _featured(kind: str, x: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), base.alias("base"), F.lit(gen).alias("gen"), bins.alias("digits"), F.least(seps, F.lit(3)).alias("seps"), shape.alias("shape"), checked.cast("int").alias("checked"), context.alias("context"), beside.cast("int").alias("beside"))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and `found`: all proposed spans, base ones first, in the order of kinds, then places."""
-    raw = docs.select("doc_id", "text", *(_spans(k).alias(f"raw_{k}") for k in KINDS))
-    return raw.select("doc_id", F.concat(*(_apply(k) for k in KINDS)).alias("found"))
+def candidates(docs: DataFrame, keep: Column | str = "doc_id") -> DataFrame:
+    """`keep` and `found`: all proposed spans, base ones first, in the order of kinds, then places."""
+    keep = F.col(keep) if isinstance(keep, str) else keep
+    raw = docs.select(keep.alias("kept"), "text", *(_spans(k).alias(f"raw_{k}") for k in KINDS))
+    return raw.select("kept", F.concat(*(_apply(k) for k in KINDS)).alias("found"))
 
 
 def _apply(kind: str) -> Column:
@@ -214,27 +215,33 @@ def learn(found: DataFrame) -> tuple[list, dict[int, float]]:
     return trees, cuts
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id and `spans` (kind, s, e, score) of every row: base spans and added ones."""
-    found = work.save(candidates(docs), "candidates")
-    trees, cuts = learn(found)
+def choose(found: DataFrame, trees: list, cuts: dict[int, float]) -> DataFrame:
+    """`kept` and `spans` of rows with candidates: base spans, and added ones that pass their threshold."""
     margin = " + ".join(map(_case, trees)) or "0D"
-    scored = found.selectExpr("doc_id", f"transform(found, x -> struct(x.kind as kind, x.s as s, x.e as e, x.base as base, x.gen as gen, {margin} as score)) as found")
+    scored = found.selectExpr("kept", f"transform(found, x -> struct(x.kind as kind, x.s as s, x.e as e, x.base as base, x.gen as gen, {margin} as score)) as found")
     own = [f"(x.gen = {g} and x.score >= {c - 1e-6!r}D)" for g, c in cuts.items() if math.isfinite(c)]
-    scored = scored.selectExpr("doc_id", "filter(found, x -> x.base) as base", f"filter(found, x -> not x.base and ({' or '.join(own) or 'false'})) as more")
-    scored = scored.selectExpr("doc_id", "base", "filter(more, x -> not exists(base, y -> y.s < x.e and x.s < y.e)) as more")
+    scored = scored.selectExpr("kept", "filter(found, x -> x.base) as base", f"filter(found, x -> not x.base and ({' or '.join(own) or 'false'})) as more")
+    scored = scored.selectExpr("kept", "base", "filter(more, x -> not exists(base, y -> y.s < x.e and x.s < y.e)) as more")
     better = "y.s < x.e and x.s < y.e and struct(y.score, -y.gen, -y.s) > struct(x.score, -x.gen, -x.s)"
-    return scored.selectExpr("doc_id", f"concat(base, filter(more, x -> not exists(more, y -> {better}))) as spans").selectExpr("doc_id", "transform(spans, x -> struct(x.kind as kind, x.s as start, x.e as end, x.base as base, 1 / (1 + exp(-x.score)) as score)) as spans")
+    return scored.selectExpr("kept", f"concat(base, filter(more, x -> not exists(more, y -> {better}))) as spans").selectExpr("kept", "transform(spans, x -> struct(x.kind as kind, x.s as start, x.e as end, x.base as base, 1 / (1 + exp(-x.score)) as score)) as spans")
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id and `spans` (kind, start, end, base, score) of every row: base spans and added ones."""
+    found = work.save(candidates(docs), "candidates")
+    return choose(found, *learn(found)).withColumnRenamed("kept", "doc_id")
 
 
 def redact(docs: DataFrame, mark: str = "[PII]") -> DataFrame:
-    """The rows and columns of `docs` with every span replaced. Ids must be unique and not null."""
-    spans = find(docs).withColumnRenamed("spans", "mix_spans")
-    both = docs.join(spans, "doc_id", "left")
-    sorted_ = "array_sort(transform(coalesce(mix_spans, array()), x -> struct(x.start as s, x.end as e)))"
+    """The rows and columns of `docs` with every span replaced. A row keeps its own spans (no join by
+    id), so null and repeated ids are redacted like others."""
+    found = work.save(candidates(docs), "candidates")
+    both = choose(candidates(docs, F.struct("*")), *learn(found)).selectExpr("kept", "kept.text as text", "spans")
+    sorted_ = "array_sort(transform(spans, x -> struct(x.start as s, x.end as e)))"
     gap = f"if(x.s > acc.at, concat(substring(text, acc.at + 1, cast(x.s as int) - acc.at), '{mark}'), if(x.e > acc.at and x.s = acc.at, '{mark}', ''))"
     fold = f"aggregate({sorted_}, struct(0 as at, '' as out), (acc, x) -> struct(greatest(acc.at, cast(x.e as int)) as at, concat(acc.out, {gap}) as out), acc -> concat(acc.out, substring(text, acc.at + 1)))"
-    return both.withColumn("text", F.expr(f"if(text is null or size(mix_spans) = 0, text, {fold})")).select(*docs.columns)
+    clean = F.expr(f"if(text is null or size(spans) = 0, text, {fold})")
+    return both.select("kept", clean.alias("clean")).select(*(F.col("clean").alias(c) if c.lower() == "text" else F.col("kept").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ and joined by a shuffle beyond.
 
 Defined results: null text is empty; a null host is a host of its own; texts without words fail the base
 rule; documents without boilerplate keep all words; repeated rows get the same verdict and count once;
-an empty table gives no rows; extra columns are ignored by `judge` and kept by `strip`.
+an empty table gives no rows; extra columns are ignored by `judge` and kept, whatever their names, by
+`strip`, which finds a text's lines by its host and MD5 and so serves null and repeated ids too.
 """
 
 from __future__ import annotations
@@ -89,37 +90,41 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.coalesce("n_removed_lines", F.lit(0)).cast("long").alias("n_removed_lines"), left.cast("long").alias("words_left"))
 
 
-def _stripped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch, buf, off in slices(batches):
-        texts = column(batch, "text").to_pylist()
-        for i, gone in enumerate(column(batch, "mix_gone").to_pylist()):
+def _stripped(batches: Iterator[pa.RecordBatch], names: list[str], at: int) -> Iterator[pa.RecordBatch]:
+    """Rows are the columns `names` in their order, then the lines to remove; `at` is the text's place."""
+    for batch in batches:
+        texts = batch.column(at).to_pylist()
+        for i, gone in enumerate(batch.column(len(names)).to_pylist()):
             if gone and texts[i]:
                 keep = []
                 for line in texts[i].split("\n"):
                     raw = np.frombuffer(line.encode(), np.uint8)
-                    at = np.array([0, len(raw)])
-                    words = Words(raw, at)
-                    found = Lines(raw, at, words, words.hashes(fold=True)).norm.view(np.int64)
+                    ends = np.array([0, len(raw)])
+                    words = Words(raw, ends)
+                    found = Lines(raw, ends, words, words.hashes(fold=True)).norm.view(np.int64)
                     if not len(found) or int(found[0]) not in gone:
                         keep.append(line)
                 texts[i] = "\n".join(keep)
-        at = batch.schema.get_field_index("text")
-        out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-        yield out.select(names)
+        own = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))]
+        yield pa.RecordBatch.from_arrays(own, names)
 
 
 def strip(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows with boilerplate lines taken out of their texts; other columns stay."""
     ship(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    stats = work.save(docs.select("doc_id", host, "text").mapInArrow(lambda it: _counted(it, host), f"doc_id {kind}, {_STATS}"), "counts")
-    texts = stats.filter("n_words > 0").dropDuplicates(["host", "text_a", "text_b"])
+    named = docs.select(F.md5("text").alias("doc_id"), F.col(host).cast("string").alias("host"), "text")
+    stats = work.save(named.mapInArrow(lambda it: _counted(it, "host"), f"doc_id string, {_STATS}"), "counts")
+    texts = work.save(stats.filter("n_words > 0").dropDuplicates(["host", "text_a", "text_b"]), "texts")
     bad = _boilerplate(texts)[1]
-    own = stats.select("doc_id", "host", F.explode("lines").alias("line"))
+    own = texts.select("doc_id", "host", F.explode("lines").alias("line"))
     few = F.broadcast(bad) if bad.count() <= SMALL else bad
-    gone = own.join(few, own.host.eqNullSafe(few.host) & (own.line == few.line)).groupBy("doc_id").agg(F.collect_set(own.line).alias("mix_gone"))
+    gone = own.join(few, own.host.eqNullSafe(few.host) & (own.line == few.line)).groupBy(own.doc_id.alias("md5"), own.host.alias("host_")).agg(F.collect_set(own.line).alias("gone"))
     names = docs.columns
-    return docs.join(gone, "doc_id", "left").select(*names, "mix_gone").mapInArrow(lambda it: _stripped(it, names), docs.schema)
+    at = [n.lower() for n in names].index("text")
+    flat = docs.select(F.struct("*").alias("row"), F.md5("text").alias("own_md5"), F.col(host).cast("string").alias("own_host"))
+    both = flat.join(gone, (F.col("own_md5") == F.col("md5")) & F.col("own_host").eqNullSafe(F.col("host_")), "left")
+    both = both.select(*(F.col("row").getField(n).alias(f"c{i}") for i, n in enumerate(names)), "gone")
+    return both.mapInArrow(lambda it: _stripped(it, names, at), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
