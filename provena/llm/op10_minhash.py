@@ -105,7 +105,9 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         ends = np.zeros(n + 1, np.int64)
         ends[1:] = np.cumsum(count > 0)
         doc = np.repeat(np.arange(n), count)
-        odd = np.bincount(doc * PARITY + (value & np.uint64(PARITY - 1)).astype(np.int64), minlength=n * PARITY).astype(np.uint8) & 1
+        odd = np.zeros(n * PARITY, np.uint8)
+        np.add.at(odd, doc * PARITY + (value & np.uint64(PARITY - 1)).astype(np.int64), np.uint8(1))
+        odd &= 1
         parity = np.packbits(odd.reshape(n, PARITY), axis=1).view(np.int64)[full]
         yield pa.RecordBatch.from_arrays(
             [column(batch, "doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(pair[0].view(np.int64)), pa.array(pair[1].view(np.int64)), list_array(band.ravel(), ends * BANDS, pa.int64()), list_array(parity.ravel(), ends * (PARITY // 64), pa.int64())],
