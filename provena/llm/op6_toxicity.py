@@ -2,7 +2,8 @@
 
 The lexicon is learned: terms whose share of toxic training documents is significantly high, on their
 own or together with the other terms of their stem (`STEMS` letters), and that stand in several
-different contexts (terms that stand between the same words again and again come from copies of one document).
+different contexts. Copies of a text count once, and a toxic text counts for a term only if it adds a context
+(the words beside the term) that no other text counts for; what is new in near copies counts as one more text.
 All terms form a trie; the automaton that accepts every string within a term's edit limit is the
 trie's states paired with edits spent, made deterministic lazily and kept for reuse, so a distinct word
 costs one step for each character until it dies, whatever the number of terms. Each hit is scored in
@@ -12,8 +13,8 @@ the probability.
 
 Learned from a bounded sample of labelled documents (`SAMPLE`, by a hash of the id); everything else
 covers every whole text. Defined results: null and empty texts score as texts without hits; null labels
-are not learned from; an id labelled twice counts as toxic if any label is; repeated rows are scored
-alike; an empty table gives no rows; extra columns are ignored by `score` and kept by `screen`.
+are not learned from; an id or a text labelled twice counts as toxic if any label is; repeated rows are
+scored alike; an empty table gives no rows; extra columns are ignored by `score` and kept by `screen`.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ SAMPLE, TERMS = 8000, 400
 RATIO = 20.0
 #: Letters of the stems that a term shares with its inflected forms.
 STEMS = (4, 5)
-#: A term stands between so many different pairs of words for each document that has it.
-CONTEXTS = 0.8
+#: A term stands between so many different pairs of words; a text with a smaller share of new ones is a near copy.
+CONTEXTS, FRESH = 3, 0.5
 #: Words on either side of a hit.
 WINDOW = 10
 _WORD = re.compile(r"[^\W_]+")
@@ -188,32 +189,33 @@ def features(text: str | None, auto: Automaton) -> list[float] | None:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of toxic training texts: term, words around it; of clean ones: term, how many texts have it."""
+    """Rows of toxic training texts: term, words around it, text, and under the term "" how many
+    contexts a text has; of clean ones: term, how many texts have it."""
     clean: Counter = Counter()
 
-    def rows(term: list, around: list, toxic: bool, n: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(around, pa.string()), pa.array([toxic] * len(term), pa.bool_()), pa.array(n, pa.int64())], ["term", "around", "toxic", "n"])
+    def rows(term: list, around: list, key: list, n: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(around, pa.string()), pa.array(key, pa.string()), pa.array(n, pa.int64())], ["term", "around", "key", "n"])
 
     for batch, _, _ in slices(batches):
-        term, around, n = [], [], []
-        for text, toxic in zip(column(batch, "text").to_pylist(), column(batch, "label").to_pylist(), strict=True):
+        term, around, key, whole = [], [], [], []
+        for text, toxic, own_key in zip(*(column(batch, c).to_pylist() for c in ("text", "label", "key")), strict=True):
             words = _WORD.findall((text or "").lower())
             if toxic:
-                seen = set()
                 pairs = {(f"{b} {a}", t) for b, t, a in zip(["", *words], words, [*words[1:], ""], strict=False)}
-                for b, t in sorted(pairs | {(b, t[:k] + "*") for b, t in pairs for k in STEMS if len(t) > k}):
+                for b, t in pairs | {(b, t[:k] + "*") for b, t in pairs for k in STEMS if len(t) > k}:
                     term.append(t)
                     around.append(b)
-                    n.append(int(t not in seen))
-                    seen.add(t)
+                    key.append(own_key)
+                whole.append((own_key, len(pairs)))
             else:
                 own = set(words)
                 clean.update(own | {t[:k] + "*" for t in own for k in STEMS if len(t) > k})
-        yield rows(term, around, True, n)
+        yield rows(term, around, key, [0] * len(term))
+        yield rows([""] * len(whole), [k for k, _ in whole], [k for k, _ in whole], [n for _, n in whole])
         if len(clean) > _KEPT:
-            yield rows(list(clean), [None] * len(clean), False, list(clean.values()))
+            yield rows(list(clean), [None] * len(clean), [None] * len(clean), list(clean.values()))
             clean.clear()
-    yield rows(list(clean), [None] * len(clean), False, list(clean.values()))
+    yield rows(list(clean), [None] * len(clean), [None] * len(clean), list(clean.values()))
 
 
 def _featured(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
@@ -242,27 +244,36 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     ship(docs.sparkSession)
     own = labels.filter("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    known = work.save(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "label"), "labelled")  # at most `sample` labels
+    known = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").groupBy(F.coalesce(F.md5("text"), F.lit("")).alias("key"))  # at most `sample` labels
+    known = work.save(known.agg(F.first("text").alias("text"), F.max("label").alias("label")), "labelled")
     size = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     bad, good = sum(n for k, n in size.items() if k), size.get(0, 0)
     if not bad or not good:
         return Model(bias=5.0 if bad else -5.0)
-    terms = known.mapInArrow(_contexts, "term string, around string, toxic boolean, n long").groupBy("term").agg(
-        F.expr("sum(n) filter (where toxic)").alias("bad"), F.expr("coalesce(sum(n) filter (where not toxic), 0)").alias("good"), F.expr("count(distinct around)").alias("contexts")
-    )
+    # A context counts for one of its texts, the one of the least key.
+    pairs = known.mapInArrow(_contexts, "term string, around string, key string, n long").groupBy("term", "around").agg(F.min("key").alias("key"), F.sum("n").alias("n"))
+    pairs = work.save(pairs, "contexts")
+    new = pairs.filter("term <> '' and term not like '%*' and key is not null").groupBy("key").agg(F.count("*").alias("new"))
+    texts = work.save(pairs.filter("term = ''").join(new, "key", "left").select("key", (F.coalesce("new", F.lit(0)) >= FRESH * F.col("n")).alias("fresh")), "texts")
+    bad = max(1, texts.filter("fresh").count())
+    # What is new in near copies counts as one more text.
+    near = F.broadcast(texts.filter("not fresh").select("key", F.lit("near").alias("near")))
+    terms = pairs.filter("term <> ''").join(near, "key", "left").groupBy("term").agg(F.countDistinct(F.coalesce("near", "key")).alias("bad"), F.sum("n").alias("good"), F.count("around").alias("contexts"))
     terms = work.save(terms.filter("bad > 0"), "terms")
     p = bad / (bad + good)
     ratio = (F.col("bad") + 0.5) / (bad + 1.0) / ((F.col("good") + 0.5) / (good + 1.0))
     n = F.col("bad") + F.col("good")
     # Likelihood ratio against the share of all documents, held against the number of terms tried.
     surprise = F.col("bad") * F.log(F.col("bad") / (n * p)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - p)))).otherwise(0.0)
-    sure = terms.filter((ratio >= min(RATIO, good / 4)) & (F.col("contexts") >= F.greatest(F.lit(3), CONTEXTS * F.col("bad"))) & (F.length("term") >= 3) & (surprise >= np.log(max(terms.count(), 2))))
+    sure = terms.filter((ratio >= min(RATIO, good / 4)) & (F.col("contexts") >= CONTEXTS) & (F.length("term") >= 3) & (surprise >= np.log(max(terms.count(), 2))))
     stems = sure.filter("term like '%*'").orderBy(F.desc("bad"), "term").limit(most).select(F.col("term").alias("stem"))
     own = terms.filter("term not like '%*'")
     forms = own.filter("good = 0").withColumn("stem", F.explode(F.array(*(F.concat(F.substring("term", 1, k), F.lit("*")) for k in STEMS)))).join(F.broadcast(stems), "stem").select("term", "bad")
     found = sure.filter("term not like '%*'").select("term", "bad").unionByName(forms).distinct().orderBy(F.desc("bad"), "term").limit(most)
     words = [r["term"] for r in found.collect()]
     work.drop(terms)
+    work.drop(pairs)
+    work.drop(texts)
     if not words:
         return Model()
     rows = known.mapInArrow(lambda it: _featured(it, words), "label int, x array<double>").groupBy("x", "label").agg(F.count("*").alias("n")).collect()  # at most `sample` rows

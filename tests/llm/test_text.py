@@ -206,3 +206,27 @@ def test_toxicity_awkward(awkward, nothing, labels, no_labels):
         kept = op6_toxicity.screen(awkward, model)
         assert kept.schema == awkward.schema
     assert op6_toxicity.score(nothing, op6_toxicity.learn(nothing, labels)).count() == 0
+
+
+def test_toxic_copies_keep_their_terms(spark):
+    """Thousands of exact or near copies of one toxic text neither hide its terms nor teach its other words."""
+    rng = np.random.default_rng(6)
+    vocabulary = ["".join(rng.choice(list("bcdfghklmn"), 6)) for _ in range(3000)]
+    prose = lambda n: list(rng.choice(vocabulary, n))
+    clean = [" ".join(prose(60)) for _ in range(600)]
+    toxic = []
+    for _ in range(60):
+        w = prose(60)
+        w[20] = w[40] = "zworthless"
+        toxic.append(" ".join(w))
+    hot = prose(60)
+    hot[30], hot[10] = "zworthless", "rareinnocent"
+    near = [" ".join([*hot[:58], f"e{i}", f"f{i}"]) for i in range(1500)]
+    for copies in ([" ".join(hot)] * 1500, near):
+        texts = clean + toxic + copies
+        labelled = spark.createDataFrame([(i, 0, int(i >= len(clean))) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+        docs = spark.createDataFrame(make(texts), SCHEMA)
+        model = op6_toxicity.learn(docs, labelled)
+        assert model.terms == ["zworthless"]
+        rows = {r.doc_id: r.score for r in op6_toxicity.score(docs, model).collect()}
+        assert all((s >= 0.5) == (i >= len(clean)) for i, s in rows.items())
