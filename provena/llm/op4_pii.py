@@ -4,8 +4,10 @@ High-recall generators (regular expressions in the JVM) propose overlapping span
 before their checks, any long digit group, spelled-out mail addresses and account numbers. Each span gets
 small integer features of its format (digits, separators, shape, checksum) and context (words before it,
 letters beside it). Labels are weak: a span that a base rule confirms, or that lies on one, is personal
-data, other spans are not; `PRIOR` adds fixed cases that the base rules cannot confirm. As features are
-small integers, the whole corpus is one contingency table whose size is bounded by their product; it is
+data; a base kind's span that its rule refuses is not, and neither is an added kind's span after a harmless
+word. Other spans of the added kinds, which no rule can confirm, have no label; `PRIOR` has fixed cases of
+them. Each generator's weak labels weigh `WEAK` together, so neither the size of a table nor its number of
+unlabelled cases changes the result. As features are small integers, the whole corpus is one contingency table whose size is bounded by their product; it is
 counted by Spark, boosted trees are grown on it, and they come back as nested CASE expressions. Each
 generator's threshold is the lowest score at which its weak precision reaches `PRECISION`.
 
@@ -62,6 +64,8 @@ _CONTEXT = (
     r"(?i)(?:isbn|issn|version|page|order|part|section|rfc)[^0-9]{0,12}$",
 )
 _SHAPE = (r"^[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}$", r"^\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}$", r"^[0-9]{4}(?:[ -][0-9]{4}){3}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+#: The context of harmless numbers, and what all weak labels of a generator weigh together.
+HARMLESS, WEAK = len(_CONTEXT), 60.0
 FEATURES = ("gen", "digits", "seps", "shape", "checked", "context", "beside")
 #: Fixed cases (features as above, label, weight) that base rules cannot confirm.
 PRIOR = (
@@ -148,7 +152,7 @@ def grow(rows: list[tuple[tuple[int, ...], int, float]]) -> list:
     trees = []
 
     def value(own: list[int], g: list[float], h: list[float]) -> float:
-        return -RATE * sum(g[i] for i in own) / (sum(h[i] for i in own) + RIDGE)
+        return round(-RATE * sum(g[i] for i in own) / (sum(h[i] for i in own) + RIDGE), 6)  # as in _case, or scores would miss their thresholds
 
     def split(own: list[int], g: list[float], h: list[float], depth: int):
         if depth == 0:
@@ -197,20 +201,22 @@ def _case(tree) -> str:
 
 
 def learn(found: DataFrame) -> tuple[list, dict[int, float]]:
-    """Trees and each generator's threshold, from the contingency table of all candidates."""
+    """Trees and each generator's threshold, from the contingency table of all labelled candidates."""
     near = "exists(found, y -> y.base and y.kind <> x.kind and y.s < x.e and x.s < y.e)"
     rows = found.filter("size(found) > 0").selectExpr(f"explode(transform(found, x -> struct({', '.join(f'x.{f}' for f in FEATURES)}, cast(x.base or {near} as int) as label))) as x")
     counted = rows.groupBy(*(f"x.{f}" for f in FEATURES), "x.label").agg(F.count("*").alias("n")).collect()  # bounded by the product of the features' values
-    table_ = sorted([(tuple(r[f] for f in FEATURES), r["label"], float(r["n"])) for r in counted] + list(PRIOR))
+    known = [r for r in counted if r["label"] or r["gen"] < len(BASE) or r["context"] == HARMLESS]
+    total = {g: sum(r["n"] for r in known if r["gen"] == g) for g in range(len(KINDS))}
+    table_ = sorted([(tuple(r[f] for f in FEATURES), r["label"], WEAK * r["n"] / total[r["gen"]]) for r in known] + list(PRIOR))
     trees = grow(table_)
     cuts = {}
     for gen in range(len(KINDS)):
         scored = sorted(((sum(walk(t, x) for t in trees), y, n) for x, y, n in table_ if x[0] == gen), reverse=True)
-        good = total = 0.0
+        good = whole = 0.0
         cuts[gen] = math.inf
         for i, (m, y, n) in enumerate(scored):
-            good, total = good + n * y, total + n
-            if (i + 1 == len(scored) or scored[i + 1][0] < m) and good >= PRECISION * total and m > 0:
+            good, whole = good + n * y, whole + n
+            if (i + 1 == len(scored) or scored[i + 1][0] < m) and good >= PRECISION * whole and m > 0:
                 cuts[gen] = m
     return trees, cuts
 

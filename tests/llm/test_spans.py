@@ -117,6 +117,17 @@ def test_pii_adds_by_context(spark):
     assert clean[0] == "call tel [PII] today" and clean[6] == "\U0001f600 [PII] and [PII]" and clean[7] is None and clean[5] == texts[5]
 
 
+@pytest.mark.parametrize("cases", [10, 1_000, 100_000])
+def test_pii_found_at_every_size(spark, cases):
+    """However many cases no rule confirms, each is found, and harmless numbers beside them are not."""
+    planted = ["tel 555-123-{}", "ssn: 123-45-{}", "write john.doe (at) example{} (dot) org", "iban GB29NWBK60161331926818"]
+    harmless = ["part 555-123-{}", "at 555-123-{} so", "2024-01-02 10 20 30"]
+    rows = " union all ".join(f"select id * 7 + {k} as doc_id, replace('{t}', '{{}}', cast(1000 + id % 9000 as string)) as text from range({cases})" for k, t in enumerate(planted + harmless))
+    docs = spark.sql(rows).union(spark.sql("select -id - 1, concat('me', id, '@x.org or +1 (988) 555-2485') from range(200)"))
+    got = op4_pii.find(docs).selectExpr("pmod(doc_id, 7) as k", "doc_id >= 0 as own", "transform(spans, x -> x.kind) as kinds").filter("own").groupBy("k", "kinds").count().collect()
+    assert {(r.k, tuple(r.kinds)): r["count"] for r in got} == {(k, t): cases for k, t in enumerate([("number",), ("number",), ("mailat",), ("account",), (), (), ()])}
+
+
 # --- secrets
 
 ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
