@@ -33,8 +33,8 @@ from ..session import ship, table
 from . import work
 from .bytes_ import column, slices
 
-#: Most labelled documents to learn from, and most terms of the lexicon.
-SAMPLE, TERMS = 8000, 400
+#: Most labelled documents to learn from; their terms bound the lexicon.
+SAMPLE = 8000
 #: A term is at least so many times likelier in toxic documents than in clean ones.
 RATIO = 20.0
 #: Letters of the stems that a term shares with its inflected forms.
@@ -239,7 +239,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = TERMS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on labelled documents whose crc32(doc_id) mod 5 is not 0."""
     ship(docs.sparkSession)
     own = labels.filter("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.max("toxic").alias("label"))
@@ -266,10 +266,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     # Likelihood ratio against the share of all documents, held against the number of terms tried.
     surprise = F.col("bad") * F.log(F.col("bad") / (n * p)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - p)))).otherwise(0.0)
     sure = terms.filter((ratio >= min(RATIO, good / 4)) & (F.col("contexts") >= CONTEXTS) & (F.length("term") >= 3) & (surprise >= np.log(max(terms.count(), 2))))
-    stems = sure.filter("term like '%*'").orderBy(F.desc("bad"), "term").limit(most).select(F.col("term").alias("stem"))
+    stems = sure.filter("term like '%*'").select(F.col("term").alias("stem"))
     own = terms.filter("term not like '%*'")
     forms = own.filter("good = 0").withColumn("stem", F.explode(F.array(*(F.concat(F.substring("term", 1, k), F.lit("*")) for k in STEMS)))).join(F.broadcast(stems), "stem").select("term", "bad")
-    found = sure.filter("term not like '%*'").select("term", "bad").unionByName(forms).distinct().orderBy(F.desc("bad"), "term").limit(most)
+    found = sure.filter("term not like '%*'").select("term", "bad").unionByName(forms).distinct().orderBy(F.desc("bad"), "term")
     words = [r["term"] for r in found.collect()]
     work.drop(terms)
     work.drop(pairs)

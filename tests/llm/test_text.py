@@ -230,3 +230,15 @@ def test_toxic_copies_keep_their_terms(spark):
         assert model.terms == ["zworthless"]
         rows = {r.doc_id: r.score for r in op6_toxicity.score(docs, model).collect()}
         assert all((s >= 0.5) == (i >= len(clean)) for i, s in rows.items())
+
+
+def test_large_lexicon(spark):
+    """Every significant term is learned, however many there are."""
+    rng = np.random.default_rng(7)
+    word = lambda letters: "".join(rng.choice(list(letters), 7))
+    plain, terms = [word("bcdfghklmn") for _ in range(1000)], sorted({word("aeiopqrstu") for _ in range(500)})
+    clean = [" ".join(rng.choice(plain, 100)) for _ in range(240)]
+    toxic = [" ".join(x for t in rng.choice(terms, 200, replace=False) for x in (rng.choice(plain), t)) for _ in range(80)]
+    labelled = spark.createDataFrame([(i, 0, int(i >= 240)) for i in range(320)], "doc_id long, quality int, toxic int")
+    model = op6_toxicity.learn(spark.createDataFrame(make(clean + toxic), SCHEMA), labelled)
+    assert len(terms) > 450 and set(model.terms) >= set(terms)
