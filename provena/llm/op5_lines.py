@@ -1,9 +1,12 @@
 """Quality rules: cross-document line frequency.
 
-Lines are normalised (case-folded words, white space ignored) and hashed. A line's frequency in a host
-is the number of distinct texts of that host that hold it, so exact copies count once. A line above the
-limit (`SHARE` of the host's distinct texts, `LEAST` at least) is boilerplate and is removed; a document
-is rejected if what remains is too little, in words or as a share. Hosts here are the documents' sources.
+Lines of at least `LINE_WORDS` words are normalised (case-folded words, white space ignored) and hashed. A
+line's frequency in a host is the number of the host's distinct documents that hold it, and its frequency in
+the corpus is the sum over hosts. A line above a limit (`HOST_LIMIT`, `ALL_LIMIT`) is boilerplate and is
+removed; the limits are counts, so a line is judged alike in small and large hosts. A document is rejected if
+what remains is too little, in words or as a share. Hosts here are the documents' sources. Exact copies of a
+text in a host are one document, so a page's copies do not turn its lines into boilerplate; with
+`count_copies` every document id counts.
 
 Distinct (host, text, line) rows are aggregated before the count, so a hot host or line is spread over
 its texts and only partial sums meet. Boilerplate lines are broadcast while they number up to `SMALL`,
@@ -29,17 +32,19 @@ from . import work
 from .bytes_ import Words, column, digests, list_array, slices, totals
 from .docstats import SYMBOLS, Lines, code_points, distinct, repeated
 
-#: A line is boilerplate in more than this share of a host's distinct texts, and in more than LEAST.
-SHARE, LEAST = 0.1, 10
+#: A line is boilerplate in more documents of a host, or of the corpus, than these; shorter lines never are.
+HOST_LIMIT, ALL_LIMIT, LINE_WORDS = 20, 100, 3
 #: A document is depleted if fewer words than this, or a smaller share of its words, remain.
-WORDS_LEFT, SHARE_LEFT = 10, 0.3
+WORDS_LEFT, SHARE_LEFT = 20, 0.3
 SMALL = 100_000
 _STATS = "host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_a long, text_b long, lines array<long>, line_words array<int>"
 
 
 def _distinct_lines(lines: Lines, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's distinct normalised lines with the words of all their occurrences, and offsets."""
-    order = np.lexsort((lines.norm, lines.doc))
+    """Each text's distinct normalised lines that are long enough, with the words of all their
+    occurrences, and offsets."""
+    long_ = np.flatnonzero(lines.words >= LINE_WORDS)
+    order = long_[np.lexsort((lines.norm[long_], lines.doc[long_]))]
     k, d, w = lines.norm[order], lines.doc[order], lines.words[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
@@ -63,25 +68,36 @@ def _counted(batches: Iterator[pa.RecordBatch], host: str) -> Iterator[pa.Record
         )
 
 
-def _boilerplate(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(host, text, line, words) of distinct texts, and the boilerplate (host, line)."""
-    lines = texts.select("host", "text_a", "text_b", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("host", "text_a", "text_b", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    size = texts.groupBy("host").agg(F.count("*").alias("size"))
-    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > LEAST)
-    bad = often.join(size, often.host.eqNullSafe(size.host)).filter(F.col("n") > SHARE * F.col("size")).select(often.host, "line", "n")
-    return lines, work.save(bad, "boilerplate")
+def _texts(stats: DataFrame, count_copies: bool) -> DataFrame:
+    """Copies of one text are one document of the host: the key holds the text, so a hot host is spread."""
+    n = F.greatest(F.count_distinct("doc_id"), F.lit(1)) if count_copies else F.lit(1).cast("long")
+    return work.save(stats.filter("n_words > 0").groupBy("host", "text_a", "text_b").agg(F.first("doc_id").alias("doc_id"), F.first("lines").alias("lines"), F.first("line_words").alias("line_words"), n.alias("documents")), "texts")
 
 
-def judge(docs: DataFrame, host: str = "source") -> DataFrame:
+def _boilerplate(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(host, text, line, words) of distinct texts, the boilerplate (host, line), and that of the corpus (line)."""
+    lines = texts.select("doc_id", "host", "text_a", "text_b", "documents", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("doc_id", "host", "text_a", "text_b", "documents", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
+    often = work.save(lines.groupBy("host", "line").agg(F.sum("documents").alias("n")), "line-counts")
+    own = work.save(often.filter(F.col("n") > HOST_LIMIT).select(F.col("host").alias("own_host"), F.col("line").alias("own_line")), "boilerplate")
+    common = work.save(often.groupBy("line").agg(F.sum("n").alias("n")).filter(F.col("n") > ALL_LIMIT).select(F.col("line").alias("common_line")), "boilerplate")
+    work.drop(often)
+    return lines, own, common
+
+
+def _held(lines: DataFrame, own: DataFrame, common: DataFrame) -> DataFrame:
+    """The lines that are boilerplate."""
+    own, common = (F.broadcast(x) if x.count() <= SMALL else x for x in (own, common))
+    both = lines.join(own, F.col("host").eqNullSafe(F.col("own_host")) & (F.col("line") == F.col("own_line")), "left").join(common, F.col("line") == F.col("common_line"), "left")
+    return both.filter("own_line is not null or common_line is not null")
+
+
+def judge(docs: DataFrame, host: str = "source", count_copies: bool = False) -> DataFrame:
     """Counts, base verdict, removed lines and words, and the final verdict of every row."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     stats = work.save(docs.select("doc_id", host, "text").mapInArrow(lambda it: _counted(it, host), f"doc_id {kind}, {_STATS}"), "counts")
-    # Copies of one text are one document of the host: the key holds the text, so a hot host is spread.
-    texts = work.save(stats.filter("n_words > 0").groupBy("host", "text_a", "text_b").agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words")), "texts")
-    lines, bad = _boilerplate(texts)
-    few = F.broadcast(bad) if bad.count() <= SMALL else bad
-    hit = lines.join(few, lines.host.eqNullSafe(few.host) & (lines.line == few.line)).groupBy(lines.host.alias("host_"), F.col("text_a").alias("a_"), F.col("text_b").alias("b_")).agg(F.count("*").alias("n_removed_lines"), F.sum("words").alias("removed"))
+    held = _held(*_boilerplate(_texts(stats, count_copies)))
+    hit = held.groupBy(F.col("host").alias("host_"), F.col("text_a").alias("a_"), F.col("text_b").alias("b_")).agg(F.count("*").alias("n_removed_lines"), F.sum("words").alias("removed"))
     hit = work.save(hit, "hits")  # a plain shuffle below, whose hot keys Spark can split
     out = stats.join(hit, F.col("host").eqNullSafe(F.col("host_")) & (F.col("text_a") == F.col("a_")) & (F.col("text_b") == F.col("b_")), "left")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -114,11 +130,7 @@ def strip(docs: DataFrame, host: str = "source") -> DataFrame:
     ship(docs.sparkSession)
     named = docs.select(F.md5("text").alias("doc_id"), F.col(host).cast("string").alias("host"), "text")
     stats = work.save(named.mapInArrow(lambda it: _counted(it, "host"), f"doc_id string, {_STATS}"), "counts")
-    texts = work.save(stats.filter("n_words > 0").dropDuplicates(["host", "text_a", "text_b"]), "texts")
-    bad = _boilerplate(texts)[1]
-    own = texts.select("doc_id", "host", F.explode("lines").alias("line"))
-    few = F.broadcast(bad) if bad.count() <= SMALL else bad
-    gone = own.join(few, own.host.eqNullSafe(few.host) & (own.line == few.line)).groupBy(own.doc_id.alias("md5"), own.host.alias("host_")).agg(F.collect_set(own.line).alias("gone"))
+    gone = _held(*_boilerplate(_texts(stats, False))).groupBy(F.col("doc_id").alias("md5"), F.col("host").alias("host_")).agg(F.collect_set("line").alias("gone"))
     names = docs.columns
     at = [n.lower() for n in names].index("text")
     flat = docs.select(F.struct("*").alias("row"), F.md5("text").alias("own_md5"), F.col(host).cast("string").alias("own_host"))
@@ -138,8 +150,8 @@ l as (select rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches
 r as (select rid, i from (select rid, i, array_to_string(ws[i:i + 7], ' ') k from (select rid, ws, unnest(range(1, len(ws) - 6)) i from d)) qualify count(*) over (partition by rid, k) > 1),
 c as (select rid, count(distinct i + o) n from r, range(8) x(o) group by rid),
 n as (select rid, host, t, array_to_string(nw, ' ') line, len(nw) words from (select l.rid, host, t, regexp_extract_all(translate(unnest(ls), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') nw from l join d using (rid))),
-z as (select host, count(distinct t) size from n group by host),
-bad as (select n.host, line from n join z on n.host is not distinct from z.host group by n.host, line, size having count(distinct t) > {LEAST} and count(distinct t) > {SHARE}::double * size),
+o as (select host, line, count(distinct t) k from n where words >= {LINE_WORDS} group by host, line),
+bad as (select host, line from o qualify k > {HOST_LIMIT} or sum(k) over (partition by line) > {ALL_LIMIT}),
 g as (select rid, count(distinct n.line) kinds, sum(words)::bigint removed from n join bad on n.host is not distinct from bad.host and n.line = bad.line group by rid),
 f as (select d.doc_id, len(ws) n_words, length(array_to_string(ws, '')) word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) n_symbols, len(ls) - len(list_distinct(ls)) n_dup_lines,
 coalesce(c.n, 0) n_repeat_words, coalesce(kinds, 0) n_removed_lines, len(ws) - coalesce(removed, 0) words_left, removed is not null hit from d join l using (rid) left join c using (rid) left join g using (rid))

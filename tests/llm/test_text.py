@@ -124,17 +124,19 @@ def test_rules_against_brute_force(spark, awkward, nothing):
 
 
 def brute_depleted(rows):
-    """Line frequencies over distinct texts of each host, as documented."""
+    """Line frequencies over distinct texts of each host and of all, as documented."""
     norm = lambda line: " ".join(re.findall(SPACE, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)))
     texts = {(r.source, r.text) for r in rows if re.search(SPACE, r.text or "")}
-    size, often = collections.Counter(h for h, _ in texts), collections.Counter()
+    often, common = collections.Counter(), collections.Counter()
     for h, t in texts:
-        often.update((h, x) for x in {norm(line) for line in t.split("\n")} if x)
-    bad = {k for k, n in often.items() if n > op5_lines.LEAST and n > op5_lines.SHARE * size[k[0]]}
+        own = {x for x in map(norm, t.split("\n")) if x.count(" ") + 1 >= op5_lines.LINE_WORDS}
+        often.update((h, x) for x in own)
+        common.update(own)
     out = {}
     for r in rows:
         n = len(re.findall(SPACE, r.text or ""))
-        gone = [len(norm(x).split(" ")) for x in (r.text or "").split("\n") if (r.source, norm(x)) in bad]
+        lines = [norm(x) for x in (r.text or "").split("\n")]
+        gone = [len(x.split(" ")) for x in lines if often[r.source, x] > op5_lines.HOST_LIMIT or common[x] > op5_lines.ALL_LIMIT]
         left = n - sum(gone)
         out[r.doc_id] = bool(gone) and (left < op5_lines.WORDS_LEFT or left < op5_lines.SHARE_LEFT * n)
     return out
@@ -155,6 +157,30 @@ def test_lines_across_documents(spark):
         assert all((not r.kept) == (r.base_failed or want[r.doc_id]) for r in op5_lines.judge(d).collect())
 
 
+def test_boilerplate_in_small_and_large_hosts(spark):
+    """A planted line is removed whatever share of a host's documents holds it; rare and short ones stay."""
+    hosts = {"all": (60, 60), "tenth": (600, 60), "hundredth": (6000, 60), "below": (300, 15)}
+    texts, sources, planted = [], [], []
+    for h, (size, n) in hosts.items():
+        for i in range(size):
+            own = i < n
+            text = " ".join(f"{h}{i}w{j}" for j in range(25)) + "\nthe end"
+            texts.append(text + (f"\nread more of {'this' if h != 'below' else 'that'} site" if own else ""))
+            sources.append(h)
+            planted.append(own and h != "below")
+    docs = spark.createDataFrame(make(texts, sources=sources), SCHEMA)
+    got = {r.doc_id: r.n_removed_lines for r in op5_lines.judge(docs).collect()}
+    assert all(got[i] == int(p) for i, p in enumerate(planted))
+    # In the corpus: six documents in each of twenty hosts are above the limit of all.
+    texts = [" ".join(f"q{i}w{j}" for j in range(25)) + "\nprinted by one press" for i in range(120)]
+    spread = spark.createDataFrame(make(texts, sources=[f"h{i % 20}" for i in range(120)]), SCHEMA)
+    assert all(r.n_removed_lines == 1 and r.kept for r in op5_lines.judge(spread).collect())
+    # Copies count only where that is asked for; then their own lines deplete them.
+    copies = spark.createDataFrame(make(["\n".join(" ".join(f"l{k}w{j}" for j in range(12)) for k in range(4))] * 40, sources=["one"] * 40), SCHEMA)
+    assert all(r.kept for r in op5_lines.judge(copies).collect())
+    assert not any(r.kept for r in op5_lines.judge(copies, count_copies=True).collect())
+
+
 def test_toxicity_held_out(spark):
     rows = op6_toxicity.query(spark, oracle.SMALL).join(table(spark, "labels"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
