@@ -37,8 +37,10 @@ SIZE = 4096
 END = 2
 #: Chunks that a worker remembers (about 150 bytes each).
 _CACHE = 900_000
+#: The white space of Latin-1 as the tokenizer sees it (U+001C to U+001F are no part of it).
+_SPACE = r"\x09-\x0D\x20\x85\xA0"
 #: Two marks side by side, which the tokenizer takes as one.
-_MARKS = re.compile(r"[^\s\w][^\s\w]|_")
+_MARKS = re.compile(rf"[^{_SPACE}\w][^{_SPACE}\w]|_")
 _loaded: dict = {}
 
 
