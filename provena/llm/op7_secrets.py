@@ -9,7 +9,9 @@ has a base-64 body whose DER length is the decoded length. Candidates that fail
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; a span
 never crosses into another text; spans of different kinds may overlap and all are reported; repeated
-rows and null ids are scanned like others; extra columns are ignored by `find` and kept by `redact`.
+rows and null ids are scanned like others; an empty table gives no rows; extra columns are ignored by
+`find` and kept by `redact`. Every byte is read a bounded number of times, so a text's time grows with its
+length alone.
 """
 
 from __future__ import annotations
@@ -41,7 +43,8 @@ _ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _GITHUB = re.compile(rb"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 _NPM = re.compile(rb"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-_JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+_JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]++)\.(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]++")
+_JWT_RUN = re.compile(rb"[A-Za-z0-9_-]*+")
 _PEM = re.compile(rb"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 _WORDS = {
     "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
@@ -139,6 +142,8 @@ def spans(buf: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[int, int, in
             last[d, kind] = m.end()
             if valid(m):
                 found.setdefault(d, []).append((at, KINDS.index(kind), m.end()))
+        elif kind == "jwt":  # later starts in the same run would fail at the same place
+            last[d, kind] = _JWT_RUN.match(raw, at, int(off[d + 1])).end()
     starts, ends = _hex_runs(buf, off)
     for d, s, e in zip((np.searchsorted(off, starts, "right") - 1).tolist(), starts.tolist(), ends.tolist(), strict=True):
         found.setdefault(d, []).append((s, KINDS.index("hex"), e))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -169,6 +171,23 @@ def test_checksums_decide(spark):
     assert clean[0] == "x [SECRET] y" and clean[1] == texts[1]
 
 
+@pytest.mark.parametrize("part", ["eyJ", "eyJa.", "eyJa.eyJb", "eyJ.eyJ", "token", "token=", "token: ", "AKIA", "ghp_", "-----BEGIN ", "-----BEGIN PRIVATE KEY-----a", "deadbeef", "secret=é"])
+def test_secrets_in_linear_time(part):
+    """A megabyte of one keyword."""
+    raw = (part * (1_000_000 // len(part))).encode()
+    began = time.process_time()
+    op7_secrets.spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert time.process_time() - began < 4
+
+
+def test_jwt_starts_inside_runs():
+    """Skipping starts of a failed run loses no token."""
+    head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    text = f"eyJeyJx eyJ. xeyJ.eyJ {head}.{head}.ab eyJ{head} {head}.{head}.c"
+    found = op7_secrets.spans(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0]
+    assert [text[s:e] for s, k, e in found if op7_secrets.KINDS[k] == "jwt"] == [f"{head}.{head}.ab", f"{head}.{head}.c"]
+
+
 def test_redaction_keeps_the_rest(awkward):
     out = op7_secrets.redact(awkward)
     assert out.schema == awkward.schema and out.count() == awkward.count()
@@ -228,6 +247,20 @@ def test_packing_odd_texts(spark, awkward, nothing):
     assert op8_packing.pack(nothing).count() == 0
 
 
+def test_chunks_have_the_tokenizer_ids():
+    """Random strings of white space, control characters, marks and letters, chunk by chunk."""
+    path = op8_packing.tokenizer_file()
+    with open(path) as f:
+        tokenizer, last, cache = op8_packing._encoder(path, f.read())
+    rng = random.Random(3)
+    alphabet = [*"abXYZ019.,;:!?'\"()-_ \n\t\x0b\x0c\r\x85\xa0\x1c\x1d\x1e\x1f\x00éßÉµªº²½", "don't", " . ", "\x1c."]
+    for _ in range(20_000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 9)))
+        chunks = op8_packing._chunks(t)
+        op8_packing._learn(tokenizer, last, cache, set(chunks) - set(cache))
+        assert np.frombuffer(b"".join(cache[c] for c in chunks), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_patterns_hold_the_histogram():
     rng = np.random.default_rng(0)
     for _ in range(30):
