@@ -18,8 +18,9 @@ Steps, none of which lists all pairs of a group:
 5. all verified links are grouped again.
 
 Defined results: null or wordless text has n_shingles 0 and its own component; a null id makes no link
-and its row comes back with a null component; repeated rows of one id are one class; an empty table
-gives no rows; extra columns are ignored.
+and its row comes back with a null component; repeated rows of one id are one class; rows of one id with
+different texts are different documents, each with its own links, and `first` tells which one stands for a
+group; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, table
@@ -40,6 +41,8 @@ BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
 #: Bits of a parity bitmap, and most rows on one side of a block of a bucket.
 PARITY, BLOCK = 2048, 2048
+#: Tables up to this many rows are broadcast.
+SMALL = 100_000
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -110,8 +113,8 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         odd &= 1
         parity = np.packbits(odd.reshape(n, PARITY), axis=1).view(np.int64)[full]
         yield pa.RecordBatch.from_arrays(
-            [column(batch, "doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(pair[0].view(np.int64)), pa.array(pair[1].view(np.int64)), list_array(band.ravel(), ends * BANDS, pa.int64()), list_array(parity.ravel(), ends * (PARITY // 64), pa.int64())],
-            ["doc_id", "n_shingles", "set_a", "set_b", "bands", "parity"],
+            [column(batch, "doc_id").cast(pa.int64()), column(batch, "text_key"), pa.array(count, pa.int64()), pa.array(pair[0].view(np.int64)), pa.array(pair[1].view(np.int64)), list_array(band.ravel(), ends * BANDS, pa.int64()), list_array(parity.ravel(), ends * (PARITY // 64), pa.int64())],
+            ["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands", "parity"],
         )
 
 
@@ -121,9 +124,14 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), list_array(value.view(np.int64), at, pa.int64())], ["id", "set"])
 
 
+def text_key() -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64("text").alias("text_key")
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _signed(it, size), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, parity array<long>")
+    return docs.select("doc_id", "text", text_key()).mapInArrow(lambda it: _signed(it, size), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, parity array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,8 +193,27 @@ def _blocks(member: DataFrame, group: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of `docs`: doc_id, n_shingles, component_id, kept."""
+    """One row for each row of `docs`: doc_id, n_shingles, component_id, kept, first, text_key. `first`
+    marks the document that stands for its group (it differs from `kept` only for ids of several texts)."""
     signed = work.save(signatures(docs, size), "signatures")
+    again = work.save(signed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).filter("lo <> hi").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return _grouped(docs, signed, size, percent)
+    few = F.broadcast(again) if again.count() <= SMALL else again
+    own = docs.select("doc_id", "text", text_key()).join(few.withColumn("again", F.lit(True)), "doc_id", "left")
+    # Texts of a repeated id get ids of their own, below zero.
+    own = own.select(F.col("doc_id").cast("long").alias("real"), F.when(F.col("again"), F.xxhash64("doc_id", "text_key").bitwiseOR(F.lit(-(2**63)))).otherwise(F.col("doc_id").cast("long")).alias("doc_id"), "text", "text_key")
+    names = own.filter("real is not null").select("doc_id", "real").distinct()
+    own = own.select("doc_id", "text")
+    found = _grouped(own, work.save(signatures(own, size), "signatures"), size, percent).join(names, "doc_id", "left")
+    heads = found.filter("real is not null").groupBy("component_id").agg(F.min(F.struct("real", "doc_id")).alias("head"))
+    both = found.join(heads, "component_id", "left")
+    real, first = F.col("head.real"), F.coalesce(F.col("doc_id") == F.col("head.doc_id"), F.lit(False))
+    return both.select(F.col("real").alias("doc_id"), "n_shingles", real.alias("component_id"), (F.col("real") == real).alias("kept"), first.alias("first"), "text_key")
+
+
+def _grouped(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
+    """The same where no id has several texts."""
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     # As a table, so that the last join reads it by a plain shuffle, whose hot keys Spark can split.
     classes = work.save(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "sets-of-classes")
@@ -208,11 +235,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             continue
         links = links.unionByName(more)
         group = graph.components(links, "a", "b")
-    joined = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b", "n_shingles"], "left").join(group.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    joined = signed.select("doc_id", "n_shingles", "set_a", "set_b", "text_key").join(classes, ["set_a", "set_b", "n_shingles"], "left").join(group.withColumnRenamed("id", "rep"), "rep", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    own = F.col("doc_id") == component
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), own.alias("kept"), F.coalesce(own, F.lit(False)).alias("first"), "text_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's query: 4-word shingles over the whole of `documents`."""
-    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")

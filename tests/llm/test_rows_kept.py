@@ -63,3 +63,30 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, awkward):
     assert ids[5] == 1 and ids[None] == 2 and 6 not in ids and 7 not in ids
     one = stage(spark, spark.createDataFrame(make(["only one of these"] * 3, [4, 4, 4]), SCHEMA), "")
     assert [r.doc_id for r in one.collect()] == [4]
+
+
+def test_unique_text_of_a_repeated_id_stays(spark):
+    """Rows of one id with different texts are different documents, in the operator and in the pipeline."""
+    import corpus_pipeline as p
+    from provena.llm import op10_minhash
+
+    a = [f"word{i}" for i in range(60)]
+    near, unique = " ".join([*a[:59], "other"]), " ".join(f"single{i}" for i in range(40))
+    twin = unique + " more"
+    rows = [(3, " ".join(a)), (7, near), (7, unique), (9, twin), (7, twin), (None, unique), (11, None), (11, "alone here")]
+    docs = spark.createDataFrame(make([t for _, t in rows], [i for i, _ in rows]), SCHEMA)
+    got = collections.Counter((r.doc_id, r.component_id, r.first, r.kept) for r in op10_minhash.near_duplicates(docs).collect())
+    group = sum(n for (i, c, _, _), n in got.items() if c == 7)
+    assert got[3, 3, True, True] == 1 and got[7, 3, False, False] == 1 and group == 3 and got[9, 7, False, False] == 1
+    assert sum(n for (i, c, first, _), n in got.items() if c == 7 and first) == 1 and got[11, 11, True, True] == 2
+    kept = collections.Counter((r.doc_id, r.text) for r in dict(p.STAGES)["near_duplicates"](spark, docs, "").collect())
+    assert kept[3, rows[0][1]] == 1 and kept[7, near] == 0 and kept[9, twin] == 0 and kept[None, unique] == 1
+    assert kept[7, unique] + kept[7, twin] == 1 and kept[11, None] == kept[11, "alone here"] == 1
+
+
+def test_empty_table_through_the_pipeline(spark, tmp_path):
+    import corpus_pipeline as p
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
