@@ -23,15 +23,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays (and documents without an id); of rows
-    that repeat its id and text, one."""
-    found = work.save(op10_minhash.near_duplicates(docs).select("doc_id", "kept"), "near-duplicates")
-    gone = found.filter("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = work.save(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
-    if again.isEmpty():
-        return left
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    """The document with the smallest id of each group stays (and documents without an id). Rows are told
+    apart by id and text, so a unique text stays where its id is repeated; of rows that repeat both, one."""
+    found = work.save(op10_minhash.near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id", "text_key").agg(F.bool_or("first").alias("first"), F.count("*").alias("rows")), "near-duplicates")
+    named = docs.select(F.struct("*").alias("near_row"), F.col("doc_id").cast("long").alias("near_id"), op10_minhash.text_key().alias("near_key"))
+    gone = found.filter("not first").select(F.col("doc_id").alias("near_id"), F.col("text_key").alias("near_key"))
+    left = named.join(gone, ["near_id", "near_key"], "left_anti")
+    again = found.filter("first and rows > 1").select(F.col("doc_id").alias("near_id"), F.col("text_key").alias("near_key"))
+    if not again.isEmpty():
+        one = left.join(again, ["near_id", "near_key"], "left_semi").dropDuplicates(["near_id", "near_key"])
+        left = left.join(again, ["near_id", "near_key"], "left_anti").unionByName(one)
+    return left.select("near_row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
