@@ -6,15 +6,19 @@ their weights, and a child that cannot use its share is filled to capacity and t
 among its siblings (a closed form over the siblings sorted by capacity for each unit of weight). Because
 a node never gets more than its own subtree can give, a shortage is made good by siblings first and
 reaches the next ancestor's siblings only when the whole subtree is used up. A leaf's budget buys whole
-epochs and then a prefix, in tokens, of one further epoch in its own seeded order.
+epochs and then a prefix, in tokens, of one further epoch. Each epoch has its own seeded order, that of
+`mix_key`, a hash of seed, epoch and id (or text, where there is no id).
+
+Tokens are estimated, as a tokenizer cannot run in DataFrame operations: a quarter of the text's bytes,
+rounded up (see the README for the measured error); `tokens` takes another expression or a column.
 
 The prefix needs no sort of a whole leaf: rows are dealt by ranges of their order key into groups of
 bounded size, groups are summed, and only a cut-off key is taken from each leaf. The second pass over
 the rows is a filter, so texts are not shuffled.
 
 Defined results: null levels are a branch of their own, named ''; null and empty texts have no tokens
-and come with every epoch that their leaf gives, and with the partial one if it has any; rows of one
-order key (repeated rows) stand or fall together; nodes without weight or tokens get nothing; an empty
+and come with every epoch that their leaf gives, and with the partial one if their place lies in it; rows
+of one id (repeated rows) stand or fall together, as do rows without id of one text; nodes without weight or tokens get nothing; an empty
 table gives no rows; extra columns are kept, whatever their names: a row travels as one struct, and where
 `docs` has a column of an added name, its own stays and the added one is left out.
 """
@@ -40,10 +44,15 @@ WEIGHTS = {"mix_domain": {"domain0": 3, "domain1": 3, "domain2": 2, "domain3": 2
 SHARE, EPOCHS, SEED = (3, 5), 2, 7
 
 
-def _named(docs: DataFrame, domain: str, tokens: str, seed: int) -> DataFrame:
-    """Each row as a struct, with its levels, tokens and the 60-bit order key of the partial epoch."""
-    key = f"cast(conv(substr(md5(concat('{seed}', ':', coalesce(cast(doc_id as string), ''))), 1, 15), 16, 10) as bigint)"
-    return docs.selectExpr("struct(*) as mix_row", f"{domain} as mix_domain", "coalesce(lang, '') as mix_lang", "coalesce(source, '') as mix_source", f"cast({tokens} as bigint) as mix_tokens", f"{key} as mix_key")
+def _key(seed: int, epoch: str) -> str:
+    """SQL of the 60-bit place of `mix_id` in an epoch's order."""
+    return f"cast(conv(substr(md5(concat('{seed}:', {epoch}, ':', mix_id)), 1, 15), 16, 10) as bigint)"
+
+
+def _named(docs: DataFrame, domain: str, tokens: str) -> DataFrame:
+    """Each row as a struct, with its levels, tokens and id."""
+    own = "coalesce(cast(doc_id as string), concat('#', md5(coalesce(text, ''))))"
+    return docs.selectExpr("struct(*) as mix_row", f"{domain} as mix_domain", "coalesce(lang, '') as mix_lang", "coalesce(source, '') as mix_source", f"cast({tokens} as bigint) as mix_tokens", f"{own} as mix_id")
 
 
 def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
@@ -78,18 +87,18 @@ def budgets(leaves: DataFrame, total: str, weights: dict[str, dict[str, int]], e
 
 def mix(docs: DataFrame, weights: dict[str, dict[str, int]], total: str, epochs: int = 2, seed: int = 0, domain: str = DOMAIN, tokens: str = TOKENS) -> DataFrame:
     """The chosen rows, once for each epoch that takes them, with all columns of `docs` and
-    mix_domain, mix_tokens and mix_epoch (from 1). Rows without an id are one order key."""
+    mix_domain, mix_tokens, mix_epoch (from 1) and mix_key, the row's place in that epoch's order."""
     spark = docs.sparkSession
-    named = _named(docs, domain, tokens, seed)
-    narrow = named.select(*LEVELS, "mix_tokens", "mix_key")
+    named = _named(docs, domain, tokens)
+    narrow = named.select(*LEVELS, "mix_tokens", "mix_id")
     leaves = work.save(narrow.groupBy(*LEVELS).agg(F.sum("mix_tokens").alias("supply"), F.count("*").alias("n")), "leaves")
     plan = work.save(budgets(leaves, total, weights, epochs).selectExpr(*LEVELS, "n", "supply", "budget", "if(supply > 0, budget div supply, 0) as whole", "if(supply > 0, budget % supply, 0) as part"), "budgets")
     size = plan.agg(F.count("*"), F.sum("n")).first()
     small = F.broadcast if size[0] <= SMALL else (lambda x: x)
     # Each leaf is dealt by ranges of the order key into groups of about `group` rows.
     group = max(1, (size[1] or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ranges = plan.filter("part > 0").selectExpr(*LEVELS, "part", f"(1152921504606846976 div (n div {group} + 1)) + 1 as width")
-    keyed = narrow.join(small(ranges), list(LEVELS)).selectExpr(*LEVELS, "part", "mix_key", "mix_tokens", "mix_key div width as slot")
+    ranges = plan.filter("part > 0").selectExpr(*LEVELS, "whole", "part", f"(1152921504606846976 div (n div {group} + 1)) + 1 as width")
+    keyed = narrow.join(small(ranges), list(LEVELS)).selectExpr(*LEVELS, "part", f"{_key(seed, 'whole + 1')} as mix_key", "mix_tokens", "width").selectExpr(*LEVELS, "part", "mix_key", "mix_tokens", "mix_key div width as slot")
     before = keyed.groupBy(*LEVELS, "slot").agg(F.sum("mix_tokens").alias("own"), F.first("part").alias("part"))
     levels = ", ".join(LEVELS)
     before = before.selectExpr(*LEVELS, "slot", "part", f"sum(own) over (partition by {levels} order by slot) as reached", f"sum(own) over (partition by {levels} order by slot) - own as base")
@@ -100,17 +109,18 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], total: str, epochs:
     cut = inside.filter("cum <= part").groupBy(*LEVELS).agg(F.max("mix_key").alias("cut"))
     last = full.join(ranges.select(*LEVELS, "width"), list(LEVELS)).join(cut, list(LEVELS), "left").selectExpr(*LEVELS, "coalesce(cut, slot * width - 1) as cut")
     final = work.save(plan.join(last, list(LEVELS), "left").selectExpr(*LEVELS, "whole as mix_whole", "coalesce(cut, -1) as mix_cut").filter("mix_whole > 0 or mix_cut >= 0"), "cuts")
-    taken = named.join(small(final), list(LEVELS)).withColumn("mix_epoch", F.expr("sequence(1, cast(mix_whole as int) + if(mix_key <= mix_cut, 1, 0))"))
-    taken = taken.filter("mix_whole > 0 or mix_key <= mix_cut").withColumn("mix_epoch", F.explode("mix_epoch"))
+    partial = f"{_key(seed, 'mix_whole + 1')} <= mix_cut"
+    taken = named.join(small(final), list(LEVELS)).withColumn("mix_times", F.expr(f"cast(mix_whole as int) + if({partial}, 1, 0)")).filter("mix_times > 0")
+    taken = taken.withColumn("mix_epoch", F.explode(F.expr("sequence(1, mix_times)"))).withColumn("mix_key", F.expr(_key(seed, "mix_epoch")))
     own = {c.lower() for c in docs.columns}
-    return taken.select("mix_row.*", *(c for c in ("mix_domain", "mix_tokens", "mix_epoch") if c not in own))
+    return taken.select("mix_row.*", *(c for c in ("mix_domain", "mix_tokens", "mix_epoch", "mix_key") if c not in own))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three fifths of all tokens of `documents`, mixed to the weights above."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     total = f"sum(supply) * {SHARE[0]} div {SHARE[1]}"
-    return mix(docs, WEIGHTS, total, EPOCHS, SEED).select("doc_id", "mix_domain", "lang", "source", "mix_epoch", "mix_tokens")
+    return mix(docs, WEIGHTS, total, EPOCHS, SEED).select("doc_id", "mix_domain", "lang", "source", "mix_epoch", "mix_tokens", "mix_key")
 
 
 def sql(documents: str = "documents", weights: dict = WEIGHTS, share: tuple[int, int] = SHARE, epochs: int = EPOCHS, seed: int = SEED, extra: str = "") -> str:
@@ -121,7 +131,7 @@ def sql(documents: str = "documents", weights: dict = WEIGHTS, share: tuple[int,
 
     parts = [f"""named as (select *, coalesce('domain' || (try_cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') as int) % 4)::varchar, '') mix_domain,
         coalesce(lang, '') mix_lang, coalesce(source, '') mix_source, ((coalesce(strlen(text), 0) + 3) // 4)::bigint mix_tokens,
-        ('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, '')), 1, 15))::bigint mix_key from {documents}),
+        coalesce(doc_id::varchar, '#' || md5(coalesce(text, ''))) mix_id from {documents}),
     leaves as (select mix_domain, mix_lang, mix_source, sum(mix_tokens)::hugeint supply from named group by all),
     given0 as (select least(sum(supply) * {share[0]} // {share[1]}, sum(supply * {epochs})) given from leaves)"""]
     done: list[str] = []
@@ -137,10 +147,11 @@ def sql(documents: str = "documents", weights: dict = WEIGHTS, share: tuple[int,
     given{i} as (select {keys}, case when filled then cap else (given - coalesce(sum(case when filled then cap end) over ({by}), 0)) * w // nullif(sum(case when filled then 0 else w end) over ({by}), 0) end given from full{i})""")
         done.append(level)
     keys = ", ".join(LEVELS)
-    parts.append(f"""cum as (select n.*, given // supply whole, given % supply part, sum(mix_tokens) over (partition by {keys} order by mix_key) cum
-        from named n join leaves using ({keys}) join given3 using ({keys}) where supply > 0),
+    place = lambda epoch: f"('0x' || substr(md5('{seed}:' || ({epoch})::varchar || ':' || mix_id), 1, 15))::bigint"
+    parts.append(f"""lasting as (select n.*, given // supply whole, given % supply part, {place("given // supply + 1")} place from named n join leaves using ({keys}) join given3 using ({keys}) where supply > 0),
+    cum as (select *, sum(mix_tokens) over (partition by {keys} order by place) cum from lasting),
     chosen as (select *, unnest(range(1, (whole + case when part > 0 and cum <= part then 1 else 0 end)::bigint + 1))::int mix_epoch from cum)""")
-    return f"with {', '.join(parts)} select doc_id, mix_domain, lang, source, mix_epoch, mix_tokens{extra} from chosen"
+    return f"with {', '.join(parts)} select doc_id, mix_domain, lang, source, mix_epoch, mix_tokens, {place('mix_epoch')} mix_key{extra} from chosen"
 
 
 SQL = sql()
