@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -33,7 +34,7 @@ def counted(rows):
 @pytest.mark.parametrize("share,epochs", [((3, 5), 2), ((1, 10), 1), ((5, 2), 4), ((9, 1), 3)])
 def test_mix_same_as_sql(spark, share, epochs):
     docs = table(spark, "documents").select("doc_id", "lang", "source", "text")
-    got = op3_mixing.mix(docs, op3_mixing.WEIGHTS, f"sum(supply) * {share[0]} div {share[1]}", epochs, 3).select("doc_id", "mix_domain", "lang", "source", "mix_epoch", "mix_tokens")
+    got = op3_mixing.mix(docs, op3_mixing.WEIGHTS, f"sum(supply) * {share[0]} div {share[1]}", epochs, 3).select("doc_id", "mix_domain", "lang", "source", "mix_epoch", "mix_tokens", "mix_key")
     assert oracle.difference(got, op3_mixing.sql(share=share, epochs=epochs, seed=3), oracle.connect(oracle.TINY)) == ""
 
 
@@ -45,11 +46,20 @@ def test_mix_awkward_same_as_sql(spark, awkward, nothing):
     for share, epochs in (((3, 5), 2), ((1, 1), 1), ((20, 1), 3)):
         got = op3_mixing.mix(awkward, op3_mixing.WEIGHTS, f"sum(supply) * {share[0]} div {share[1]}", epochs, 7)
         assert got.columns[: len(awkward.columns)] == awkward.columns
-        got = got.select("doc_id", "mix_domain", "lang", "source", "mix_epoch", "mix_tokens")
+        got = got.select("doc_id", "mix_domain", "lang", "source", "mix_epoch", "mix_tokens", "mix_key")
         assert oracle.difference(got, op3_mixing.sql("own", share=share, epochs=epochs), c) == ""
     assert op3_mixing.mix(nothing, {}, "sum(supply)").count() == 0
 
 
+def test_epochs_have_their_own_orders(spark):
+    docs = spark.createDataFrame(make([f"text {i}" for i in range(200)], sources=["a"] * 200, langs=["en"] * 200), SCHEMA)
+    rows = op3_mixing.mix(docs, {}, "sum(supply) * 5 div 2", 3, 1).collect()
+    by = {e: [r.doc_id for r in sorted(rows, key=lambda r: r.mix_key) if r.mix_epoch == e] for e in (1, 2, 3)}
+    assert len(by[1]) == len(by[2]) == 200 and by[1] != by[2] and 90 < len(by[3]) <= 100
+    tokens = {r.doc_id: r.mix_tokens for r in rows}
+    assert sum(tokens[i] for i in by[3]) <= sum(tokens.values()) // 2 < sum(tokens[i] for i in by[3]) + 4
+
+
 def test_shortage_goes_to_siblings_first(spark):
     leaves = spark.createDataFrame([("a", "x", "1", 10), ("a", "x", "2", 100), ("a", "y", "3", 5), ("b", "x", "4", 1000)], "mix_domain string, mix_lang string, mix_source string, supply long")
     got = {r.mix_source: r.budget for r in op3_mixing.budgets(leaves, "200", {}, 1).collect()}
@@ -130,6 +140,68 @@ def test_pii_found_at_every_size(spark, cases):
     assert {(r.k, tuple(r.kinds)): r["count"] for r in got} == {(k, t): cases for k, t in enumerate([("number",), ("number",), ("mailat",), ("account",), (), (), ()])}
 
 
+@pytest.mark.parametrize("copies", [1, 400])
+def test_pii_inside_failed_runs(spark, copies):
+    """Numbers that stand side by side make runs too long for the base rules; bounded forms find them."""
+    planted = {"+1 (269) 555-3296 4524132264652876 so": {"+1 (269) 555-3296", "4524132264652876"}, "x +1 (836) 555-9331 53.121.55.90 que": {"+1 (836) 555-9331"}, "+49 30 12 34 56 +1 (578) 555-6437 4918187128635271": {"+49 30 12 34 56", "+1 (578) 555-6437", "4918187128635271"}, "ref 4111 1111 1111 1111 2024 ok": set(), "no 8402 555 12": set()}
+    texts = list(planted) * copies + [f"+1 (988) 555-{1000 + i} or 4111 1111 1111 1111" for i in range(60)]
+    wrong = lost = right = 0
+    for r in op4_pii.find(spark.createDataFrame(make(texts), SCHEMA)).collect():
+        text = texts[r.doc_id]
+        if text in planted:
+            got = {text[s.start : s.end] for s in r.spans if s.kind != "ip"}
+            want = planted[text]
+            wrong, lost, right = wrong + len(got - want), lost + len(want - got), right + len(got & want)
+    assert lost <= 0.1 * (lost + right) and wrong <= 0.02 * (wrong + right)
+
+
+def test_pii_running_results(spark):
+    rng = random.Random(2)
+    rows = [[rng.randrange(50) for _ in range(n)] for n in (0, 1, 2, 3, 7, 50, 333)]
+    df = spark.createDataFrame([(v,) for v in rows], "v array<bigint>")
+    got = df.selectExpr("v", f"{op4_pii.running('v', op4_pii._add, '0L')} as sums", f"{op4_pii.running('v', op4_pii._max, '-1L')} as tops").collect()
+    for r in got:
+        assert r.sums == list(itertools.accumulate(r.v)) and r.tops == list(itertools.accumulate(r.v, max))
+
+
+def test_pii_overlaps(spark):
+    rng = random.Random(4)
+    some = lambda n: [(s, s + rng.randint(1, 6)) for s in (rng.randrange(60) for _ in range(n))]
+    rows = [(some(rng.randint(0, 12)), some(rng.randint(0, 12))) for _ in range(60)]
+    df = spark.createDataFrame(rows, "q array<struct<s:bigint,e:bigint>>, y array<struct<s:bigint,e:bigint>>")
+    for r in df.selectExpr("q", "y", f"{op4_pii._touched('q', 'y')} as t").collect():
+        want = collections.Counter((q.s, q.e, any(y.s < q.e and q.s < y.e for y in r.y)) for q in r.q)
+        assert collections.Counter((t.q.s, t.q.e, t.hit) for t in r.t) == want
+
+
+def test_pii_best_of_chains(spark):
+    rng = random.Random(9)
+    rows = [([(s, s + rng.randint(1, 8), "k", rng.randint(4, 9), rng.random()) for s in (rng.randrange(80) for _ in range(rng.randint(1, 14)))],) for _ in range(60)]
+    df = spark.createDataFrame(rows, "m array<struct<s:bigint,e:bigint,kind:string,gen:int,score:double>>")
+    for r in df.selectExpr("m", f"{op4_pii._best('m')} as b").collect():
+        chains = []
+        for x in sorted(r.m, key=lambda x: x.s):
+            if chains and x.s < max(y.e for y in chains[-1]):
+                chains[-1].append(x)
+            else:
+                chains.append([x])
+        want = sorted((x.s, x.e) for x in (max(c, key=lambda x: (x.score, -x.gen, -x.s)) for c in chains))
+        assert sorted((x.s, x.e) for x in r.b) == want
+
+
+def test_pii_in_linear_time(spark):
+    """A quarter of a megabyte of addresses takes not much longer than an eighth."""
+    took = []
+    for size in (128, 256):
+        big = spark.createDataFrame([(0, "10.0.0.1 " * (size * 1024 // 9)), (1, "+1 (988) 555-2485 " * (size * 1024 // 18)), (2, "tel 555-123-4567 " * (size * 1024 // 17))], "doc_id long, text string")
+        began = time.time()
+        assert op4_pii.candidates(big).selectExpr("sum(size(base)) + sum(size(more)) as n").first().n > size * 100
+        took.append(time.time() - began)
+    assert took[1] < 2.5 * took[0] + 2
+    clean = op4_pii.redact(spark.createDataFrame(make(["é 10.0.0.1 " * 5000, "a@b.co " * 70 + "x"]), SCHEMA)).collect()
+    assert {r.doc_id: r.text for r in clean} == {0: "é [PII] " * 5000, 1: "[PII] " * 70 + "x"}
+
+
 # --- secrets
 
 ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
