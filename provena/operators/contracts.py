@@ -47,24 +47,57 @@ def safe_path(path: Column) -> Column:
     return (path != "") & ~path.startswith("/") & ~path.contains("..")
 
 
+# Words by which public model formats name the parameters of a slot.
+SLOT_WORDS = {
+    "embedding": ("embed_tokens", "tok_embeddings", "token_embedding", "wte", "embed"),
+    "attn_norm": ("attn_norm", "attention_norm", "input_layernorm", "ln_1"),
+    "ffn_norm": ("ffn_norm", "mlp_norm", "post_attention_layernorm", "ln_2"),
+    "q_proj": ("q_proj", "wq", "query"),
+    "k_proj": ("k_proj", "wk", "key"),
+    "v_proj": ("v_proj", "wv", "value"),
+    "o_proj": ("o_proj", "wo", "out_proj"),
+    "gate_proj": ("gate_proj", "gate", "w1"),
+    "up_proj": ("up_proj", "up", "w3"),
+    "down_proj": ("down_proj", "down", "w2"),
+    "final_norm": ("final_norm", "ln_f", "norm"),
+}
+#: Words before a layer's number.
+LAYER_WORDS = ("blocks", "layers", "h")
+
+
 def slot_kind(name: Column) -> Column:
-    """First matching kind of a parameter's name, or null."""
-    low = F.lower(name)
-    rules = (
-        (low.contains("embed") | low.contains("wte"), "embedding"),
-        (low.rlike(r"(?:^|[._])(?:attn|attention|ln_1|input)[a-z_]*norm"), "attn_norm"),
-        (low.rlike(r"(?:^|[._])(?:ffn|mlp|ln_2|post)[a-z_]*norm"), "ffn_norm"),
-        (low.rlike(r"(?:^|[._])(?:w?q|q_proj|query)(?:[._]|$)"), "q_proj"),
-        (low.rlike(r"(?:^|[._])(?:w?k|k_proj|key)(?:[._]|$)"), "k_proj"),
-        (low.rlike(r"(?:^|[._])(?:w?v|v_proj|value)(?:[._]|$)"), "v_proj"),
-        (low.rlike(r"(?:^|[._])(?:w?o|o_proj|out)(?:[._]|$)"), "o_proj"),
-        (low.contains("gate"), "gate_proj"), (low.contains("up_"), "up_proj"), (low.contains("down"), "down_proj"), (low.contains("norm"), "final_norm"),
-    )
-    return F.coalesce(*(F.when(c, F.lit(k)) for c, k in rules))
+    """The kind whose words hold the last part of a parameter's name that any kind holds, or null."""
+    kinds = F.create_map(*(F.lit(x) for kind, words in SLOT_WORDS.items() for word in words for x in (word, kind)))
+    known = F.filter(F.transform(F.split(F.lower(name), "[.]"), lambda p: F.try_element_at(kinds, p)), lambda k: k.isNotNull())
+    return F.try_element_at(known, F.lit(-1))
 
 
 def layer_index(name: Column) -> Column:
-    return F.nullif(F.regexp_extract(name, r"(?i)(?:^|\.)(?:blocks|layers|h)\.(\d+)(?:\.|$)", 1), F.lit("")).try_cast("int")
+    """The number that follows the first layer word among the parts of a name, or null."""
+    parts = F.split(F.lower(name), "[.]")
+    numbers = F.transform(parts, lambda p, i: F.when(p.isin(*LAYER_WORDS), F.get(parts, i + 1).try_cast("int")))
+    return F.get(F.filter(numbers, lambda n: n.isNotNull()), 0)
+
+
+def normalize(names: DataFrame, slots: DataFrame) -> DataFrame:
+    """State entries (name) onto required slots (slot): one row for each slot and each entry left over.
+
+    A name equal to its slot is taken as it is (`exact`); else the entries of the slot's layer and kind
+    count: one is `classified`, several are `ambiguous`, none is `missing`. Entries that no slot takes are
+    `unconsumed`. The state is usable if all rows are exact or classified."""
+    own = lambda c: (layer_index(F.col(c)).alias("layer"), slot_kind(F.col(c)).alias("kind"))
+    entries = names.select("name", *own("name"))
+    wanted = slots.select("slot", *own("slot"))
+    exact = wanted.join(entries.select("name"), F.col("slot") == F.col("name")).select("slot", "name")
+    rest = wanted.join(exact, "slot", "left_anti")
+    loose = entries.join(exact.select("name"), "name", "left_anti").filter("kind is not null")
+    alike = rest.join(loose, rest.kind.eqNullSafe(loose.kind) & rest.layer.eqNullSafe(loose.layer), "left")
+    found = alike.groupBy("slot").agg(F.count("name").alias("n"), F.min("name").alias("name"))
+    status = F.when(F.col("n") == 1, "classified").when(F.col("n") == 0, "missing").otherwise("ambiguous")
+    rows = exact.select("slot", "name", F.lit("exact").alias("status")).unionByName(found.select("slot", F.when(F.col("n") == 1, F.col("name")).alias("name"), status.alias("status")))
+    taken = rows.filter("status in ('exact', 'classified')").select("name")
+    left = names.select("name").join(taken, "name", "left_anti").select(F.lit(None).cast("string").alias("slot"), "name", F.lit("unconsumed").alias("status"))
+    return rows.unionByName(left)
 
 
 def tensor_size(shape: Column, width: int = 4) -> Column:

@@ -153,9 +153,10 @@ def gradients(windows: DataFrame, params: dict[str, np.ndarray], g: Geometry) ->
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(v)), pa.array(np.arange(len(v))), pa.ListArray.from_arrays(off, pa.array(v.ravel())), pa.array([loss] * len(v)), pa.array([n] * len(v), pa.int64())], ["slot", "r", "g", "loss", "windows"])
 
     parts = windows.select("tokens").mapInArrow(part, "slot string, r long, g array<double>, loss double, windows long")
-    lists = parts.groupBy("slot", "r").agg(F.collect_list("g").alias("gs"), F.sum("loss").alias("loss"), F.sum("windows").alias("windows"))  # one list entry for each task
-    added = F.aggregate(F.slice("gs", 2, F.size("gs")), F.element_at("gs", 1), lambda s, e: F.zip_with(s, e, lambda p, q: p + q))
-    return lists.select("slot", "r", added.alias("g"), "loss", "windows")
+    sums = parts.groupBy("slot", "r").agg(F.sum("loss").alias("loss"), F.sum("windows").alias("windows"))
+    added = parts.select("slot", "r", F.posexplode("g")).groupBy("slot", "r", "pos").agg(F.sum("col").alias("x"))  # partial sums before the shuffle
+    rows = added.groupBy("slot", "r").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("g"))  # one row of a parameter
+    return rows.join(sums, ["slot", "r"]).select("slot", "r", "g", "loss", "windows")
 
 
 def token_windows(tokens: DataFrame, position: str, token: str, size: int) -> DataFrame:

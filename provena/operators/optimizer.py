@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 BETA1, BETA2, EPS, LR, DECAY = 0.9, 0.95, 1e-8, 1e-4, 0.1
 
 
@@ -25,19 +27,43 @@ def adamw_step(w: Column, g: Column, decay: Column, lr: float = LR, beta1: float
 
 
 def adamw_fold(steps: DataFrame, key: str, order: list[str], g: str, lr: float = LR, beta1: float = BETA1, beta2: float = BETA2, eps: float = EPS, decay: float = DECAY, start: float = 1.0) -> DataFrame:
-    """State (w, m, v, steps) of each key after its steps in order. A key's steps are one array, so a
-    key is one parameter's history, not a hot group."""
-    sorted_ = F.array_sort(F.collect_list(F.struct(*order, F.col(g).cast("double").alias("g"))))
-    zero = F.struct(F.lit(start).alias("w"), F.lit(0.0).alias("m"), F.lit(0.0).alias("v"), F.lit(1.0).alias("b1"), F.lit(1.0).alias("b2"), F.lit(0).cast("long").alias("n"))
+    """State (w, m, v, steps) of each key after its steps in order.
+
+    Steps are dealt into blocks by ranges of (key, order), so a hot key's history is many blocks and no
+    task holds more than one. The moments are linear in the past: blocks are summed up alone, the sums of
+    the blocks before give each block its start, and with the moments known a block changes w by one
+    affine map. Only one small row for each block of a key meets in one place."""
+    spark = steps.sparkSession
+    path = shared.folder(spark, "steps")
+    narrow = steps.select(F.col(key).alias("key"), F.struct(*order, F.col(g).cast("double").alias("g")).alias("step"))
+    narrow.repartitionByRange("key", "step").withColumn("block", F.spark_partition_id()).write.parquet(path)
+    blocks = spark.read.parquet(path).groupBy("key", "block").agg(F.array_sort(F.collect_list("step")).alias("steps"))
+    zero = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("v"))
+    moments = lambda s, e: (beta1 * s["m"] + (1 - beta1) * e["g"], beta2 * s["v"] + (1 - beta2) * e["g"] * e["g"])
+
+    def add(s: Column, e: Column) -> Column:
+        m, v = moments(s, e)
+        return F.struct(m.alias("m"), v.alias("v"))
+
+    alone = blocks.select("key", "block", F.size("steps").cast("long").alias("n"), F.aggregate("steps", zero, add).alias("s"))
+    past = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # Each earlier block's moments, faded by the steps that follow it and come before this block.
+    reached = alone.withColumn("n0", F.coalesce(F.sum("n").over(past), F.lit(0).cast("long"))).withColumn("before", F.collect_list(F.struct("n", "s")).over(past))
+    fade = lambda a, e: F.struct((a["m"] * F.pow(F.lit(beta1), e["n"]) + e["s"]["m"]).alias("m"), (a["v"] * F.pow(F.lit(beta2), e["n"]) + e["s"]["v"]).alias("v"))
+    begun = reached.select("key", "block", "n0", F.aggregate("before", zero, fade).alias("s0"))
+    first = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.col("s0.m").alias("m"), F.col("s0.v").alias("v"), F.pow(F.lit(beta1), "n0").alias("b1"), F.pow(F.lit(beta2), "n0").alias("b2"))
 
     def turn(s: Column, e: Column) -> Column:
-        m, v = beta1 * s["m"] + (1 - beta1) * e["g"], beta2 * s["v"] + (1 - beta2) * e["g"] * e["g"]
+        m, v = moments(s, e)
         b1, b2 = s["b1"] * beta1, s["b2"] * beta2
-        w = s["w"] - lr * decay * s["w"] - lr * (m / (1 - b1)) / (F.sqrt(v / (1 - b2)) + eps)
-        return F.struct(w.alias("w"), m.alias("m"), v.alias("v"), b1.alias("b1"), b2.alias("b2"), (s["n"] + 1).alias("n"))
+        b = s["b"] * (1 - lr * decay) - lr * (m / (1 - b1)) / (F.sqrt(v / (1 - b2)) + eps)
+        return F.struct((s["a"] * (1 - lr * decay)).alias("a"), b.alias("b"), m.alias("m"), v.alias("v"), b1.alias("b1"), b2.alias("b2"))
 
-    out = steps.groupBy(key).agg(F.aggregate(sorted_, zero, turn).alias("s"))
-    return out.select(key, "s.w", "s.m", "s.v", F.col("s.n").alias("steps"))
+    maps = blocks.join(begun, ["key", "block"]).select("key", "block", "n0", F.size("steps").alias("n"), F.aggregate("steps", first, turn).alias("s"))
+    own = maps.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("block", "n0", "n", "s"))).alias("maps"))
+    last = F.element_at("maps", -1)
+    w = F.aggregate("maps", F.lit(float(start)), lambda w, e: w * e["s"]["a"] + e["s"]["b"])
+    return own.select(F.col("key").alias(key), w.alias("w"), last["s"]["m"].alias("m"), last["s"]["v"].alias("v"), (last["n0"] + last["n"]).alias("steps"))
 
 
 def group_semantics(groups: DataFrame) -> DataFrame:

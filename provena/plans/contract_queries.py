@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import contracts, optimizer, parity
 from ..session import table
+from ..sources import bundle
 from ._register import LONG, query
 
 
@@ -102,9 +103,12 @@ def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"))
 
 
-@query("f18_layer_index", "select s_suppkey, try_cast(nullif(regexp_extract('blocks.' || s_nationkey || '.attn', '(?i)(?:^|\\.)(?:blocks|layers|h)\\.(\\d+)(?:\\.|$)', 1), '') as int) layer from supplier")
+@query("f18_layer_index", "select s_suppkey, case when s_suppkey % 4 < 3 then s_nationkey end layer from supplier")
 def layer_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select("s_suppkey", contracts.layer_index(F.concat(F.lit("blocks."), F.col("s_nationkey").cast("string"), F.lit(".attn"))).alias("layer"))
+    """Names with each layer word and without one."""
+    word = F.element_at(F.array(*map(F.lit, ("blocks", "Layers", "h", "towers"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    name = F.concat_ws(".", F.lit("model"), word, F.col("s_nationkey").cast("string"), F.lit("attn"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", contracts.layer_index(name).alias("layer"))
 
 
 @query("f19_layout_detection", "select doc_id, case when contains(lower(text), 'ea') and contains(lower(text), 'th') then 'interleaved' when contains(lower(text), 'er') then 'half_split' else 'auto' end layout from documents")
@@ -162,9 +166,25 @@ def semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimizer.group_semantics(g).select("groups", "settings", "duplicates", "usable")
 
 
-@query("m18_state_normalization", "select p_brand slot, count(*) n, min(p_partkey) first_key, count(*) = 1 exact from part group by p_brand")
+_STATE = """n as (select s_suppkey k, s_nationkey % 6 layer, (s_suppkey % 8)::int kind from supplier where s_suppkey % 16 <> 5),
+w as (select k, layer, kind, 'blocks.' || layer || '.' || ['attn.q_proj', 'attn.wk', 'attn.value', 'attn.wo', 'mlp.gate', 'mlp.up_proj', 'mlp.w2', 'rotary'][kind + 1] || '.' || case when k % 3 = 0 then 'weight' else k::varchar end as name from n),
+e as (select distinct name, layer, kind from w),
+s as (select 'blocks.' || l || '.' || ['attn.q_proj', 'attn.k_proj', 'attn.v_proj', 'attn.o_proj', 'mlp.gate_proj', 'mlp.up_proj', 'mlp.down_proj'][j + 1] || '.weight' slot, l, j from range(6) a(l), range(7) b(j)),
+x as (select slot, l, j from s join e on name = slot),
+f as (select slot, count(name) n, min(name) name from s left join (select * from e where name not in (select slot from x)) e on e.layer = l and e.kind = j where slot not in (select slot from x) group by slot),
+r as (select slot, slot as name, 'exact' status from x union all select slot, case when n = 1 then name end, case when n = 1 then 'classified' when n = 0 then 'missing' else 'ambiguous' end from f)"""
+
+
+@query("m18_state_normalization", f"with {_STATE} select * from r union all select null, name, 'unconsumed' from e where name not in (select name from r where status in ('exact', 'classified'))")
 def normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("slot")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_key"), (F.count("*") == 1).alias("exact"))
+    """Suppliers as state entries: names in several styles, some equal to a slot, some twice, some lost."""
+    s = table(spark, sf_dir, "supplier").filter("s_suppkey % 16 <> 5")
+    word = F.element_at(F.array(*map(F.lit, ("attn.q_proj", "attn.wk", "attn.value", "attn.wo", "mlp.gate", "mlp.up_proj", "mlp.w2", "rotary"))), (F.col("s_suppkey") % 8 + 1).cast("int"))
+    last = F.when(F.col("s_suppkey") % 3 == 0, "weight").otherwise(F.col("s_suppkey").cast("string"))
+    names = s.select(F.concat_ws(".", F.lit("blocks"), (F.col("s_nationkey") % 6).cast("string"), word, last).alias("name")).distinct()
+    kinds = F.explode(F.array(*map(F.lit, ("attn.q_proj", "attn.k_proj", "attn.v_proj", "attn.o_proj", "mlp.gate_proj", "mlp.up_proj", "mlp.down_proj"))))
+    slots = spark.range(6).select("id", kinds.alias("kind")).select(F.concat_ws(".", F.lit("blocks"), F.col("id").cast("string"), "kind", F.lit("weight")).alias("slot"))
+    return contracts.normalize(names, slots)
 
 
 _BOUNDARY = """select 'status' rule, o_orderkey::varchar entity, o_orderstatus detail from orders where o_orderstatus not in ('O', 'F')
@@ -181,10 +201,29 @@ def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.union(status, total, lost)
 
 
-@query("m23_bundle_contracts", "select 'width' rule, vec_id::varchar entity, len(embedding)::varchar detail from embeddings where len(embedding) <> 64 union all select 'label', vec_id::varchar, label::varchar from embeddings where label not between 0 and 8")
+_FAULTS = """select 'schema' rule, vec_id::varchar entity, 'other_v1' detail from embeddings where vec_id % 20 = 1
+union all select 'path', vec_id::varchar, '../t' || vec_id from embeddings where vec_id % 20 = 2
+union all select 'kind', vec_id::varchar, 'f16' from embeddings where vec_id % 20 = 3
+union all select 'shape', vec_id::varchar, '8x-8' from embeddings where vec_id % 20 = 4
+union all select 'length', vec_id::varchar, case vec_id % 20 when 5 then '252' else '256' end from embeddings where vec_id % 20 in (4, 5)
+union all select 'unique', 't' || vec_id, '2' from embeddings where vec_id % 20 = 6 and exists (from embeddings x where x.vec_id = embeddings.vec_id + 1)
+union all select case vec_id % 20 when 2 then 'missing' when 5 then 'size' else 'sha256' end, case vec_id % 20 when 2 then '../t' || vec_id else 't' || vec_id end, '' from embeddings where vec_id % 20 in (2, 5, 8)"""
+
+
+@query("m23_bundle_contracts", _FAULTS)
 def bundle_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return contracts.union(contracts.violations(e, "width", F.col("vec_id"), F.size("embedding") != 64, F.size("embedding")), contracts.violations(e, "label", F.col("vec_id"), ~F.col("label").between(0, 8), F.col("label")))
+    """A manifest of all vectors in which some entries break a rule each (entries 6 and 7 of twenty share a
+    path), against the files: the violations are these and no others."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), (F.col("vec_id") % 20).alias("m"))
+    content = F.rpad(F.concat(F.lit("v"), F.when(F.col("m") == 7, F.col("k") - 1).otherwise(F.col("k")).cast("string")), 256, ".").cast("binary")
+    name = F.concat(F.lit("t"), F.when(F.col("m") == 7, F.col("k") - 1).otherwise(F.col("k")).cast("string"))
+    when = lambda m, x, y: F.when(F.col("m") == m, F.lit(x) if not hasattr(x, "cast") else x).otherwise(y)
+    manifest_ = e.select(
+        when(1, "other_v1", F.lit(bundle.SCHEMA_NAME)).alias("schema"), F.col("k").cast("string").alias("slot"), when(2, F.concat(F.lit("../"), name), name).alias("path"), when(3, "f16", F.lit("f32")).alias("kind"),
+        when(4, F.array(F.lit(8), F.lit(-8)), F.array(F.lit(8), F.lit(8))).alias("shape"), when(5, 252, F.lit(256)).cast("long").alias("length"), when(8, "0", F.sha2(content, 256)).alias("sha256"),
+    )
+    found = e.filter("m <> 7").select(name.alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
+    return bundle.load_violations(manifest_, found)
 
 
 @query("f01_violations_table", "select 'quantity' rule, l_orderkey::varchar || ':' || l_linenumber entity, l_quantity::int::varchar detail from lineitem where l_quantity > 45")

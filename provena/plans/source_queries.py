@@ -58,12 +58,36 @@ def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.read(spark, path).select("path", "length", F.sha2("content", 256).alias("sha"))
 
 
-@query("s15_s17_bundle_sink", "select label slot, count(*) tensors, sum(len(embedding))::bigint numel from embeddings group by label")
+def _mean_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .join_queries import class_weights
+
+    rows = class_weights(spark, sf_dir).groupBy(F.col("o").alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "w"))), lambda s: s["w"]).alias("values"))  # one row of 64
+    return binary.encode(rows, "<f4").withColumnRenamed("key", "slot")
+
+
+@query("s15_bundle_sink", "select label slot, 64::bigint numel, 256::bigint nbytes, true whole, round(sum(w::float::double), 4) + 0::double total from (select label, i, avg(embedding[i]::double) w from embeddings, range(1, 65) t(i) group by all) group by label")
 def bundle_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tensors written by slot with a manifest, then read again through it."""
+    """Mean vectors as tensor files in an archive with a manifest written last; read again through both:
+    every file has the manifest's length and hash, and decodes to its values."""
     path = shared.folder(spark, "bundle")
-    bundle.write(table(spark, sf_dir, "embeddings").select(F.col("label").alias("slot"), "vec_id", "embedding"), path, "slot")
-    return spark.read.parquet(path).groupBy("slot").agg(F.count("*").alias("tensors"), F.sum(F.size("embedding")).alias("numel"))
+    manifest_ = bundle.write_tensors(_mean_tensors(spark, sf_dir), path)
+    found = archive.read(spark, f"{path}/files")
+    both = manifest_.join(found.select("path", "content", F.col("length").alias("got")), "path")
+    whole = (F.col("got") == F.col("length")) & (F.sha2("content", 256) == F.col("sha256"))
+    rows = both.select(F.struct(F.col("slot").cast("int").alias("slot"), "length", whole.alias("whole")).alias("key"), "shape", "content")
+    back = binary.decode(rows.select(F.to_json("key").alias("key"), "shape", "content"), "<f4").select(F.from_json("key", "slot int, length long, whole boolean").alias("k"), "values")
+    return back.select("k.slot", F.size("values").cast("long").alias("numel"), F.col("k.length").alias("nbytes"), "k.whole", (F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 4) + 0.0).alias("total"))
+
+
+@query("s17_run_summary", "select 'complete' status, count(distinct label) tensors, count(distinct label) * 64 numel, count(distinct label) * 256 nbytes, min(label) first_slot, max(label) last_slot from embeddings")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document on a bundle, written as JSON and read again with its declared schema."""
+    path = shared.folder(spark, "summary")
+    t = _mean_tensors(spark, sf_dir)
+    one = t.agg(F.lit("complete").alias("status"), F.struct(F.count("*").alias("tensors"), F.sum(F.col("shape")[0].cast("long")).alias("numel"), F.sum(F.octet_length("content").cast("long")).alias("nbytes")).alias("totals"), F.struct(F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot")).alias("slots"))
+    one.coalesce(1).write.json(path)
+    back = bundle.read_manifest(spark, path, "status string, totals struct<tensors:long,numel:long,nbytes:long>, slots struct<first_slot:int,last_slot:int>")
+    return back.select("status", "totals.*", "slots.*")
 
 
 @query("s12_g03_discovery", "select count(distinct source) files, true only_parquet from documents")
@@ -75,11 +99,33 @@ def discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.countDistinct(F.regexp_extract("path", "source=([^/]+)", 1)).alias("files"), F.bool_and(F.col("path").endswith(".parquet")).alias("only_parquet"))
 
 
-@query("s13_checkpoint_match", "select doc_id from (select doc_id, sha256(text) h, count(*) over (partition by sha256(text)) n from documents) where n = 1")
+_READABLE = "n_chars >= 300"
+
+
+@query("s13_checkpoint_match", f"with d as (select doc_id, source, n_chars, sha256(text) h from documents), e as (select source, arg_max(h, doc_id) want from d where source is not null group by source) select e.source, count(d.doc_id) matches, case when count(d.doc_id) = 1 then min(d.doc_id) end matched, case count(d.doc_id) when 0 then 'missing' when 1 then 'matched' else 'ambiguous' end status from e left join d on d.source = e.source and d.h = e.want and {_READABLE} group by e.source")
 def checkpoint_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates whose content hash is held by exactly one of them."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return d.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1").select("doc_id")
+    """Each source expects the state of its newest document: exactly one readable candidate (short ones
+    count as unreadable and are skipped) must have that hash."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.sha2("text", 256).alias("h"))
+    expected = d.filter("source is not null").groupBy("source").agg(F.max_by("h", "doc_id").alias("h"))
+    n = F.count("doc_id")
+    found = expected.join(d.filter(_READABLE).select("source", "h", "doc_id"), ["source", "h"], "left").groupBy("source")
+    return found.agg(n.alias("matches"), F.when(n == 1, F.min("doc_id")).alias("matched"), F.when(n == 0, "missing").when(n == 1, "matched").otherwise("ambiguous").alias("status"))
+
+
+@query("s14_marker_discovery", """with m as (select user_id, event_id, event_id % 2 dir, list_position(['purchase', 'click', 'view', 'error'], event_type) name, case when event_id % 3 = 0 then substr(props, 2) else props end content from events)
+select user_id, arg_min(event_id, (dir, coalesce(name, 9), event_id)) event_id, arg_min((content->>'$.k')::int, (dir, coalesce(name, 9), event_id)) k from m where event_id % 3 <> 0 group by user_id""")
+def marker_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers of four names in two folders for each user: the first in order that parses as an object
+    wins. They are written as text, a third of them broken, and read again."""
+    path = shared.folder(spark, "markers")
+    e = table(spark, sf_dir, "events").withColumn("folder", F.col("event_id") % 2)
+    content = F.when(F.col("event_id") % 3 == 0, F.substring("props", 2, 1 << 20)).otherwise(F.col("props"))
+    e.select("user_id", "event_id", "event_type", "folder", content.alias("content")).write.mode("overwrite").parquet(path)
+    back = spark.read.parquet(path).withColumn("marker", F.from_json("content", "k int", {"mode": "PERMISSIVE"})).filter(F.get_json_object("content", "$").startswith("{"))
+    names = F.array(*map(F.lit, ("purchase", "click", "view", "error")))
+    rank = F.struct("folder", F.coalesce(F.nullif(F.array_position(names, F.col("event_type")), F.lit(0)), F.lit(9)), "event_id")
+    return back.groupBy("user_id").agg(F.min_by("event_id", rank).alias("event_id"), F.min_by(F.col("marker.k"), rank).alias("k"))
 
 
 @query("s19_report_sink", "select event_type, count(*) n from events group by event_type")

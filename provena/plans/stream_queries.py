@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 from ..sources import shared
@@ -12,16 +13,37 @@ from ._register import query
 
 @query("stream_tumbling_throughput", "select time_bucket(interval 1 hour, ts) \"start\", event_type, count(*) n, round(sum(value), 4) total from events group by all")
 def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream keeps complete state for windows that a watermark may still reach, so every window is
-    emitted: complete mode into a table."""
+    """Append mode: a window is written once, when the watermark has passed it, and its state is dropped.
+    A marker event far behind the last one closes the windows of a finite input; its own stays open."""
+    events = table(spark, sf_dir, "events")
+    end = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("ts", "event_type") else F.lit("2999-01-01" if f.name == "ts" else "end").cast(f.dataType).alias(f.name) for f in events.schema))
+    path, state, last = shared.folder(spark, "stream"), shared.folder(spark, "stream-state"), shared.folder(spark, "stream-end")
+    end.write.parquet(last)
+    read = lambda p: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1000).parquet(p)
+    out = telemetry.throughput(read(f"{sf_dir}/events.parquet*").unionByName(read(last)))
+    q = out.writeStream.format("parquet").option("path", path).outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(path).selectExpr("cast(start as timestamp_ntz) as start", "event_type", "n", "round(total, 4) as total")
+
+
+_ADAMW = """with recursive s as (select user_id k, value / 100 g, row_number() over (partition by user_id order by event_id) i from events),
+f as (select k, 0::bigint i, 1::double w, 0::double m, 0::double v, 1::double b1, 1::double b2 from (select distinct k from s)
+union all select f.k, s.i, f.w - 1e-4::double * ((0.9::double * m + (1 - 0.9::double) * g) / (1 - b1 * 0.9::double)) / (sqrt((0.95::double * v + (1 - 0.95::double) * g * g) / (1 - b2 * 0.95::double)) + 1e-8::double),
+0.9::double * m + (1 - 0.9::double) * g, 0.95::double * v + (1 - 0.95::double) * g * g, b1 * 0.9::double, b2 * 0.95::double from f join s on s.k = f.k and s.i = f.i + 1)
+select k user_id, round(arg_max(w, i), 8) w, round(arg_max(m, i), 8) m, round(arg_max(v, i), 8) v, max(i) n from f group by k"""
+
+
+@query("stream_adamw_state", _ADAMW)
+def adamw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optimizer state by key over a stream of steps; each batch's states are appended, the last one counts."""
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{sf_dir}/events.parquet*")
-    path, state = shared.folder(spark, "stream"), shared.folder(spark, "stream-state")
-    out = telemetry.throughput(source)
+    steps = source.selectExpr("user_id", "event_id as step", "value / 100 as g")
+    path, state = shared.folder(spark, "adamw"), shared.folder(spark, "adamw-state")
 
     def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("append").parquet(path)
 
-    q = out.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(path).selectExpr("cast(start as timestamp_ntz) as start", "event_type", "n", "round(total, 4) as total")
+    telemetry.adamw_state(steps, "user_id").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(path).groupBy("key").agg(F.max_by(F.struct("w", "m", "v", "n"), "n").alias("s"))
+    return last.select(F.col("key").alias("user_id"), *(F.round(f"s.{c}", 8).alias(c) for c in ("w", "m", "v")), "s.n")

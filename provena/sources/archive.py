@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import io
 import posixpath
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -43,39 +46,43 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(_entries, ENTRY)
 
 
-def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for files in b.column(1).to_pylist():
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-                for f in sorted(files, key=lambda f: f["path"]):
-                    z.writestr(zipfile.ZipInfo(_inside(f["path"])), f["content"])
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 1), pa.array([out.getvalue()], pa.binary())], ["archive", "content"])
-
+def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by archive and path: each archive is one stream to a file of its own name for
+    this attempt, renamed when it is whole, so a lost or repeated task leaves no part behind."""
+    fs, base = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(base, recursive=True)
+    open_: tuple | None = None
 
-def write(entries: DataFrame, path: str) -> None:
-    """(archive, path, content) rows to one ZIP each. An archive is one file, so its entries meet in
-    one task; entries are stored without compression, in the order of their paths."""
-    from pyspark.sql import functions as F
-
-    spark = entries.sparkSession
-    ship(spark)
-    grouped = entries.groupBy("archive").agg(F.collect_list(F.struct("path", "content")).alias("files"))
-    for_each = grouped.mapInArrow(_one_archive, "archive string, content binary")
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(target)
-    for row in for_each.toLocalIterator():  # one archive at a time
-        stream = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target, f"{row['archive']}.zip.tmp"), True)
-        stream.write(bytearray(row["content"]))
-        stream.hsync()
+    def close() -> pa.RecordBatch:
+        name, part, stream, z, n = open_
+        z.close()
         stream.close()
-        fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target, f"{row['archive']}.zip.tmp"), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target, f"{row['archive']}.zip"))
-
+        fs.move(part, f"{base}/{name}.zip")
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["archive", "entries"])
 
-def _one_archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i in range(b.num_rows):
-            one = b.slice(i, 1)
-            for z in _zipped(iter([pa.RecordBatch.from_arrays([one.column(0).cast(pa.string()), one.column(1)], ["archive", "files"])])):
-                yield z
+        for name, path, content in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            if open_ is not None and open_[0] != name:
+                yield close()
+                open_ = None
+            if open_ is None:
+                part = f"{base}/.{name}.{uuid.uuid4().hex}"
+                stream = fs.open_output_stream(part)
+                open_ = (name, part, stream, zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED), 0)
+            open_[3].writestr(zipfile.ZipInfo(_inside(path)), content)
+            open_ = (*open_[:4], open_[4] + 1)
+    if open_ is not None:
+        yield close()
+
+
+def write(entries: DataFrame, path: str) -> DataFrame:
+    """(archive, path, content) rows to one ZIP each, written by the tasks into a folder that they share
+    (any store that pyarrow opens). Entries are stored without compression, in the order of their paths,
+    and pass through memory one at a time. Returns (archive, entries)."""
+    spark = entries.sparkSession
+    ship(spark)
+    folder = path if "://" in path else f"file://{path}"
+    sorted_ = entries.select(F.col("archive").cast("string"), "path", F.col("content").cast("binary")).repartition("archive").sortWithinPartitions("archive", "path")
+    done = f"{path.rstrip('/')}-written-{uuid.uuid4().hex}"
+    sorted_.mapInArrow(lambda it: _written(it, folder), "archive string, entries long").write.parquet(done)
+    return spark.read.schema("archive string, entries long").parquet(done)

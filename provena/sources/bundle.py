@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import contracts
+from . import archive, shared
+
 SCHEMA_NAME = "evidence_bundle_v1"
 
 
@@ -26,6 +29,34 @@ def manifest(rows: DataFrame, slot: str) -> DataFrame:
     return rows.groupBy(slot).agg(F.count("*").alias("rows"), F.hex(F.bit_xor(F.xxhash64(*rows.columns))).alias("digest")).withColumn("path", F.concat(F.lit("tensors/"), F.replace(F.col(slot).cast("string"), F.lit("."), F.lit("/"))))
 
 
+def write_tensors(tensors: DataFrame, path: str) -> DataFrame:
+    """(slot, shape, content) rows as one archive of tensor files, and then their manifest, which appears
+    whole or not at all and marks the bundle as complete. Returns the manifest."""
+    spark = tensors.sparkSession
+    files = tensors.select("slot", "shape", "content", F.concat(F.lit("tensors/"), F.replace(F.col("slot").cast("string"), F.lit("."), F.lit("/")), F.lit(".f32")).alias("path"))
+    archive.write(files.select(F.lit("bundle").alias("archive"), "path", "content"), f"{path}/files")
+    entries = files.select(F.lit(SCHEMA_NAME).alias("schema"), F.col("slot").cast("string").alias("slot"), "path", "shape", F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"))
+    shared.write_atomic(entries, f"{path}/manifest")
+    return spark.read.schema(entries.schema).parquet(f"{path}/manifest")
+
+
+def load_violations(manifest_: DataFrame, found: DataFrame, kinds: tuple[str, ...] = ("f32",), schema: str = SCHEMA_NAME) -> DataFrame:
+    """The rules of a bundle: schema, unique slots and paths, paths below the root, positive shapes of known
+    kind whose size is the declared length, and files of that length and hash. (rule, entity, detail) rows."""
+    entity = F.col("slot")
+    size = contracts.tensor_size(F.transform("shape", lambda s: s.cast("long")))
+    rules = [
+        contracts.violations(manifest_, "schema", entity, F.col("schema") != schema, F.col("schema")),
+        contracts.violations(manifest_, "path", entity, ~(contracts.safe_path(F.col("path")) & contracts.below_root(F.col("path"))), F.col("path")),
+        contracts.violations(manifest_, "kind", entity, ~F.col("kind").isin(*kinds), F.col("kind")),
+        contracts.violations(manifest_, "shape", entity, (F.size("shape") == 0) | F.exists("shape", lambda s: s <= 0), F.array_join(F.transform("shape", lambda s: s.cast("string")), "x")),
+        contracts.violations(manifest_, "length", entity, size != F.col("length"), F.col("length")),
+        contracts.violations(contracts.duplicates(manifest_, "path"), "unique", F.col("path"), F.lit(True), F.col("n")),
+        verify(manifest_.dropDuplicates(["path"]), found).select("rule", "entity", F.lit("").alias("detail")),
+    ]
+    return contracts.union(*rules)
+
+
 def discover(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """Files below a folder whose names match: path and length, no contents, each path once."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)

@@ -27,8 +27,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 9) + 0.0
-    if isinstance(v, (list, tuple)):
-        return tuple(norm(x) for x in v)
+    if isinstance(v, (list, tuple)):  # compared bit by bit, so the sign of a zero counts
+        return tuple(repr(x) if x == 0 and isinstance(x, float) else norm(x) for x in v)
     if hasattr(v, "isoformat"):
         return v.replace(tzinfo=None).isoformat()
     return v

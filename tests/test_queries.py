@@ -8,14 +8,10 @@ from . import oracle
 from provena.plans import registry
 
 
-@pytest.fixture(scope="module")
-def duck():
-    return oracle.connect(oracle.TINY)
-
-
+@pytest.mark.parametrize("sf_dir", [oracle.TINY, oracle.SMALL])
 @pytest.mark.parametrize("name", sorted(registry.SQL))
-def test_same_rows(spark, duck, name):
-    assert oracle.difference(registry.QUERIES[name](spark, oracle.TINY), registry.SQL[name], duck) == ""
+def test_same_rows(spark, name, sf_dir):
+    assert oracle.difference(registry.QUERIES[name](spark, sf_dir), registry.SQL[name], oracle.connect(sf_dir)) == ""
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))

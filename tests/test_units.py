@@ -54,6 +54,16 @@ def test_slot_names(spark):
     assert got == [("embedding", None), ("q_proj", 3), ("gate_proj", 11), (None, 2), ("final_norm", None), (None, None)]
 
 
+def test_state_onto_slots(spark):
+    names = spark.createDataFrame([(n,) for n in ("blocks.0.attn.q_proj.weight", "layers.0.attn.wk.bias", "h.1.attn.wq", "h.1.attn.query", "blocks.0.rotary", "blocks.0.attn.query.old")], "name string")
+    slots = spark.createDataFrame([(s,) for s in ("blocks.0.attn.q_proj.weight", "blocks.0.attn.k_proj.weight", "blocks.1.attn.q_proj.weight", "blocks.1.attn.k_proj.weight")], "slot string")
+    got = {(r.slot, r.name): r.status for r in contracts.normalize(names, slots).collect()}
+    assert got == {
+        ("blocks.0.attn.q_proj.weight",) * 2: "exact", ("blocks.0.attn.k_proj.weight", "layers.0.attn.wk.bias"): "classified", ("blocks.1.attn.q_proj.weight", None): "ambiguous",
+        ("blocks.1.attn.k_proj.weight", None): "missing", **{(None, n): "unconsumed" for n in ("h.1.attn.wq", "h.1.attn.query", "blocks.0.rotary", "blocks.0.attn.query.old")},
+    }
+
+
 def test_finite_and_errors(spark):
     df = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,), (1.5,)], "x double")
     assert [r[0] for r in df.select(parity.finite(F.col("x"))).collect()] == [False, False, False, True]
