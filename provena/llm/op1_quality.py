@@ -6,7 +6,8 @@ gradients are summed by (node, bin) with one bincount a feature, and splits foll
 Trees are perfect and flattened into arrays, so scoring a batch is `depth` numpy gathers a tree.
 
 Defined results: null and empty texts have zero statistics and are scored like any text; null labels are
-not learned from; an id labelled twice has its higher label; without both labels the score is their
+not learned from; an id labelled twice has its higher label, an id of several texts stands for its least
+statistics; without both labels the score is their
 share (0.5 without any); repeated rows score alike; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -138,7 +139,7 @@ def learn(described: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fore
     """Fit on labelled documents whose crc32(doc_id) mod 3 is not 1."""
     own = labels.filter("doc_id is not null and quality is not null and crc32(cast(doc_id as string)) % 3 <> 1").groupBy("doc_id").agg(F.max("quality").alias("label"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` rows from here on
-    rows = described.join(F.broadcast(own), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("x", "label").toArrow()
+    rows = described.join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("label").alias("label")).orderBy("doc_id").select("x", "label").toArrow()
     y = rows.column("label").to_numpy().astype(float)
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), len(FEATURES))
     return grow(x, y)

@@ -13,8 +13,8 @@ the probability.
 
 Learned from a bounded sample of labelled documents (`SAMPLE`, by a hash of the id); everything else
 covers every whole text. Defined results: null and empty texts score as texts without hits; null labels
-are not learned from; an id or a text labelled twice counts as toxic if any label is; repeated rows are
-scored alike; an empty table gives no rows; extra columns are ignored by `score` and kept by `screen`.
+are not learned from; an id or a text labelled twice counts as toxic if any label is, and an id of several
+texts stands for the least of them; repeated rows are scored alike; an empty table gives no rows; extra columns are ignored by `score` and kept by `screen`.
 """
 
 from __future__ import annotations
@@ -48,6 +48,7 @@ _FINE = re.compile(r"[^\W_]+|[\"“”«»„\n]|!!")
 #: Fixed list: words that introduce a quotation or a mention, and direct address.
 _QUOTING = frozenset("said says wrote called quote quoted term word slur phrase".split())
 _ADDRESS = frozenset("you your you're du dein tu ton vous tú usted".split())
+#: Words, and states of the automaton, that a worker remembers.
 _KEPT = 300_000
 
 
@@ -74,12 +75,16 @@ class Automaton:
             ends[at] = own
         self.ends = ends
         self.letters = {c for d in self.child for c in d}
+        self.known: dict[str, int] = {}
+        self._begin()
+
+    def _begin(self) -> None:
+        """No states yet but the first; they are a cache and come back when they are needed."""
         self.states: list[frozenset] = []
         self.number: dict[frozenset, int] = {}
         self.accept: list[int] = []
         self.step: list[dict[str, int]] = []
         self.start = self._state({0: 0})
-        self.known: dict[str, int] = {}
 
     def _state(self, low: dict[int, int]) -> int:
         """Number of the state with these trie nodes at their fewest edits; -1 if it is empty."""
@@ -116,6 +121,8 @@ class Automaton:
     def distance(self, word: str) -> int:
         if (got := self.known.get(word)) is not None:
             return got
+        if len(self.states) > _KEPT:
+            self._begin()
         at = self.start
         for c in word:
             if c not in self.letters:
@@ -244,7 +251,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ship(docs.sparkSession)
     own = labels.filter("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    known = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").groupBy(F.coalesce(F.md5("text"), F.lit("")).alias("key"))  # at most `sample` labels
+    known = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    known = known.groupBy(F.coalesce(F.md5("text"), F.lit("")).alias("key"))  # at most `sample` labels
     known = work.save(known.agg(F.first("text").alias("text"), F.max("label").alias("label")), "labelled")
     size = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     bad, good = sum(n for k, n in size.items() if k), size.get(0, 0)

@@ -14,7 +14,8 @@ distinct vectors; see the README for measured figures.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing
 and are their own component; vectors of different lengths never link; repeated rows count as further
-vectors of their class; an empty table gives no rows; extra columns are ignored.
+vectors of their class; a vector without an id counts for nobody and comes back with no links and
+a null component; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -175,8 +176,10 @@ def range_join(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     n = found.groupBy("id").agg(F.sum("n").alias("n"))
     group = graph.components(found, "id", "low")
     result = classes.join(n, "id", "left").join(group, "id", "left").select("vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    component = F.coalesce("component", "vec_id")
-    return rows.join(result, "vector", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    known = F.col("vec_id").isNotNull()
+    component = F.when(known, F.coalesce("component", "vec_id"))
+    n_links = F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long")
+    return rows.join(result, "vector", "left").select("vec_id", n_links.alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

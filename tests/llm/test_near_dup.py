@@ -152,3 +152,10 @@ def test_vectors_whole_table(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{oracle.SMALL}/embeddings.parquet").collect()]
     got = op9_metric_join.query(spark, oracle.SMALL).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute_vectors(rows)
+
+
+def test_vectors_without_ids(spark):
+    x = [1.0, 0.0, 2.0]
+    df = spark.createDataFrame([(1, x), (2, x), (None, x), (None, None), (3, [0.0, 1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in op9_metric_join.range_join(df).collect()), key=repr)
+    assert got == [(0, 0, None, None), (0, 0, None, None), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]

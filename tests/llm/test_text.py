@@ -64,6 +64,86 @@ def test_quality_awkward(spark, awkward, nothing, labels, no_labels):
     assert op1_quality.score(empty, op1_quality.learn(empty, labels)).count() == 0
 
 
+def slow_statistics(text):
+    t = text or ""
+    w = re.findall(SPACE, t)
+    size = [len(x.encode()) for x in w]
+    lines = [x for x in t.split("\n") if re.search(SPACE, x)]
+    n, chars, n_lines = max(len(w), 1), max(sum(map(len, w)), 1), max(len(lines), 1)
+    many = lambda chars_: sum(c in chars_ for c in t)
+    upper = lambda x: sum("A" <= c <= "Z" for c in x)
+
+    def inside(k):
+        c = collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+        return len({j for i in range(len(w) - k + 1) if c[tuple(w[i : i + k])] > 1 for j in range(i, i + k)})
+
+    return [
+        np.log1p(len(w)), sum(map(len, w)) / n, many("#*$%&|<>") / chars, upper(t) / chars, many("0123456789") / chars, many("!?") / chars, many("|") / n, len(set(w)) / n, max(collections.Counter(w).values(), default=0) / n,
+        sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, (len(lines) - len(set(lines))) / n_lines, inside(8) / n, inside(3) / n, len(w) / n_lines, sum(s <= 2 for s in size) / n, sum(s >= 12 for s in size) / n,
+        sum(2 * upper(x) > s and s > 1 for x, s in zip(w, size, strict=True)) / n, many(".,;:") / n,
+    ]
+
+
+def test_statistics_against_brute_force(spark, awkward):
+    for docs in (awkward, table(spark, "documents", oracle.TINY)):
+        texts = [r.text for r in docs.select("text").collect()]
+        for text, r in zip(texts, op1_quality.describe(docs).collect(), strict=True):
+            assert np.allclose(r.x, slow_statistics(text), rtol=1e-12, atol=1e-12), (text or "")[:80]
+
+
+def test_forest_against_a_walk():
+    """The flat arrays give what a walk down each tree gives."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    f = op1_quality.grow(x, (x[:, 0] * x[:, 1] > 0.1).astype(float), trees=7, depth=3)
+    for row, got in zip(x, f.margin(x), strict=True):
+        want = f.bias
+        for feature, cut, leaf in zip(f.feature, f.cut, f.leaf, strict=True):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + (2 if row[feature[at]] > cut[at] else 1)
+            want += leaf[at - len(feature)]
+        assert abs(want - got) < 1e-12
+
+
+def slow_mixture(like):
+    """Proportions of one document from its words' likelihoods, step by step."""
+    n, k = len(like), len(like[0])
+
+    def em(pi):
+        for _ in range(op2_langid.ROUNDS):
+            total = [0.0] * k
+            for row in like:
+                s = sum(p * x for p, x in zip(pi, row, strict=True))
+                for i in range(k):
+                    total[i] += pi[i] * row[i] / s
+            pi = [t / n for t in total]
+        return pi, sum(np.log(sum(p * x for p, x in zip(pi, row, strict=True))) for row in like)
+
+    full, _ = em([1 / k] * k)
+    order = sorted(range(k), key=lambda i: -full[i])
+    best = [float(i == order[0]) for i in range(k)]
+    chosen = sum(np.log(row[order[0]]) for row in like)
+    for size in range(2, k + 1):
+        pi, got = em([1 / size if i in order[:size] else 0.0 for i in range(k)])
+        if got - 0.5 * np.log(n + 1.0) * (size - 1) > chosen:
+            best, chosen = pi, got - 0.5 * np.log(n + 1.0) * (size - 1)
+    return best
+
+
+def test_mixtures_against_brute_force():
+    rng = np.random.default_rng(8)
+    docs = []
+    for kind in range(40):
+        own = rng.choice(4, size=rng.integers(1, 4), replace=False)
+        lang = rng.choice(own, size=rng.integers(1, 80))
+        docs.append(np.exp(np.where(np.arange(4) == lang[:, None], 0.0, -rng.exponential(1 + kind % 5, (len(lang), 4)))))
+    first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    got = op2_langid.infer(np.concatenate(docs), first)
+    for d, g in zip(docs, got, strict=True):
+        assert np.allclose(g, slow_mixture(d.tolist()), atol=1e-9)
+
+
 def test_language_held_out(spark):
     rows = op2_langid.query(spark, oracle.SMALL).join(table(spark, "documents").select("doc_id", "lang"), "doc_id").collect()
     assert len(rows) == table(spark, "documents").count()
@@ -215,6 +295,48 @@ def test_automaton_is_levenshtein():
         assert auto.distance(w) == want, w
 
 
+def slow_features(text, terms):
+    """Every word against every term, and every hit's window, one by one."""
+    near = lambda w: min((d for t in terms if (d := levenshtein(w, t)) <= op6_toxicity.limit(t)), default=9)
+    words, open_ = [], False
+    for t in re.findall(r"[^\W_]+|[\"“”«»„\n]|!!", text.lower()):
+        if t == "!!":
+            if words:
+                words[-1][2] = True
+        elif t[0].isalnum():
+            words.append([t, open_, False, near(t)])
+        else:
+            open_ = False if t == "\n" else not open_ if t == '"' else t in "“«„"
+    hits = [i for i, w in enumerate(words) if w[3] <= 2]
+    if not hits:
+        return None
+    total, best, mentions = [0.0, 0.0, 0.0], 0.0, 0
+    for i in hits:
+        around = words[max(0, i - op6_toxicity.WINDOW) : i + op6_toxicity.WINDOW + 1]
+        others = sum(abs(i - j) <= op6_toxicity.WINDOW for j in hits) - 1
+        mention = words[i][1] or any(w[0] in op6_toxicity._QUOTING for w in words[max(0, i - 3) : i])
+        strong = any(w[2] or w[0] in op6_toxicity._ADDRESS for w in around)
+        value = (0.25 if mention else 1) * (1 + 0.25 * min(others, 4)) * (1.2 if strong else 1)
+        total[words[i][3]] += value
+        mentions += mention
+        best = max(best, value if words[i][3] == 0 else 0)
+    return [float(total[0] > 0.5), *np.log1p(total), best, mentions / len(hits), np.log1p(len(hits)) / np.log1p(len(words) + 1)]
+
+
+def test_windows_against_brute_force(monkeypatch):
+    monkeypatch.setattr(op6_toxicity, "_KEPT", 40)  # caches run over and begin again
+    rng = np.random.default_rng(11)
+    terms = ["worthless", "idiot", "scum", "ab", "vermin"]
+    auto = op6_toxicity.Automaton(terms)
+    pool = [*terms, "wortless", "idiots", "idot", "scumm", "vrmn", "abc", "said", "wrote", "you", "plain", "word", "über", "x9"]
+    marks = ["", "", "", "", '"', "“", "”", "\n", "!!", "!", ","]
+    for _ in range(400):
+        text = " ".join(str(rng.choice(marks)) + str(rng.choice(pool)) + str(rng.choice(marks)) for _ in range(rng.integers(1, 50)))
+        got, want = op6_toxicity.features(text, auto), slow_features(text, terms)
+        assert (got is None) == (want is None)
+        assert got is None or np.allclose(got, want, atol=1e-12), text
+
+
 def test_quotation_and_misspelling():
     model = op6_toxicity.Model(["worthless", "idiot"], [0.0] * 7, 0.0)
     auto = op6_toxicity.Automaton(model.terms)
