@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..sources import shared
 
 
 @dataclass(frozen=True)
@@ -168,21 +169,31 @@ def token_windows(tokens: DataFrame, position: str, token: str, size: int) -> Da
     return g.filter(F.size("t") == size + 1).select("window", F.transform("t", lambda s: s["tok"].cast("int")).alias("tokens"))
 
 
+def table_of(spark: SparkSession, params: dict[str, np.ndarray]) -> DataFrame:
+    """(slot, r, w, m, v): parameters by row, with zero moments."""
+    rows = [(k, r, row.tolist(), [0.0] * len(row), [0.0] * len(row)) for k, x in params.items() for r, row in enumerate(x)]
+    return spark.createDataFrame(rows, "slot string, r long, w array<double>, m array<double>, v array<double>")
+
+
 def train(windows: DataFrame, params: dict[str, np.ndarray], g: Geometry, steps: int, lr: float = 1e-3, beta1: float = 0.9, beta2: float = 0.95, eps: float = 1e-8, decay: float = 0.0) -> tuple[dict[str, np.ndarray], list[float]]:
-    """Full-batch AdamW with the gradient norm clipped to 1: one job a step; parameters and moments have
-    the model's size. Returns the parameters and the loss before each step."""
-    params = {k: v.copy() for k, v in params.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in params.items()} for _ in range(2))
-    losses = []
+    """Full-batch AdamW with the gradient norm clipped to 1. Parameters and moments are a table, a step is a
+    join with the summed gradients, and only the parameters come back for the next broadcast. Returns
+    them and the loss before each step."""
+    spark = windows.sparkSession
+    state, losses = table_of(spark, params), []
+    each = lambda f, *cols: F.transform(F.arrays_zip(*cols), f)
     for t in range(1, steps + 1):
-        rows = gradients(windows, params, g).collect()  # the model's rows
-        losses.append(rows[0]["loss"] / rows[0]["windows"])
-        grad = {k: np.zeros_like(x) for k, x in params.items()}
-        for r in rows:
-            grad[r["slot"]][r["r"]] = np.array(r["g"]) / r["windows"]
-        norm = np.sqrt(sum((x * x).sum() for x in grad.values()))
-        clip = min(1.0, 1 / (norm + 1e-6))
-        for k, x in grad.items():
-            m[k], v[k] = beta1 * m[k] + (1 - beta1) * clip * x, beta2 * v[k] + (1 - beta2) * (clip * x) ** 2
-            params[k] -= lr * decay * params[k] + lr * (m[k] / (1 - beta1**t)) / (np.sqrt(v[k] / (1 - beta2**t)) + eps)
+        path = shared.folder(spark, "train")
+        gradients(windows, params, g).select("slot", "r", F.transform("g", lambda x: x / F.col("windows")).alias("g"), (F.col("loss") / F.col("windows")).alias("loss")).write.parquet(f"{path}/g")
+        grad = spark.read.parquet(f"{path}/g")
+        whole = grad.agg(F.sqrt(F.sum(F.aggregate("g", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"), F.max("loss").alias("loss")).first()  # one row
+        losses.append(whole["loss"])
+        clip = min(1.0, 1 / (whole["norm"] + 1e-6))
+        both = state.join(grad, ["slot", "r"]).withColumn("m", each(lambda z: beta1 * z["m"] + (1 - beta1) * clip * z["g"], "m", "g")).withColumn("v", each(lambda z: beta2 * z["v"] + (1 - beta2) * clip * clip * z["g"] * z["g"], "v", "g"))
+        w = each(lambda z: z["w"] - lr * decay * z["w"] - lr * (z["m"] / (1 - beta1**t)) / (F.sqrt(z["v"] / (1 - beta2**t)) + eps), "w", "m", "v")
+        both.select("slot", "r", w.alias("w"), "m", "v").write.parquet(f"{path}/state")
+        state = spark.read.parquet(f"{path}/state")
+        params = {k: np.empty_like(x) for k, x in params.items()}
+        for r in state.select("slot", "r", "w").toLocalIterator():  # the model's rows
+            params[r["slot"]][r["r"]] = r["w"]
     return params, losses
