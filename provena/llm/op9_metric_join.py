@@ -6,11 +6,13 @@ must satisfy d(y, p_i) <= d(y, p_own) + 2r and d(y, p_i) <= R_i + r (triangle in
 radius) and lie at most r beyond the bisector of p_i and p_own; only then it is copied to cell i. Every
 cell finds the links of its own vectors alone, so cells join independently and no link is lost.
 
-Cells are cut into blocks of at most `BLOCK` own and `BLOCK` candidate vectors (bounded memory whatever
-the cell's size), and a block sends out one count and one label for each linked vector, not its pairs.
-Equal vectors are one class before the join. In data without structure (random directions in 64
-dimensions) the bounds copy most vectors to most cells, and the work grows with the square of the
-distinct vectors; see the README for measured figures.
+Cells are cut into blocks of at most `BLOCK` own vectors. A block's own vectors are held in memory, and its
+candidates pass by in slices of that size, so memory is bounded whatever the cell's size; a block sends out
+counts and one label for each linked vector, not its pairs. Equal vectors are one class before the join.
+Blocks are as large as the cluster's cores leave work for, since a vector goes once to every cell that it
+may have links in. In data without structure (random directions in 64 dimensions) the bounds copy most
+vectors to most cells, and the work grows with the square of the distinct vectors; see the README for
+measured figures.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing
 and are their own component; vectors of different lengths never link; repeated rows count as further
@@ -31,8 +33,13 @@ from ..session import ship, table
 from . import graph, work
 from .bytes_ import column, list_array
 
-BLOCK, CHUNK = 4096, 256
-#: Pivots: one for each BLOCK distinct vectors, within these numbers (so they fit the driver).
+#: Most and fewest own vectors of a block, and rows of one product.
+BLOCK, SMALL_BLOCK, CHUNK = 16_384, 1_024, 256
+#: Pairs that a block and a slice of its candidates have at most, and that may all be links at once.
+PAIRS = 1 << 23
+#: Candidate slices that one task takes before a block's candidates are dealt to several tasks.
+SLICES = 32
+#: Pivots: one for each block of distinct vectors, within these numbers (so they fit the driver).
 FEWEST, MOST = 2, 512
 _SLACK = 1e-7
 
@@ -95,27 +102,28 @@ def _copied(batches: Iterator[pa.RecordBatch], held, radius: dict[int, float], r
         yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in names), list_array(np.concatenate(cells), at, pa.int64())], [*names, "cells"])
 
 
-def _block(t: pa.Table, cosine: float) -> pa.RecordBatch:
-    """Links of one block: (id, linked vectors, smallest id reached inside the block)."""
-    ids, mult, own = (t.column(c).to_numpy() for c in ("id", "copies", "own"))
+def _prepared(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     ((_, x),) = _units(t.column("vector").combine_chunks()).values()
-    a, b = np.flatnonzero(own == 1), np.flatnonzero(own == 0)
-    x32 = x.astype(np.float32)
+    return t.column("id").to_numpy(), t.column("copies").to_numpy(), x, x.astype(np.float32)
+
+
+def _block(own: tuple, t: pa.Table, cosine: float) -> pa.RecordBatch:
+    """Links between own vectors and a slice of candidates: (id, linked vectors, smallest id reached)."""
+    (ids_a, _, x, x32), (ids_b, mult, y, y32) = own, _prepared(t)
     links = []
-    for lo in range(0, len(a), CHUNK):
-        rows = a[lo : lo + CHUNK]
-        i, j = np.nonzero(x32[rows] @ x32[b].T >= cosine - 1e-4)
+    for lo in range(0, len(ids_a), CHUNK):
+        i, j = np.nonzero(x32[lo : lo + CHUNK] @ y32.T >= cosine - 1e-4)
         if len(i):
             ri, rj = np.unique(i), np.unique(j)
-            exact = x[rows[ri]] @ x[b[rj]].T >= cosine
-            exact &= ids[rows[ri]][:, None] != ids[b[rj]]
+            exact = x[lo + ri] @ y[rj].T >= cosine
+            exact &= ids_a[lo + ri][:, None] != ids_b[rj]
             p, q = np.nonzero(exact)
             links.append(np.stack([lo + ri[p], rj[q]]).astype(np.int32))
     if not links:
         return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, ["id", "n", "low"])
     i, j = np.concatenate(links, axis=1)
-    n = np.bincount(i, mult[b][j], len(a)).astype(np.int64)
-    low_a, low_b = ids[a].copy(), ids[b].copy()
+    n = np.bincount(i, mult[j], len(ids_a)).astype(np.int64)
+    low_a, low_b = ids_a.copy(), ids_b.copy()
     while True:  # smallest label over the block's links
         was = low_a.sum() + low_b.sum()
         np.minimum.at(low_a, i, low_b[j])
@@ -123,22 +131,47 @@ def _block(t: pa.Table, cosine: float) -> pa.RecordBatch:
         if low_a.sum() + low_b.sum() == was:
             break
     ua, ub = np.unique(i), np.unique(j)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[a][ua], ids[b][ub]])), pa.array(np.concatenate([n[ua], np.zeros(len(ub), np.int64)])), pa.array(np.concatenate([low_a[ua], low_b[ub]]))], ["id", "n", "low"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids_a[ua], ids_b[ub]])), pa.array(np.concatenate([n[ua], np.zeros(len(ub), np.int64)])), pa.array(np.concatenate([low_a[ua], low_b[ub]]))], ["id", "n", "low"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch], cosine: float, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block, its own vectors first; candidates are taken in slices of `most`."""
+    key, own, ready, wait = None, [], None, []
 
+    def due() -> pa.RecordBatch:
+        nonlocal ready
+        ready = ready or _prepared(pa.concat_tables(own))
+        out = _block(ready, pa.concat_tables(wait), cosine)
+        wait.clear()
+        return out
 
-def _joined(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by block, which has at most 2 * BLOCK rows or so."""
-    held: pa.Table | None = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t])
-        key = np.stack([held.column(c).to_numpy() for c in ("cell", "a", "b")])
-        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()]
+        keys = np.stack([t.column(c).to_numpy() for c in ("cell", "a", "b", "own")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), t.num_rows]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            yield _block(held.slice(lo, hi - lo), cosine)
-        held = held.slice(cuts[-1])
-    if held is not None and held.num_rows:
-        yield _block(held, cosine)
+            *at, mine = keys[:, lo].tolist() if lo < hi else (*(key or ()), 0)
+            if lo < hi and at != key:
+                if wait and own:
+                    yield due()
+                wait.clear()
+                key, own, ready = at, [], None
+            if mine:
+                own.append(t.slice(lo, hi - lo))
+                continue
+            while lo < hi and own:
+                step = min(hi - lo, most - sum(w.num_rows for w in wait))
+                wait.append(t.slice(lo, step))
+                lo += step
+                if sum(w.num_rows for w in wait) >= most:
+                    yield due()
+    if wait and own:
+        yield due()
+
+
+def block_size(count: int, cores: int) -> int:
+    """Own vectors of a block: four blocks for each core if they are that many, within bounds."""
+    return min(BLOCK, max(SMALL_BLOCK, -(-count // (4 * cores))))
 
 
 def range_join(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
@@ -150,7 +183,8 @@ def range_join(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     good = rows.filter(f"vec_id is not null and size(vector) > 0 and not exists(vector, {bad}) and exists(vector, x -> x <> 0)")
     classes = work.save(good.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
     count = classes.count()
-    wanted = min(MOST, max(FEWEST, -(-count // BLOCK)))
+    block = block_size(count, spark.sparkContext.defaultParallelism)
+    wanted = min(MOST, max(FEWEST, -(-count // block)))
     # A bounded sample by a hash of the id: exactly `wanted` rows, or all.
     drawn = classes.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vector").toArrow()
     pivots, first = {}, 0
@@ -167,11 +201,11 @@ def range_join(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     work.drop(placed)
     own = copied.groupBy("cell").agg(F.count("*").alias("own"))
     size = copied.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("all")).join(own, "cell")
-    parts = F.broadcast(size.selectExpr("cell", f"cast(ceil(own / {BLOCK}) as int) as na", f"cast(ceil(all / {BLOCK}) as int) as nb"))  # one row for each pivot
+    parts = F.broadcast(size.selectExpr("cell", f"cast(ceil(own / {block}) as int) as na", f"cast(ceil(all / {SLICES * block}) as int) as nb"))  # one row for each pivot
     left = copied.select("id", "copies", "vector", "cell").join(parts, "cell").withColumn("a", F.pmod(F.xxhash64("id"), "na").cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     right = copied.select("id", "copies", "vector", F.explode("cells").alias("cell")).join(parts, "cell").withColumn("b", F.pmod(F.xxhash64("id"), "nb").cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
     blocks = left.withColumn("own", F.lit(1)).unionByName(right.withColumn("own", F.lit(0))).select("cell", "a", "b", "own", "id", "copies", "vector")
-    found = blocks.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(lambda it: _joined(it, cosine), "id long, n long, low long")
+    found = blocks.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b", F.desc("own")).mapInArrow(lambda it: _joined(it, cosine, max(1, PAIRS // block)), "id long, n long, low long")
     found = work.save(found, "links")
     n = found.groupBy("id").agg(F.sum("n").alias("n"))
     group = graph.components(found, "id", "low")

@@ -135,6 +135,8 @@ def brute_vectors(rows, cosine=0.95):
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(op9_metric_join, "BLOCK", 16)
     monkeypatch.setattr(op9_metric_join, "CHUNK", 5)
+    monkeypatch.setattr(op9_metric_join, "PAIRS", 64)
+    monkeypatch.setattr(op9_metric_join, "SLICES", 2)
     rng = np.random.default_rng(2)
     rows = []
     for c in range(6):
