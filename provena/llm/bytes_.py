@@ -2,19 +2,21 @@
 
 Every text operator of this package walks its texts through these helpers: a batch of strings is one
 byte buffer with offsets, and words, lines and their hashes are index arrays over it. Nothing here
-loops over rows or characters in Python, and one slice holds a few megabytes of text (or one longer
-text), so memory is bounded by the longest text.
+loops over rows or characters in Python, and one slice holds a megabyte of text (or one longer text) and
+a few thousand rows, so memory is bounded by the longest text. A worker gives its free memory back when a
+task ends, as idle workers stay while later stages run.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 4096
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -58,16 +60,24 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple]:
-    """(record batch, bytes, offsets) of at most `most` bytes of text each, or of one longer text."""
+    """(record batch, bytes, offsets) of at most `most` bytes of text and SLICE_ROWS rows each, or of one
+    longer text."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         buf, off = buffers(batch.column(batch.schema.get_field_index(text)))
         lo, n = 0, batch.num_rows
         while lo < n:
-            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
+            hi = max(lo + 1, min(lo + SLICE_ROWS, int(np.searchsorted(off, off[lo] + most, "right")) - 1))
             yield batch.slice(lo, hi - lo), buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             lo = hi
+    _release()
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
 
 
 class Words:

@@ -49,7 +49,7 @@ _FINE = re.compile(r"[^\W_]+|[\"“”«»„\n]|!!")
 _QUOTING = frozenset("said says wrote called quote quoted term word slur phrase".split())
 _ADDRESS = frozenset("you your you're du dein tu ton vous tú usted".split())
 #: Words, and states of the automaton, that a worker remembers.
-_KEPT = 300_000
+_KEPT = 100_000
 
 
 def limit(term: str) -> int:
