@@ -40,7 +40,7 @@ from .bytes_ import Words, column, list_array, mix, slices, windows
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
 #: Bits of a parity bitmap, and most rows on one side of a block of a bucket.
-PARITY, BLOCK = 2048, 2048
+PARITY, BLOCK = 2048, 1024
 #: Tables up to this many rows are broadcast.
 SMALL = 100_000
 _NONE = np.uint64(2**64 - 1)
