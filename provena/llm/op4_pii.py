@@ -32,6 +32,7 @@ ignored by `find` and kept, whatever their names, by `redact`.
 from __future__ import annotations
 
 import itertools
+import json
 import math
 from collections.abc import Callable
 
@@ -332,7 +333,7 @@ def threshold(scored: list[tuple[float, int, float]]) -> float:
 
 def learn(found: DataFrame) -> tuple[list, dict[int, float]]:
     """Trees, and each generator's threshold."""
-    made = found.sparkSession.createDataFrame(examples(), "text string, x_s long, x_e long, x_label int")
+    made = found.sparkSession.sql("select inline(from_json(:made, 'array<struct<text:string,x_s:bigint,x_e:bigint,x_label:int>>'))", args={"made": json.dumps([dict(zip(("text", "x_s", "x_e", "x_label"), x, strict=True)) for x in examples()])})
     own = candidates(made, F.struct("x_s", "x_e", "x_label"))
     rows = _weighted(_counted(found, "z.q.label")) + _weighted(_counted(own, "if(z.q.s < kept.x_e and z.q.e > kept.x_s, kept.x_label, null)"))
     trees = grow(sorted((x, y, w) for x, y, fold, w in rows if not fold))
