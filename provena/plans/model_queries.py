@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import optimizer, parity, tensors
+from ..operators import contracts, optimizer, parity, tensors
 from ..session import table
 from ._register import LONG, query
 from .join_queries import _W, logits
@@ -183,9 +183,17 @@ def adamw_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_suppkey", *(F.round(c, 8).alias(c) for c in ("w", "m", "v")), "steps")
 
 
-@query("m01_parameter_table", f"select r, count(*) n, round(min(x), 6) lo, round(max(x), 6) hi from {LONG} group by r")
+@query("m01_parameter_table", f"""select o::bigint slot, count(*) numel, (count(*) * 4)::bigint nbytes, round(sqrt(sum(w * w)), 6) l2, round(max(abs(w)), 6) max_abs, bool_and(isfinite(w)) finite, o % 4 <> 3 trainable,
+case when o % 4 = 3 or o % 2 = 1 then 0::double else 0.1::double end decay from {_W} group by o""")
 def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(spark, sf_dir).groupBy("r").agg(F.count("*").alias("n"), F.round(F.min("x"), 6).alias("lo"), F.round(F.max("x"), 6).alias("hi"))
+    """One row for each parameter: size, norms, whether it is finite, trained (every fourth slot is frozen)
+    and decayed (even slots)."""
+    from .join_queries import class_weights
+
+    w = class_weights(spark, sf_dir).groupBy(F.col("o").cast("long").alias("slot")).agg(F.count("*").alias("numel"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l2"), F.max(F.abs("w")).alias("max_abs"), F.bool_and(parity.finite(F.col("w"))).alias("finite"))
+    trained = F.col("slot") % 4 != 3
+    decay = F.when(trained & (F.col("slot") % 2 == 0), optimizer.DECAY).otherwise(0.0)
+    return w.select("slot", "numel", contracts.tensor_size(F.array("numel")).alias("nbytes"), F.round("l2", 6).alias("l2"), F.round("max_abs", 6).alias("max_abs"), "finite", trained.alias("trainable"), decay.alias("decay"))
 
 
 _PARITY = f"""with v as {LONG}, w0 as {_W}, k as (select 'arrow' cand, o, c, w from w0 union all select 'coarse', o, c, round(w, 1) from w0),
