@@ -87,10 +87,18 @@ def parameter_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").agg(F.sum(F.size("embedding")).alias("parameters"), F.count("*").alias("slots"), (F.sum(F.size("embedding")) == F.count("*") * 64).alias("ok"))
 
 
-@query("f15_window_slice", "select event_id, user_id token from events where event_id >= 256 * 3 and event_id < 256 * 3 + 257")
+@query("f15_window_slice", """with t as (select max(event_id) top from events) select event_id // 256 window_id, event_id % 256 pos, user_id token from events, t where (event_id // 256 + 1) * 256 <= top
+union all select event_id // 256 - 1, 256::bigint, user_id from events where event_id % 256 = 0 and event_id > 0""")
 def window_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sample window of 257 tokens: the slice is the operator, and it is pushed to the scan."""
-    return table(spark, sf_dir, "events").filter("event_id >= 256 * 3 and event_id < 256 * 3 + 257").select("event_id", F.col("user_id").alias("token"))
+    """The 257 tokens of every full window: 256 inputs and the last target, which the next window begins
+    with. A row is copied to the window before it, so nothing is shuffled."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("token"))
+    top = e.agg(F.max("event_id")).first()[0]  # one number
+    at = lambda w, p: F.struct(w.cast("long").alias("window_id"), p.cast("long").alias("pos"))
+    own, pos = F.floor(F.col("event_id") / 256), F.col("event_id") % 256
+    mine = F.when((own + 1) * 256 <= F.lit(top), at(own, pos))
+    shared = F.when((pos == 0) & (F.col("event_id") > 0), at(own - 1, F.lit(256)))
+    return e.select(F.explode(F.array(mine, shared)).alias("w"), "token").filter("w is not null").select("w.window_id", "w.pos", "token")
 
 
 _KIND = """case when l like '%a%' and length(l) % 2 = 0 then 'even_a' when regexp_matches(l, '(^|[ _])(steel|brass)($|[ _])') then 'metal' when regexp_matches(l, '^[a-m]') then 'low' end"""
