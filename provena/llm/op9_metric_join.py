@@ -170,8 +170,9 @@ def _joined(batches: Iterator[pa.RecordBatch], cosine: float, most: int) -> Iter
 
 
 def block_size(count: int, cores: int) -> int:
-    """Own vectors of a block: four blocks for each core if they are that many, within bounds."""
-    return min(BLOCK, max(SMALL_BLOCK, -(-count // (4 * cores))))
+    """Own vectors of a block: one block for each core, within bounds, as every block more is a copy more
+    of each vector."""
+    return min(BLOCK, max(SMALL_BLOCK, -(-count // max(1, cores))))
 
 
 def range_join(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
