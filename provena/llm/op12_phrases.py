@@ -2,10 +2,10 @@
 
 Texts are cut into pieces at `[.,;:!?\\x0A-\\x0D]` and pieces into words; every run of up to `max_n` words
 of a piece is exploded into rows. A slice of texts counts its own runs first (its words are numbered in byte
-order, and the words behind a number are compared byte by byte), and a row holds a head, one word or
-two, with its own count and those of the longer runs that begin with it, so a pair's bytes travel once for
-all of them. Heads are hash-aggregated by language; heads that a sample shows to be common have their
-longer runs dealt over `SALTS` groups, which changes where they are counted and not what.
+order, and the words behind a number are compared byte by byte), and sends one row of lines to each bucket:
+a bucket is a hash of a run's first two words, so that neighbours share bytes. Buckets are exploded again and
+hash-aggregated by language. Pairs that a sample shows to be common have their longer runs dealt by the
+third word as well, which changes where they are counted and not what.
 
 From the counts on all is DataFrames: a part of a frequent phrase is at least as frequent, so parts, cuts
 and extensions are joined within the table of frequent phrases. Scores are exact decimals. A phrase inside
@@ -34,16 +34,17 @@ from .bytes_ import byte_set, column, mix, segment_hashes, slices
 
 #: Longest phrase, smallest count, percent of a phrase's count that a longer one needs to take its place.
 MAX_WORDS, LEAST, ABSORBS, FIRST = 3, 10, 50, 2000
-SLICE = 4 << 20
-#: Heads with this share of all pairs of about SAMPLE texts are dealt over SALTS groups (no more than 1 / SHARE heads).
-SALTS, SHARE, SAMPLE = 64, 0.001, 20_000
+SLICE = 2 << 20
+#: Buckets for each shuffle partition; the longer runs of pairs with this share of all words of about SAMPLE
+#: texts (no more than 1 / SHARE pairs) are dealt by their third word too.
+DEALT, SHARE, SAMPLE = 4, 0.001, 20_000
 BUCKETS = (4096, 64, 1)
 _CUT, _GAP = byte_set(b".,;:!?\n\x0b\x0c\r"), byte_set(b" \t")
 
 
 class Runs:
-    """Lower-cased words of a slice: `ids` (numbers in byte order), `names` by number, `doc`, and `link`: the
-    next word follows in the same piece."""
+    """Lower-cased words of a slice: `ids` (numbers in byte order), `names` and `hashed` by number, `doc`, and
+    `link`: the next word follows in the same piece."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray):
         low = np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
@@ -56,9 +57,8 @@ class Runs:
         cuts = np.cumsum(_CUT[low], dtype=np.int64)
         self.link = (self.doc[1:] == self.doc[:-1]) & (cuts[starts[1:]] == cuts[starts[:-1]])
         self.ids, self.names = _numbered(low[solid], ends - starts)
-        h = segment_hashes(low[solid], ends - starts)
-        self.salt = np.zeros(len(self.names), np.int64)
-        self.salt[self.ids] = 1 + (mix(h) % np.uint64(SALTS)).astype(np.int64)
+        self.hashed = np.zeros(len(self.names), np.uint64)
+        self.hashed[self.ids] = segment_hashes(low[solid], ends - starts)
 
 
 def _numbered(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -84,73 +84,77 @@ def _numbered(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array
     return rank[number], names.take(pa.array(order))
 
 
-def _counted(text: pa.Array, n: np.ndarray) -> pa.Array:
+def _lines(text: pa.Array, n: np.ndarray) -> pa.Array:
     """`text`, or text, tab and count where it is not 1."""
-    return pc.if_else(pa.array(n == 1), text, pc.binary_join_element_wise(text, pa.array(n).cast(pa.string()), "\t"))
+    many = pa.array(np.flatnonzero(n > 1))
+    if not len(many):
+        return text
+    counted = pc.binary_join_element_wise(text.take(many), pa.array(n[n > 1]).cast(pa.string()), "\t")
+    return pc.replace_with_mask(text, pa.array(n > 1), counted)
 
 
-def _exploded(batches: Iterator[pa.RecordBatch], longest: int, common: set[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
-    """(lang, head, salt, runs) rows: `runs` holds lines of what follows the head, and the count. Of the
-    head '' the count is that of all words."""
+def _exploded(batches: Iterator[pa.RecordBatch], longest: int, buckets: int, common: set[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, lines) rows, one for each language and bucket of a slice: a line holds a run of words and
+    its count in the slice, in the order of the runs' words. The line without a word counts all words."""
     for batch, buf, off in slices(batches, most=SLICE):
         r = Runs(buf, off)
         if not len(r.ids):
             continue
         coded = column(batch, "lang").dictionary_encode()
         kinds, lang, size = coded.dictionary, coded.indices.to_numpy()[r.doc].astype(np.int64), len(r.names)
-        where = np.flatnonzero(np.bincount(lang))
-        yield _rows(kinds.take(pa.array(where)), pa.array([""] * len(where)), np.zeros(len(where), int), _counted(pa.array([""] * len(where)), np.bincount(lang)[where]))
+        all_ = np.bincount(lang)
+        where = np.flatnonzero(all_)
+        kind, place, lines = [where], [np.zeros(len(where), np.uint64)], [_lines(pa.array([""] * len(where)), all_[where])]
+
+        def add(own: np.ndarray, hashed: np.ndarray, text: pa.Array, n: np.ndarray) -> None:
+            kind.append(own)  # noqa: B023
+            place.append(mix(hashed) % np.uint64(buckets))  # noqa: B023
+            lines.append(_lines(text, n))  # noqa: B023
+
         one, n = np.unique(lang * size + r.ids, return_counts=True)
-        yield _rows(kinds.take(pa.array(one // size)), r.names.take(pa.array(one % size)), np.zeros(len(one), int), _counted(pa.array([""]).take(pa.array(np.zeros(len(one), int))), n))
+        add(one // size, r.hashed[one % size], r.names.take(pa.array(one % size)), n)
         start = np.flatnonzero(r.link)
-        if longest < 2 or not len(start):
-            continue
-        pair, number, n = np.unique((lang[start] * size + r.ids[start]) * size + r.ids[start + 1], return_inverse=True, return_counts=True)
-        first, kind = pair // size % size, kinds.take(pa.array(pair // size // size))
-        head = pc.binary_join_element_wise(r.names.take(pa.array(first)), r.names.take(pa.array(pair % size)), " ")
-        owner, salt, runs = [np.arange(len(pair))], [np.zeros(len(pair), np.int64)], [_counted(pa.array([""]).take(pa.array(np.zeros(len(pair), int))), n)]
-        tail, its_owner, its_salt = None, owner[0], None
-        for more in range(3, longest + 1):
-            go = start + more - 2 < len(r.link)
-            go[go] = r.link[start[go] + more - 2]
-            start, number = start[go], number[go]
-            if not len(start):
-                break
-            run, number, n = np.unique(number * size + r.ids[start + more - 1], return_inverse=True, return_counts=True)
-            before, last = pa.array(run // size), pa.array(run % size)
-            tail = r.names.take(last) if tail is None else pc.binary_join_element_wise(tail.take(before), r.names.take(last), " ")
-            its_salt = r.salt[run % size] if its_salt is None else its_salt[run // size]
-            its_owner = its_owner[run // size]
-            owner, salt, runs = [*owner, its_owner], [*salt, its_salt], [*runs, _counted(tail, n)]
-        owner, salt, runs = np.concatenate(owner), np.concatenate(salt), pa.concat_arrays(runs)
-        if common:
-            known = np.fromiter((x in common for x in zip(kind.to_pylist(), head.to_pylist(), strict=True)), bool, len(pair))
-            salt *= known[owner]
-        else:
-            salt[:] = 0
-        key = owner * (SALTS + 1) + salt
+        if longest > 1 and len(start):
+            pair, number, n = np.unique((lang[start] * size + r.ids[start]) * size + r.ids[start + 1], return_inverse=True, return_counts=True)
+            first, second, own = pair // size % size, pair % size, pair // size // size
+            run = pc.binary_join_element_wise(r.names.take(pa.array(first)), r.names.take(pa.array(second)), " ")
+            hashed = r.hashed[first] * np.uint64(3) + r.hashed[second]
+            add(own, hashed, run, n)
+            spread = np.fromiter((x in common for x in zip(kinds.take(pa.array(own)).to_pylist(), run.to_pylist(), strict=True)), bool, len(pair)) if common else np.zeros(len(pair), bool)
+            for more in range(3, longest + 1):
+                go = start + more - 2 < len(r.link)
+                go[go] = r.link[start[go] + more - 2]
+                start, number = start[go], number[go]
+                if not len(start):
+                    break
+                code, number, n = np.unique(number * size + r.ids[start + more - 1], return_inverse=True, return_counts=True)
+                before, last = code // size, code % size
+                run = pc.binary_join_element_wise(run.take(pa.array(before)), r.names.take(pa.array(last)), " ")
+                own, hashed, spread = own[before], hashed[before], spread[before]
+                if more == 3:
+                    hashed = np.where(spread, hashed * np.uint64(3) + r.hashed[last], hashed)
+                add(own, hashed, run, n)
+        key = np.concatenate(kind) * buckets + np.concatenate(place).astype(np.int64)
+        text = pa.concat_arrays(lines)
         order = np.argsort(key, kind="stable")
         key = key[order]
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        lines = pa.ListArray.from_arrays(pa.array(np.append(cut, len(key)).astype(np.int32)), runs.take(pa.array(order)))
-        at = pa.array(key[cut] // (SALTS + 1))
-        yield _rows(kind.take(at), head.take(at), key[cut] % (SALTS + 1), pc.binary_join(lines, "\n"))
-
-
-def _rows(lang: pa.Array, head: pa.Array, salt: np.ndarray, runs: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([lang, head, pa.array(salt, pa.int32()), runs], ["lang", "head", "salt", "runs"])
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(cut, len(key)).astype(np.int32)), text.take(pa.array(order))), "\n")
+        yield pa.RecordBatch.from_arrays([kinds.take(pa.array(key[cut] // buckets)), pa.array(key[cut] % buckets, pa.int32()), joined], ["lang", "bucket", "lines"])
+        del r, text, lines, joined, order, key
 
 
 def counts(docs: DataFrame, longest: int = MAX_WORDS, least: int = 1, common: set[tuple[str, str]] = frozenset()) -> DataFrame:
     """(lang, phrase, n) of every phrase of up to `longest` words found `least` times; '' counts all words."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    buckets = DEALT * int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    rows = named.mapInArrow(lambda it: _exploded(it, longest, common), "lang string, head string, salt int, runs string")
-    lines = rows.repartition("lang", "head", "salt").select("lang", "head", "salt", F.explode(F.split("runs", "\n")).alias("line"))
-    n = F.coalesce(F.try_element_at(F.split("line", "\t"), F.lit(2)).cast("long"), F.lit(1).cast("long"))
-    run = F.substring_index("line", "\t", 1)
-    sums = lines.select("lang", "head", "salt", run.alias("run"), n.alias("n")).groupBy("lang", "head", "salt", "run").agg(F.sum("n").alias("n"))
-    return sums.filter(F.col("n") >= least).select("lang", F.expr("if(run = '', head, concat(head, ' ', run))").alias("phrase"), "n")
+    rows = named.mapInArrow(lambda it: _exploded(it, longest, buckets, common), "lang string, bucket int, lines string")
+    lines = rows.repartition("lang", "bucket").select("lang", "bucket", F.explode(F.split("lines", "\n")).alias("line"))
+    runs = lines.select("lang", "bucket", F.substring_index("line", "\t", 1).alias("phrase"), "line")
+    n = F.when(F.octet_length("phrase") == F.octet_length("line"), F.lit(1).cast("long")).otherwise(F.substring_index("line", "\t", -1).cast("long"))
+    return runs.groupBy("lang", "bucket", "phrase").agg(F.sum(n).alias("n")).filter(F.col("n") >= least).drop("bucket")
 
 
 def common_heads(docs: DataFrame) -> set[tuple[str, str]]:
