@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality, op2_langid, op3_mixing, op4_pii, op5_lines, op6_toxicity, op7_secrets, op8_packing, op9_metric_join, op10_minhash, op12_phrases, op13_audit
+from . import op1_quality, op2_langid, op3_mixing, op4_pii, op5_lines, op6_toxicity, op7_secrets, op8_packing, op9_metric_join, op10_minhash, op11_pitman_yor, op12_phrases, op13_audit
 
 QUERIES = {
     "op1_quality_classifier": op1_quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": op8_packing.query,
     "op9_embedding_near_dedup": op9_metric_join.query,
     "op10_minhash_near_dedup": op10_minhash.query,
+    "op11_lm_scoring": op11_pitman_yor.query,
     "op12_phrase_collocations": op12_phrases.query,
     "op13_filter_audit": op13_audit.query,
 }

@@ -46,6 +46,11 @@ def drop(df: DataFrame) -> None:
         _made[:] = [x for x in _made if x[1] != path]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one that no later plan reads."""
+    _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
