@@ -142,7 +142,7 @@ def spans(buf: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[int, int, in
             last[d, kind] = m.end()
             if valid(m):
                 found.setdefault(d, []).append((at, KINDS.index(kind), m.end()))
-        elif kind == "jwt":  # later starts in the same run would fail at the same place
+        elif kind == "jwt" and raw.startswith(b"eyJ", at):  # later starts in the run that failed would fail at the same place
             last[d, kind] = _JWT_RUN.match(raw, at, int(off[d + 1])).end()
     starts, ends = _hex_runs(buf, off)
     for d, s, e in zip((np.searchsorted(off, starts, "right") - 1).tolist(), starts.tolist(), ends.tolist(), strict=True):

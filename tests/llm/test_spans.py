@@ -260,6 +260,23 @@ def test_jwt_starts_inside_runs():
     assert [text[s:e] for s, k, e in found if op7_secrets.KINDS[k] == "jwt"] == [f"{head}.{head}.ab", f"{head}.{head}.c"]
 
 
+def test_jwt_after_keywords_in_other_case():
+    """The prefilter ignores case; a hit in other case skips nothing."""
+    head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    token, rng = f"{head}.{head}.sig", random.Random(6)
+    texts = [f"keyjar_{token}", f"EYJ-{token}", f"eyjeYJEyJ_{token} EYJ {token}"]
+    parts = ["eyj", "EYJ", "eYj", "eyJ", "keyjar", "_", "-", ".", " ", "x", token, f" {token}", head, "eyJ."]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(400)]
+    for text in texts:
+        raw, want, at = text.encode(), [], 0
+        while m := op7_secrets._JWT.search(raw, at):
+            at = m.end()
+            if op7_secrets._json_header(m):
+                want.append(m.span())
+        found = op7_secrets.spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).get(0, [])
+        assert [(s, e) for s, k, e in found if op7_secrets.KINDS[k] == "jwt"] == want, text
+
+
 def test_redaction_keeps_the_rest(awkward):
     out = op7_secrets.redact(awkward)
     assert out.schema == awkward.schema and out.count() == awkward.count()
