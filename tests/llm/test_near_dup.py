@@ -161,3 +161,31 @@ def test_vectors_without_ids(spark):
     df = spark.createDataFrame([(1, x), (2, x), (None, x), (None, None), (3, [0.0, 1.0, 0.0])], "vec_id long, embedding array<double>")
     got = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in op9_metric_join.range_join(df).collect()), key=repr)
     assert got == [(0, 0, None, None), (0, 0, None, None), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def linked(spark, x, cosine=0.95):
+    """Share of all pairs that the search compares; its links must be those of brute force."""
+    from provena.llm import work
+
+    n = len(x)
+    classes = work.save(spark.createDataFrame([(v.tolist(), i, 1) for i, v in enumerate(x)], "vector array<double>, id long, copies long"), "classes")
+    found = op9_metric_join.search(classes, cosine)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for lo in range(0, n, 1000):
+        near = unit[lo : lo + 1000] @ unit.T >= cosine
+        want |= {lo + i: int(k) - 1 for i, k in enumerate(near.sum(1)) if k > 1}
+    got = {r.id: r.n for r in found.filter("id is not null").groupBy("id").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert got == want
+    return found.filter("id is null").agg({"n": "sum"}).first()[0] / n**2
+
+
+@pytest.mark.parametrize(("dimensions", "clusters", "most"), [(4, 0, 0.1), (32, 200, 0.1), (64, 0, 1.0)])
+def test_pivots_leave_few_pairs_where_vectors_have_structure(spark, dimensions, clusters, most):
+    rng = np.random.default_rng(dimensions)
+    x = rng.normal(size=(6000, dimensions))
+    if clusters:
+        x = 0.12 * x / dimensions**0.5 + rng.normal(size=(clusters, dimensions))[rng.integers(0, clusters, 6000)] / dimensions**0.5
+    share = linked(spark, x, 0.999 if dimensions == 4 else 0.95)
+    print(f"{dimensions} dimensions, {clusters} clusters: {share:.3f} of all pairs compared")
+    assert share <= most
