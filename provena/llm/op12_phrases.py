@@ -34,10 +34,10 @@ from .bytes_ import byte_set, column, mix, segment_hashes, slices
 
 #: Longest phrase, smallest count, percent of a phrase's count that a longer one needs to take its place.
 MAX_WORDS, LEAST, ABSORBS, FIRST = 3, 10, 50, 2000
-SLICE = 2 << 20
-#: Buckets for each shuffle partition; the longer runs of pairs with this share of all words of about SAMPLE
-#: texts (no more than 1 / SHARE pairs) are dealt by their third word too.
-DEALT, SHARE, SAMPLE = 4, 0.001, 20_000
+SLICE = 4 << 20
+#: The longer runs of pairs with this share of all words of about SAMPLE texts (no more than 1 / SHARE pairs)
+#: are dealt by their third word too.
+SHARE, SAMPLE = 0.001, 20_000
 BUCKETS = (4096, 64, 1)
 _CUT, _GAP = byte_set(b".,;:!?\n\x0b\x0c\r"), byte_set(b" \t")
 
@@ -56,32 +56,33 @@ class Runs:
         self.doc = np.searchsorted(off, starts, "right") - 1
         cuts = np.cumsum(_CUT[low], dtype=np.int64)
         self.link = (self.doc[1:] == self.doc[:-1]) & (cuts[starts[1:]] == cuts[starts[:-1]])
-        self.ids, self.names = _numbered(low[solid], ends - starts)
-        self.hashed = np.zeros(len(self.names), np.uint64)
-        self.hashed[self.ids] = segment_hashes(low[solid], ends - starts)
+        self.ids, self.names, self.hashed = _numbered(low[solid], (ends - starts).astype(np.int32))
 
 
-def _numbered(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """The number of each of the adjoining words of `data`, and the words by number, in byte order."""
+def _numbered(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The number of each of the adjoining words of `data`, and by number, in byte order, the words and their hashes."""
     if not len(sizes):
-        return np.zeros(0, np.int64), pa.array([], pa.string())
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    _, own, number = np.unique(segment_hashes(data, sizes), return_index=True, return_inverse=True)
-    step = np.arange(len(data)) - np.repeat(at[:-1], sizes)
-    if (sizes != sizes[own][number]).any() or (data != data[np.repeat(at[own][number], sizes) + step]).any():  # words of one hash
-        raw = data.tobytes()
-        words = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        names = sorted(set(words))
-        place = {w: i for i, w in enumerate(names)}
-        return np.array([place[w] for w in words], np.int64), pa.array([w.decode() for w in names], pa.string())
+        return np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0, np.uint64)
+    at = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=at[1:])
+    hashed, own, number = np.unique(segment_hashes(data, sizes), return_index=True, return_inverse=True)
     length = sizes[own]
-    off = np.concatenate([[0], np.cumsum(length)])
+    off = np.zeros(len(own) + 1, np.int64)
+    np.cumsum(length, out=off[1:])
     raw = data[np.repeat(at[own] - off[:-1], length) + np.arange(off[-1])]
-    names = pa.LargeStringArray.from_buffers(len(own), pa.py_buffer(off.astype(np.int64)), pa.py_buffer(raw)).cast(pa.string())
+    place = np.arange(len(data), dtype=np.int32) + np.repeat((off[:-1][number] - at[:-1]).astype(np.int32), sizes)  # each byte's place in `raw`
+    if (sizes != length[number]).any() or (data != raw[place]).any():  # words of one hash
+        whole = data.tobytes()
+        words = [whole[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        names = sorted(set(words))
+        where = {w: i for i, w in enumerate(names)}
+        flat = np.frombuffer(b"".join(names), np.uint8)
+        return np.array([where[w] for w in words], np.int64), pa.array([w.decode() for w in names], pa.string()), segment_hashes(flat, np.array([len(w) for w in names]))
+    names = pa.StringArray.from_buffers(len(own), pa.py_buffer(off.astype(np.int32)), pa.py_buffer(raw))
     order = pc.sort_indices(names).to_numpy()
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return rank[number], names.take(pa.array(order))
+    return rank[number], names.take(pa.array(order)), hashed[order]
 
 
 def _lines(text: pa.Array, n: np.ndarray) -> pa.Array:
@@ -148,13 +149,13 @@ def counts(docs: DataFrame, longest: int = MAX_WORDS, least: int = 1, common: se
     """(lang, phrase, n) of every phrase of up to `longest` words found `least` times; '' counts all words."""
     spark = docs.sparkSession
     ship(spark)
-    buckets = DEALT * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     rows = named.mapInArrow(lambda it: _exploded(it, longest, buckets, common), "lang string, bucket int, lines string")
-    lines = rows.repartition("lang", "bucket").select("lang", "bucket", F.explode(F.split("lines", "\n")).alias("line"))
+    lines = rows.repartitionById(buckets, "bucket").select("lang", "bucket", F.explode(F.split("lines", "\n")).alias("line"))
     runs = lines.select("lang", "bucket", F.substring_index("line", "\t", 1).alias("phrase"), "line")
     n = F.when(F.octet_length("phrase") == F.octet_length("line"), F.lit(1).cast("long")).otherwise(F.substring_index("line", "\t", -1).cast("long"))
-    return runs.groupBy("lang", "bucket", "phrase").agg(F.sum(n).alias("n")).filter(F.col("n") >= least).drop("bucket")
+    return runs.groupBy("bucket", "lang", "phrase").agg(F.sum(n).alias("n")).filter(F.col("n") >= least).drop("bucket")
 
 
 def common_heads(docs: DataFrame) -> set[tuple[str, str]]:

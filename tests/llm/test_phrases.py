@@ -76,7 +76,7 @@ def test_awkward_rows(spark, awkward, nothing):
 def test_colliding_hashes(monkeypatch):
     words = [b"ab", b"c", b"ab", b"cd", b"c", b"b"]
     monkeypatch.setattr(op, "segment_hashes", lambda data, sizes, fold=False: np.zeros(len(sizes), np.uint64))
-    ids, names = op._numbered(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words]))
+    ids, names, _ = op._numbered(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words]))
     assert names.to_pylist() == ["ab", "b", "c", "cd"] and ids.tolist() == [0, 2, 0, 3, 2, 1]
 
 
