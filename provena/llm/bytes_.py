@@ -59,8 +59,8 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple]:
-    """(record batch, bytes, offsets) of at most `most` bytes of text and SLICE_ROWS rows each, or of one
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[tuple]:
+    """(record batch, bytes, offsets) of at most `most` bytes of text and `rows` rows each, or of one
     longer text."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -68,7 +68,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
         buf, off = buffers(batch.column(batch.schema.get_field_index(text)))
         lo, n = 0, batch.num_rows
         while lo < n:
-            hi = max(lo + 1, min(lo + SLICE_ROWS, int(np.searchsorted(off, off[lo] + most, "right")) - 1))
+            hi = max(lo + 1, min(lo + rows, int(np.searchsorted(off, off[lo] + most, "right")) - 1))
             yield batch.slice(lo, hi - lo), buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             lo = hi
     _release()
