@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -11,18 +11,32 @@ from ..streaming import telemetry
 from ._register import query
 
 
+#: Files of a micro-batch. Results do not depend on it, nor on the order of files.
+FILES = 1000
+
+
+def _source(spark: SparkSession, schema, path: str) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(path)
+
+
 @query("stream_tumbling_throughput", "select time_bucket(interval 1 hour, ts) \"start\", event_type, count(*) n, round(sum(value), 4) total from events group by all")
 def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append mode: a window is written once, when the watermark has passed it, and its state is dropped.
-    A marker event far behind the last one closes the windows of a finite input; its own stays open."""
+    """Append mode: a window is written once, when the watermark has passed it, and its state is dropped. Files may
+    come in any order: the watermark stays behind by the time that the whole source spans. When all files are
+    read, a second run of the same query reads one marker from a folder that was empty until then, far enough
+    ahead to close every window of the events; the marker's own stays open."""
     events = table(spark, sf_dir, "events")
-    end = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("ts", "event_type") else F.lit("2999-01-01" if f.name == "ts" else "end").cast(f.dataType).alias(f.name) for f in events.schema))
+    span = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).select((F.unix_seconds(F.col("hi").cast("timestamp")) - F.unix_seconds(F.col("lo").cast("timestamp"))).alias("s"), (F.unix_seconds(F.col("hi").cast("timestamp"))).alias("hi")).first()
+    late = (span.s or 0) + 3600
     path, state, last = shared.folder(spark, "stream"), shared.folder(spark, "stream-state"), shared.folder(spark, "stream-end")
-    end.write.parquet(last)
-    read = lambda p: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1000).parquet(p)
-    out = telemetry.throughput(read(f"{sf_dir}/events.parquet*").unionByName(read(last)))
-    q = out.writeStream.format("parquet").option("path", path).outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
+    empty = spark.createDataFrame([], events.schema)
+    empty.coalesce(1).write.parquet(last)
+    out = telemetry.throughput(_source(spark, events.schema, f"{sf_dir}/events.parquet*").unionByName(_source(spark, events.schema, last)), late=f"{late} seconds")
+    telemetry.run_to_end(out, path, state)
+    at = F.timestamp_seconds(F.lit((span.hi or 0) + 2 * late + 7200))
+    marker = spark.range(1).select(*((F.lit("end") if f.name == "event_type" else at if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema))
+    marker.write.mode("append").parquet(last)
+    telemetry.run_to_end(out, path, state)
     return spark.read.schema(out.schema).parquet(path).selectExpr("cast(start as timestamp_ntz) as start", "event_type", "n", "round(total, 4) as total")
 
 
@@ -35,15 +49,20 @@ select k user_id, round(arg_max(w, i), 8) w, round(arg_max(m, i), 8) m, round(ar
 
 @query("stream_adamw_state", _ADAMW)
 def adamw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Optimizer state by key over a stream of steps; each batch's states are appended, the last one counts."""
-    schema = table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{sf_dir}/events.parquet*")
-    steps = source.selectExpr("user_id", "event_id as step", "value / 100 as g")
+    """Optimizer state by key over a stream of numbered steps, written as files in an order that has nothing to do
+    with the steps'; each batch's states are appended, and the one with most steps counts."""
+    events = table(spark, sf_dir, "events")
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    steps = events.select("user_id", number.alias("step"), (F.col("value") / 100).alias("g"))
+    files = shared.folder(spark, "steps")
+    steps.repartition(4, F.xxhash64("user_id", "step")).write.parquet(files)
     path, state = shared.folder(spark, "adamw"), shared.folder(spark, "adamw-state")
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("append").parquet(path)
 
-    telemetry.adamw_state(steps, "user_id").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(path).groupBy("key").agg(F.max_by(F.struct("w", "m", "v", "n"), "n").alias("s"))
+    with telemetry.rocksdb(spark):
+        out = telemetry.adamw_state(_source(spark, steps.schema, files), "user_id")
+        out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.schema(out.schema).parquet(path).groupBy("key").agg(F.max_by(F.struct("w", "m", "v", "n"), "n").alias("s"))
     return last.select(F.col("key").alias("user_id"), *(F.round(f"s.{c}", 8).alias(c) for c in ("w", "m", "v")), "s.n")

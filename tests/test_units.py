@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from provena.functions import strategies
 from provena.operators import contracts, decision, optimizer, parity, tensors
 from provena.sources import archive, binary, bundle, shared
-from provena.streaming import telemetry
 
 
 def values(df, *cols):
@@ -213,28 +212,6 @@ def test_reshape_and_linear(spark):
     assert {r.r: r.vec for r in tensors.linear_arrow(df, "k", "v", w).collect()} == {i: (x @ w.T)[i].tolist() for i in range(3)}
 
 
-def test_streamed_adamw_equals_the_fold(spark, tmp_path):
-    rng = np.random.default_rng(2)
-    rows = [(k, s, float(rng.normal())) for k in range(3) for s in range(12)]
-    schema = "k long, step long, g double"
-    for part in range(3):
-        spark.createDataFrame([r for r in rows if r[1] // 4 == part], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    (files := sorted((tmp_path / "in").glob("*.parquet"), key=lambda p: p.stat().st_mtime))
-    assert len(files) == 3
-    out: dict = {}
-
-    def keep(batch, _):
-        out.update({r.key: r for r in batch.collect()})
-
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = telemetry.adamw_state(source, "k").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    fold = {r.k: r for r in optimizer.adamw_fold(spark.createDataFrame(rows, schema), "k", ["step"], "g", decay=0.0).collect()}
-    for k in range(3):
-        assert out[k].n == fold[k].steps == 12
-        assert abs(out[k].w - fold[k].w) < 1e-12 and abs(out[k].m - fold[k].m) < 1e-12
-
-
 def test_sharing_plans(spark):
     """Filters and columns reach the scan, and sums are partial before the shuffle."""
     li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").filter("l_quantity > 45").groupBy("l_returnflag").agg(F.sum("l_tax"))
