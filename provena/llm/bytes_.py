@@ -71,10 +71,10 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             hi = max(lo + 1, min(lo + rows, int(np.searchsorted(off, off[lo] + most, "right")) - 1))
             yield batch.slice(lo, hi - lo), buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             lo = hi
-    _release()
+    release()
 
 
-def _release() -> None:
+def release() -> None:
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
         trim(0)

@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from ..session import ship, table
 from . import work
-from .bytes_ import byte_set, column, mix, segment_hashes, slices
+from .bytes_ import byte_set, column, mix, release, segment_hashes, slices
 
 #: Longest phrase, smallest count, percent of a phrase's count that a longer one needs to take its place.
 MAX_WORDS, LEAST, ABSORBS, FIRST = 3, 10, 50, 2000
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: The longer runs of pairs with this share of all words of about SAMPLE texts (no more than 1 / SHARE pairs)
 #: are dealt by their third word too.
 SHARE, SAMPLE = 0.001, 20_000
@@ -142,7 +142,8 @@ def _exploded(batches: Iterator[pa.RecordBatch], longest: int, buckets: int, com
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(cut, len(key)).astype(np.int32)), text.take(pa.array(order))), "\n")
         yield pa.RecordBatch.from_arrays([kinds.take(pa.array(key[cut] // buckets)), pa.array(key[cut] % buckets, pa.int32()), joined], ["lang", "bucket", "lines"])
-        del r, text, lines, joined, order, key
+        del r, kind, place, lines, text, joined, order, key
+        release()
 
 
 def counts(docs: DataFrame, longest: int = MAX_WORDS, least: int = 1, common: set[tuple[str, str]] = frozenset()) -> DataFrame:
