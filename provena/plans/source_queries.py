@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from ..sources import archive, binary, bundle, shared
+from ..sources import archive, binary, bundle, checkpoint, shared
 from ._register import LONG, query
 
 
@@ -58,6 +58,37 @@ def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.read(spark, path).select("path", "length", F.sha2("content", 256).alias("sha"))
 
 
+@query("s03_archive_ranges", "select 'de/' || doc_id || '.txt' path, strlen(text)::bigint length, ceil(greatest(strlen(text), 1) / 1000)::bigint pieces, sum(strlen(text)) over ()::bigint total from documents where lang = 'de' and text is not null and doc_id is not null")
+def archive_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in an archive for each source; those of one language are read again, in pieces of 1,000 bytes and by
+    tasks of 100,000: the condition on the path reaches the reader, which skips the other entries."""
+    path = shared.folder(spark, "texts")
+    docs = table(spark, sf_dir, "documents").filter("text is not null and doc_id is not null")
+    name = F.concat(F.coalesce("lang", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    archive.write(docs.select(F.coalesce("source", F.lit("none")).alias("archive"), name.alias("path"), F.col("text").cast("binary").alias("content")), path)
+    found = archive.chunks(spark, path, 100_000, 1000).filter(F.col("path").startswith("de/"))
+    whole = found.groupBy("path").agg(F.max("length").alias("length"), F.count("*").alias("pieces"), F.sum(F.octet_length("content")).alias("bytes"))
+    total = whole.agg(F.sum("bytes").alias("total"))
+    return whole.join(F.broadcast(total)).select("path", "length", "pieces", "total")  # one row
+
+
+_MEANS = "(select label, i, avg(embedding[i]::double) w from embeddings, range(1, 65) t(i) group by all)"
+
+
+@query("s11_checkpoint_scan", f"select 'model.' || label as name, 'f32' kind, 256::bigint length, 64::bigint numel, round(sum(w::float::double), 4) + 0::double total, 7::bigint step from {_MEANS} group by label")
+def checkpoint_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean vectors as checkpoint files, whose descriptions are read by opcodes and run nothing: one row for each
+    tensor, and the plain values beside."""
+    path = shared.folder(spark, "checkpoints")
+    checkpoint.write(_mean_tensors(spark, sf_dir).withColumn("slot", F.col("slot").cast("string")).repartition(3, "slot"), path, {"step": 7, "done": True, "optimizer": {"lr": 1e-4, "note": None}})
+    t = checkpoint.tensors(spark, path)
+    step = checkpoint.values(spark, path).filter("name = 'step'").agg(F.max(F.col("value").cast("long")).alias("step"))
+    key = F.to_json(F.struct("name", "kind", "length"))
+    back = binary.decode(t.select(key.alias("key"), F.transform("shape", lambda s: s.cast("int")).alias("shape"), "content"), "<f4").select(F.from_json("key", "name string, kind string, length long").alias("k"), "values")
+    rows = back.select("k.*", F.size("values").cast("long").alias("numel"), (F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 4) + 0.0).alias("total"))
+    return rows.join(F.broadcast(step))  # one row
+
+
 def _mean_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .join_queries import class_weights
 

@@ -29,12 +29,14 @@ def manifest(rows: DataFrame, slot: str) -> DataFrame:
     return rows.groupBy(slot).agg(F.count("*").alias("rows"), F.hex(F.bit_xor(F.xxhash64(*rows.columns))).alias("digest")).withColumn("path", F.concat(F.lit("tensors/"), F.replace(F.col(slot).cast("string"), F.lit("."), F.lit("/"))))
 
 
-def write_tensors(tensors: DataFrame, path: str) -> DataFrame:
-    """(slot, shape, content) rows as one archive of tensor files, and then their manifest, which appears
-    whole or not at all and marks the bundle as complete. Returns the manifest."""
+def write_tensors(tensors: DataFrame, path: str, archives: int = 16) -> DataFrame:
+    """(slot, shape, content) rows as archives of tensor files, each of a share of the slots and written by a task of
+    its own, and then their manifest, which appears whole or not at all and marks the bundle as complete. Returns
+    the manifest."""
     spark = tensors.sparkSession
     files = tensors.select("slot", "shape", "content", F.concat(F.lit("tensors/"), F.replace(F.col("slot").cast("string"), F.lit("."), F.lit("/")), F.lit(".f32")).alias("path"))
-    archive.write(files.select(F.lit("bundle").alias("archive"), "path", "content"), f"{path}/files")
+    share = F.concat(F.lit("bundle-"), F.pmod(F.xxhash64(F.col("slot").cast("string")), F.lit(archives)).cast("string"))
+    archive.write(files.select(share.alias("archive"), "path", "content"), f"{path}/files")
     entries = files.select(F.lit(SCHEMA_NAME).alias("schema"), F.col("slot").cast("string").alias("slot"), "path", "shape", F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"))
     shared.write_atomic(entries, f"{path}/manifest")
     return spark.read.schema(entries.schema).parquet(f"{path}/manifest")
