@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import asof
 from ..session import table
 from ..sources import archive, binary, bundle, checkpoint, shared
 from ._register import LONG, query
@@ -179,3 +180,20 @@ def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s30_thermal_sample", "select event_id, case when value > 90 then null else value end thermal from events")
 def thermal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.when(F.col("value") > 90, None).otherwise(F.col("value")).alias("thermal"))
+
+
+@query("s30_thermal_start_end", """with r as (select user_id % 3 device, ts, value from events where event_type = 'view'),
+u as (select event_id, user_id % 3 device, ts started, ts + to_seconds((event_id % 40) * 3600) ended from events where event_type = 'purchase')
+select event_id, device, round(a.value, 6) at_start, round(b.value, 6) at_end, round(b.value - a.value, 6) + 0::double warmed from u asof left join r a on u.device = a.device and u.started >= a.ts asof left join r b on u.device = b.device and u.ended >= b.ts""")
+def thermal_start_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The temperature at the start and at the end of each run: the last reading of its device at or before. Purchases are
+    runs of some hours, views are readings, and three devices share all of them."""
+    e = table(spark, sf_dir, "events").withColumn("device", F.col("user_id") % 3)
+    readings = e.filter("event_type = 'view'").select("device", "ts", "value", "event_id")
+    runs = e.filter("event_type = 'purchase'").select("event_id", "device", F.col("ts").cast("timestamp").alias("started"))
+    ended = F.timestamp_micros(F.unix_micros("started") + (F.col("event_id") % 40) * 3_600_000_000)
+    points = runs.withColumn("ended", ended).select("event_id", "device", F.explode(F.array(F.struct(F.lit("start").alias("which"), F.col("started").alias("at")), F.struct(F.lit("end").alias("which"), F.col("ended").alias("at")))).alias("p")).select("event_id", "device", "p.*")
+    found = asof.asof(points, readings, ["device"], "at", "ts", ["value"], 6 * 3600, "event_id")
+    pick = lambda which: F.max(F.when(F.col("which") == which, F.col("value")))
+    out = found.groupBy("event_id", "device").agg(pick("start").alias("a"), pick("end").alias("b"))
+    return out.select("event_id", "device", F.round("a", 6).alias("at_start"), F.round("b", 6).alias("at_end"), (F.round(F.col("b") - F.col("a"), 6) + 0.0).alias("warmed"))
