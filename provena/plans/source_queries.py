@@ -184,7 +184,7 @@ def thermal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s30_thermal_start_end", """with r as (select user_id % 3 device, ts, value from events where event_type = 'view'),
 u as (select event_id, user_id % 3 device, ts started, ts + to_seconds((event_id % 40) * 3600) ended from events where event_type = 'purchase')
-select event_id, device, round(a.value, 6) at_start, round(b.value, 6) at_end, round(b.value - a.value, 6) + 0::double warmed from u asof left join r a on u.device = a.device and u.started >= a.ts asof left join r b on u.device = b.device and u.ended >= b.ts""")
+select event_id, u.device, round(a.value, 6) at_start, round(b.value, 6) at_end, round(b.value - a.value, 6) + 0::double warmed from u asof left join r a on u.device = a.device and u.started >= a.ts asof left join r b on u.device = b.device and u.ended >= b.ts""")
 def thermal_start_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The temperature at the start and at the end of each run: the last reading of its device at or before. Purchases are
     runs of some hours, views are readings, and three devices share all of them."""
