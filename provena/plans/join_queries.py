@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import sampling
 from ..operators import contracts, tensors
 from ..session import table
 from ._register import LONG, query
@@ -157,3 +158,13 @@ def map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("g05_deduped_draw", "select l_orderkey, list_sort(list_distinct(list(l_suppkey % 7))) draws from lineitem group by l_orderkey")
 def draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.array_distinct(F.collect_list(F.col("l_suppkey") % 7))).alias("draws"))
+
+
+@query("g05_numpy_draw")
+def numpy_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes of each nation's suppliers: draws below the nation's number of suppliers, deduped and sorted, and the
+    suppliers that they hit. (No SQL: tests compare every nation with NumPy.)"""
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("place"))
+    n = table(spark, sf_dir, "nation").join(s.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers")), "n_nationkey")
+    probes = sampling.numpy_probes(n, "n_nationkey", "n_name", "suppliers").select(F.col("key").alias("s_nationkey"), F.explode("probes").alias("probe"))
+    return probes.withColumn("place", F.col("probe") + 1).join(s, ["s_nationkey", "place"]).select("s_nationkey", "probe", "s_suppkey")

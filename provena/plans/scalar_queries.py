@@ -143,6 +143,14 @@ def sampling_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_name", sampling.probe_indices(F.col("n_name"), 16, 384).alias("probes"))
 
 
+@query("x23_numpy_probes")
+def numpy_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen draws for each part's name, equal to those of NumPy's generator; their upper bound is the part's number
+    times its size, so both ways of drawing are used. (No SQL: tests compare every name with NumPy.)"""
+    p = table(spark, sf_dir, "part").withColumn("size", (F.col("p_partkey") + 1) * F.col("p_size") * F.when(F.col("p_partkey") % 2 == 0, F.lit(1 << 33)).otherwise(F.lit(1)))
+    return sampling.numpy_probes(p, "p_partkey", "p_name", "size").withColumnRenamed("key", "p_partkey")
+
+
 @query("x24_byte_equality", "select b.item_id, count(d.doc_id) copies from benchmark b left join documents d on sha256(b.text) = sha256(d.text) group by b.item_id")
 def byte_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", F.sha2("text", 256).alias("sha"))
