@@ -183,6 +183,20 @@ def adamw_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_suppkey", *(F.round(c, 8).alias(c) for c in ("w", "m", "v")), "steps")
 
 
+@query("m15_group_decay_fold", """with recursive s as (select l_suppkey k, case when l_suppkey % 3 = 0 then 0::double when l_suppkey % 3 = 1 then 0.1::double else 0.5::double end d, l_tax g, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_tax) i from lineitem),
+f as (select k, 0::bigint i, 1::double w, 0::double m, 0::double v, 1::double b1, 1::double b2 from (select distinct k from s)
+union all select f.k, s.i, f.w - 1e-3::double * d * f.w - 1e-3::double * ((0.9::double * m + (1 - 0.9::double) * g) / (1 - b1 * 0.9::double)) / (sqrt((0.99::double * v + (1 - 0.99::double) * g * g) / (1 - b2 * 0.99::double)) + 1e-8::double),
+0.9::double * m + (1 - 0.9::double) * g, 0.99::double * v + (1 - 0.99::double) * g * g, b1 * 0.9::double, b2 * 0.99::double from f join s on s.k = f.k and s.i = f.i + 1)
+select k l_suppkey, round(arg_max(w, i), 8) w, max(i) steps from f group by k""")
+def group_decay_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several steps of parameters in three optimizer groups, each with its own decay; longer histories in blocks."""
+    li = table(spark, sf_dir, "lineitem")
+    group = F.col("l_suppkey") % 3
+    decay = F.when(group == 0, 0.0).when(group == 1, 0.1).otherwise(0.5)
+    out = optimizer.adamw_fold(li, "l_suppkey", ["l_orderkey", "l_linenumber"], "l_tax", lr=1e-3, beta2=0.99, decay=decay, whole=500)
+    return out.select("l_suppkey", F.round("w", 8).alias("w"), "steps")
+
+
 @query("m01_parameter_table", f"""select o::bigint slot, count(*) numel, (count(*) * 4)::bigint nbytes, round(sqrt(sum(w * w)), 6) l2, round(max(abs(w)), 6) max_abs, bool_and(isfinite(w)) finite, o % 4 <> 3 trainable,
 case when o % 4 = 3 or o % 2 = 1 then 0::double else 0.1::double end decay from {_W} group by o""")
 def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
