@@ -104,7 +104,9 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], total: str, epochs:
     before = before.selectExpr(*LEVELS, "slot", "part", f"sum(own) over (partition by {levels} order by slot) as reached", f"sum(own) over (partition by {levels} order by slot) - own as base")
     # The cut-off lies in the one slot in which the budget runs out, or all slots are taken.
     edge = before.filter("base <= part").groupBy(*LEVELS).agg(F.max_by(F.struct("slot", "base"), "slot").alias("edge")).selectExpr(*LEVELS, "edge.slot as slot", "edge.base as base")
-    inside = keyed.join(small(edge), [*LEVELS, "slot"]).selectExpr(*LEVELS, "part", "mix_key", f"base + sum(mix_tokens) over (partition by {levels} order by mix_key) as cum")
+    # Rows of one id share a place and are summed first, so a hot id is one row of the window.
+    near = keyed.join(small(edge), [*LEVELS, "slot"]).groupBy(*LEVELS, "mix_key").agg(F.first("part").alias("part"), F.first("base").alias("base"), F.sum("mix_tokens").alias("mix_tokens"))
+    inside = near.selectExpr(*LEVELS, "part", "mix_key", f"base + sum(mix_tokens) over (partition by {levels} order by mix_key) as cum")
     full = edge.selectExpr(*LEVELS, "slot")
     cut = inside.filter("cum <= part").groupBy(*LEVELS).agg(F.max("mix_key").alias("cut"))
     last = full.join(ranges.select(*LEVELS, "width"), list(LEVELS)).join(cut, list(LEVELS), "left").selectExpr(*LEVELS, "coalesce(cut, slot * width - 1) as cut")
