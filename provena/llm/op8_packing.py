@@ -202,11 +202,13 @@ def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     if not histogram:
         return pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     group = max(1, -(-sum(histogram.values()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    # Pieces of a null or repeated id are told apart by what they hold.
+    content = F.crc32("ids") if "ids" in pieces.columns else F.col("ids_crc32") if "ids_crc32" in pieces.columns else F.lit(0).cast("long")
     deal = spark.createDataFrame([(k, -(-n // group)) for k, n in histogram.items()], "length long, pack_parts long")
-    dealt = pieces.join(F.broadcast(deal), "length").withColumn("pack_part", F.pmod(F.xxhash64("doc_id", "start"), "pack_parts")).drop("pack_parts")
+    dealt = pieces.join(F.broadcast(deal), "length").withColumn("pack_part", F.pmod(F.xxhash64("doc_id", "start", content), "pack_parts")).withColumn("pack_content", content).drop("pack_parts")
     base = dealt.groupBy("length", "pack_part").agg(F.count("*").alias("n")).selectExpr("length", "pack_part", "sum(n) over (partition by length order by pack_part) - n as pack_base")
     columns = pieces.columns
-    ranked = dealt.join(base, ["length", "pack_part"]).selectExpr(*(f"`{c}`" for c in columns), "pack_base + row_number() over (partition by length, pack_part order by doc_id, start) - 1 as pack_rank")
+    ranked = dealt.join(base, ["length", "pack_part"]).selectExpr(*(f"`{c}`" for c in columns), "pack_base + row_number() over (partition by length, pack_part order by doc_id, start, pack_content) - 1 as pack_rank")
     held = spark.sparkContext.broadcast(slots(patterns(histogram, size)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return ranked.mapInArrow(lambda it: _placed(it, held), f"{schema}, sequence_id long, offset long")
