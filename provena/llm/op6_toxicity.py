@@ -273,7 +273,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n = F.col("bad") + F.col("good")
     # Likelihood ratio against the share of all documents, held against the number of terms tried.
     surprise = F.col("bad") * F.log(F.col("bad") / (n * p)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - p)))).otherwise(0.0)
-    sure = terms.filter((ratio >= min(RATIO, good / 4)) & (F.col("contexts") >= CONTEXTS) & (F.length("term") >= 3) & (surprise >= np.log(max(terms.count(), 2))))
+    sure = terms.filter((ratio >= RATIO) & (F.col("contexts") >= CONTEXTS) & (F.length("term") >= 3) & (surprise >= np.log(max(terms.count(), 2))))
     stems = sure.filter("term like '%*'").select(F.col("term").alias("stem"))
     own = terms.filter("term not like '%*'")
     forms = own.filter("good = 0").withColumn("stem", F.explode(F.array(*(F.concat(F.substring("term", 1, k), F.lit("*")) for k in STEMS)))).join(F.broadcast(stems), "stem").select("term", "bad")
