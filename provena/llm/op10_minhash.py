@@ -40,7 +40,7 @@ from .bytes_ import Words, column, list_array, mix, slices, windows
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
 #: Bits of a parity bitmap, and most rows on one side of a block of a bucket.
-PARITY, BLOCK = 2048, 1024
+PARITY, MOST_PARITY, BLOCK = 2048, 1 << 18, 1024
 #: Tables up to this many rows are broadcast.
 SMALL = 100_000
 _NONE = np.uint64(2**64 - 1)
@@ -92,6 +92,23 @@ def superminhash(value: np.ndarray, at: np.ndarray, slots: int = SLOTS) -> np.nd
     return out.reshape(n, slots)
 
 
+def parity_bits(count: np.ndarray) -> np.ndarray:
+    """Bits of the parity bitmap of sets of these sizes: a power of two, twice the size or more. Two unrelated sets then
+    differ in far more bits than the bound allows. (Beyond MOST_PARITY the bound weakens and more pairs are verified.)"""
+    wanted = 1 << np.ceil(np.log2(np.maximum(2 * count, 1))).astype(np.int64)
+    return np.clip(wanted, PARITY, MOST_PARITY)
+
+
+def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which rows of one size differ from rows of another; the longer bitmaps are folded, which keeps parities."""
+    words = min(a.shape[1], b.shape[1])
+    a, b = (np.bitwise_xor.reduce(x.reshape(len(x), -1, words), axis=1) for x in (a, b))
+    far = np.zeros((len(a), len(b)), np.int32)
+    for w in range(words):
+        far += np.bitwise_count(a[:, w][:, None] ^ b[None, :, w])
+    return far
+
+
 def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch, buf, off in slices(batches):
         value, at = shingles(buf, off, size)
@@ -108,12 +125,15 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         ends = np.zeros(n + 1, np.int64)
         ends[1:] = np.cumsum(count > 0)
         doc = np.repeat(np.arange(n), count)
-        odd = np.zeros(n * PARITY, np.uint8)
-        np.add.at(odd, doc * PARITY + (value & np.uint64(PARITY - 1)).astype(np.int64), np.uint8(1))
+        bits = parity_bits(count)
+        bits[count == 0] = 0
+        edge = np.concatenate([[0], np.cumsum(bits)])
+        odd = np.zeros(edge[-1], np.uint8)
+        np.add.at(odd, edge[doc] + (value & (bits[doc] - 1).astype(np.uint64)).astype(np.int64), np.uint8(1))
         odd &= 1
-        parity = np.packbits(odd.reshape(n, PARITY), axis=1).view(np.int64)[full]
+        parity = np.packbits(odd).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [column(batch, "doc_id").cast(pa.int64()), column(batch, "text_key"), pa.array(count, pa.int64()), pa.array(pair[0].view(np.int64)), pa.array(pair[1].view(np.int64)), list_array(band.ravel(), ends * BANDS, pa.int64()), list_array(parity.ravel(), ends * (PARITY // 64), pa.int64())],
+            [column(batch, "doc_id").cast(pa.int64()), column(batch, "text_key"), pa.array(count, pa.int64()), pa.array(pair[0].view(np.int64)), pa.array(pair[1].view(np.int64)), list_array(band.ravel(), ends * BANDS, pa.int64()), list_array(parity, edge // 64, pa.int64())],
             ["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands", "parity"],
         )
 
@@ -147,13 +167,18 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iter
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         ids, n, group, side = (t.column(c).to_numpy() for c in ("id", "n", "component", "side"))
-        bits = t.column("parity").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        lists = t.column("parity").combine_chunks()
+        size, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy().view(np.uint64)
+        start = np.cumsum(size) - size
+        bits = {w: (at := np.flatnonzero(size == w), flat[start[at][:, None] + np.arange(w)]) for w in np.unique(size).tolist()}
         left, right = [], []
         for lo in range(0, len(ids), 256):
             x = np.arange(lo, min(lo + 256, len(ids)))
             far = np.zeros((len(x), len(ids)), np.int32)
-            for w in range(bits.shape[1]):
-                far += np.bitwise_count(bits[x, w][:, None] ^ bits[None, :, w])
+            for at, own in bits.values():
+                here = np.flatnonzero((at >= x[0]) & (at <= x[-1]))
+                for at_b, other in bits.values() if len(here) else ():
+                    far[np.ix_(at[here] - lo, at_b)] = differing_bits(own[here], other)
             ok = (group[x][:, None] != group) & ((100 + percent) * far <= (100 - percent) * (n[x][:, None] + n))
             if best:
                 i, j = np.nonzero(ok)

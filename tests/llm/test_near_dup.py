@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from provena.llm import graph, op9_metric_join, op10_minhash
 
@@ -189,3 +190,40 @@ def test_pivots_leave_few_pairs_where_vectors_have_structure(spark, dimensions,
     share = linked(spark, x, 0.999 if dimensions == 4 else 0.95)
     print(f"{dimensions} dimensions, {clusters} clusters: {share:.3f} of all pairs compared")
     assert share <= most
+
+
+def test_parity_bound_holds_and_tells_long_texts_apart():
+    """The bound never exceeds the true difference, between bitmaps of different sizes too, and leaves no pair of
+    unrelated long sets."""
+    rng = np.random.default_rng(3)
+
+    def bitmap(values):
+        bits = int(op10_minhash.parity_bits(np.array([len(values)]))[0])
+        odd = np.zeros(bits, np.uint8)
+        np.add.at(odd, (values & np.uint64(bits - 1)).astype(np.int64), np.uint8(1))
+        return np.packbits(odd & 1).view(np.uint64)[None, :]
+
+    for n, m, shared in ((6000, 6000, 0), (20_000, 19_000, 0), (6000, 7000, 5900), (1000, 1100, 990), (1024, 1025, 1000), (200_000, 200_000, 0)):
+        pool = rng.integers(0, 2**64, n + m - shared, dtype=np.uint64)
+        a, b = pool[:n], pool[n - shared :]
+        far = int(op10_minhash.differing_bits(bitmap(a), bitmap(b))[0, 0])
+        assert far <= n + m - 2 * shared
+        if not shared:
+            assert 180 * far > 20 * (n + m)
+
+
+def test_long_texts_in_one_bucket(spark, monkeypatch):
+    """Unrelated long texts that share a bucket are not sent to verification; near copies still link."""
+    rng = random.Random(11)
+    words_ = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [words_(n) for n in (3000, 3000, 6000, 6000, 9000)]
+    near = [*texts[2][:-10], *words_(10)]
+    rows = make([" ".join(t) for t in [*texts, near, texts[0]]])
+
+    d = spark.createDataFrame(rows, SCHEMA)
+    signed = op10_minhash.signatures(d, 5).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "parity")
+    block = signed.select(F.lit(1).cast("long").alias("bucket"), F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "n", F.col("id").alias("component"), F.lit(0).alias("side"), "parity")
+    pairs = block.coalesce(1).mapInArrow(lambda it: op10_minhash._across(it, 80, False), "a long, b long").collect()
+    assert {tuple(p) for p in pairs} == {(2, 5), (0, 6)}
+    got = {r.doc_id: r.component_id for r in op10_minhash.near_duplicates(d).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 2, 6: 0}
