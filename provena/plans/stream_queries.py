@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
 from ..sources import shared
-from ..streaming import telemetry
+from ..streaming import callbacks, telemetry
 from ._register import query
 
 
@@ -66,3 +68,25 @@ def adamw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     last = spark.read.schema(out.schema).parquet(path).groupBy("key").agg(F.max_by(F.struct("w", "m", "v", "n"), "n").alias("s"))
     return last.select(F.col("key").alias("user_id"), *(F.round(f"s.{c}", 8).alias(c) for c in ("w", "m", "v")), "s.n")
+
+
+@query("u02_a12_operator_callbacks", """with p as (select user_id, event_type from events where event_type in ('purchase', 'click')), d as (select distinct user_id, event_type from p)
+select 'source 0' operator, count(*) "rows" from events union all select 'filter', count(*) from p union all select 'project', count(*) from p union all select 'state 0', count(*) from d
+union all select 'phases with a time', 1 union all select 'states with a time', 1""")
+def operator_callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows before and after each operator of a stream over the events (scan, filter, projection, distinct pairs as state),
+    as its listener got them, summed over batches; of a state what it holds in the end. Times are telemetry:
+    that every batch has them is all that is compared."""
+    events = table(spark, sf_dir, "events")
+    path, state, name = shared.folder(spark, "pairs"), shared.folder(spark, "pairs-state"), f"callbacks-{uuid.uuid4().hex}"
+    kept = callbacks.after(_source(spark, events.schema, f"{sf_dir}/events.parquet*").filter(F.col("event_type").isin("purchase", "click")), "filter")
+    pairs = callbacks.after(kept.select("user_id", "event_type"), "project").dropDuplicates()
+    with callbacks.listening(spark, name) as readings:
+        pairs.writeStream.queryName(name).format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    rows = readings.table(spark)
+    flow = rows.filter("phase = 'operator'").groupBy("operator").agg(F.sum("rows").alias("rows"))
+    held = rows.filter("phase = 'state'").groupBy("operator").agg(F.max_by("rows", "batch").alias("rows"))
+    per_batch = rows.groupBy("batch").agg(F.bool_or((F.col("operator") == "triggerExecution") & (F.col("ms") >= 0)).alias("timed"), F.bool_or((F.col("phase") == "state") & (F.col("ms") >= 0)).alias("held"))
+    both = per_batch.agg(F.min(F.col("timed").cast("long")).alias("timed"), F.min(F.col("held").cast("long")).alias("held"))
+    times = both.select(F.explode(F.array(F.struct(F.lit("phases with a time").alias("operator"), F.col("timed").alias("rows")), F.struct(F.lit("states with a time").alias("operator"), F.col("held").alias("rows")))).alias("x")).select("x.*")
+    return flow.unionByName(held).unionByName(times)

@@ -36,7 +36,7 @@ def scattered(spark, tmp_path):
 
 
 @pytest.mark.parametrize("by_time", [False, True])
-@pytest.mark.parametrize("name", ["stream_tumbling_throughput", "stream_adamw_state"])
+@pytest.mark.parametrize("name", ["stream_tumbling_throughput", "stream_adamw_state", "u02_a12_operator_callbacks"])
 def test_any_order_of_files(spark, scattered, monkeypatch, name, by_time):
     monkeypatch.setattr(stream_queries, "FILES", 1)
     folder = scattered(by_time)
