@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import contracts, optimizer, tensors
+from ..operators import contracts, optimizer, running, tensors
 from ..session import table
 from ._register import LONG, query
 
@@ -17,8 +17,7 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a02_array_product", "select l_orderkey, product(l_linenumber)::bigint numel from lineitem group by l_orderkey")
 def product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("shape"))
-    return shape.select("l_orderkey", contracts.tensor_size(F.col("shape"), 1).alias("numel"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.product("l_linenumber").cast("long").alias("numel"))
 
 
 @query("a03_max_abs_error", f"select r, round(max(abs(round(x, 2) - x)), 6) max_abs from {LONG} group by r")
@@ -128,8 +127,9 @@ def next_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w05_causal_frame", "select event_id, round(sum(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), 6) running from events")
 def causal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.sum("value").over(w), 6).alias("running"))
+    """Days are blocks, so a hot user's history is a window for each day and an offset for each day before."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    return running.running_sum(e, "user_id", ["ts", "event_id"], "value", F.to_date("ts")).select("event_id", F.round("running", 6).alias("running"))
 
 
 @query("w06_packed_windows", "select event_id // 256 window_id, count(*) tokens, min(user_id) lo, max(user_id) hi from events group by all having count(*) = 256")
@@ -172,7 +172,8 @@ def sorted_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "user_id")))
 
 
-@query("o06_unconsumed_message", "select p_brand, 'unconsumed: ' || string_agg(p_name, ', ' order by p_name) message from part where p_size > 40 group by p_brand")
+@query("o06_unconsumed_message", "select p_brand, p_partkey // 1000 chunk, 'unconsumed: ' || string_agg(p_name, ', ' order by p_name) message from part where p_size > 40 group by all")
 def message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "part").filter("p_size > 40").groupBy("p_brand")
+    """A message holds the names of a thousand keys at most; a brand with more has several, numbered by their keys."""
+    g = table(spark, sf_dir, "part").filter("p_size > 40").groupBy("p_brand", F.floor(F.col("p_partkey") / 1000).cast("long").alias("chunk"))
     return g.agg(F.concat(F.lit("unconsumed: "), F.array_join(F.sort_array(F.collect_list("p_name")), ", ")).alias("message"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,12 +58,14 @@ def below_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", contracts.below_root(F.regexp_replace("url", "^https?://", "")).alias("inside"))
 
 
-@query("s29_availability", "select unnest(['arrow', 'broken', 'builtin']) candidate, unnest([true, false, true]) available")
+@query("s29_availability", "select c candidate, c <> 'broken' available, case when c <> 'broken' then (select count(*) from documents) else 0 end \"rows\", case when c <> 'broken' then (select count(text) from documents) else 0 end digests from (values ('arrow'), ('broken'), ('builtin')) t(c)")
 def availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which strategies of an operator can run on this session: each is planned, and one that cannot be
-    is no error but unavailable."""
+    """Which strategies of an operator can run on this session: each runs over the documents and tells what came back;
+    one that cannot be planned is no error but unavailable."""
     tried = strategies.run_all("digest", table(spark, sf_dir, "documents"))
-    return spark.createDataFrame([(k, error is None) for k, (_, error) in tried.items()], "candidate string, available boolean")
+    parts = [df.agg(F.count("*").alias("rows"), F.count("sha").alias("digests")).select(F.lit(k).alias("candidate"), F.lit(True).alias("available"), "rows", "digests") for k, (df, error) in tried.items() if error is None]
+    none = [(k, False, 0, 0) for k, (_, error) in tried.items() if error is not None]
+    return contracts.union(*parts, spark.createDataFrame(none, "candidate string, available boolean, rows long, digests long"))
 
 
 @query("o08_json_key_order", "select n_nationkey, '{\"status\":\"ok\",\"name\":\"' || n_name || '\",\"area\":' || n_regionkey || ',\"key\":' || n_nationkey || '}' report from nation")
@@ -161,6 +164,40 @@ def sustained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed.join(back.groupBy("candidate").agg(F.count("*").alias("persisted"), F.bit_xor("doc_id").alias("digest")), "candidate")
 
 
+@query("m21_sustained_updates", """with v as (select vec_id, unnest(range(64)) i, unnest(embedding)::double w from embeddings), g as (select v.vec_id, v.i, v.w, u.w g from v join v u on u.vec_id = v.vec_id and u.i = 63 - v.i),
+k as (select 1 - 1e-3::double * 0.1::double k) select vec_id, 20::bigint updates, true timed, true same, round(sum(w * k ** 20 - 1e-3::double * g / (abs(g) + 1e-8::double) * (1 - k ** 20) / (1 - k)), 6) + 0::double total from g cross join k group by vec_id""")
+def sustained_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty timed updates after an untimed one: the parameters are the embeddings, their gradients the same values
+    in reverse, as in one window again and again. Each update reads the state that the one before wrote; the last
+    state is read again and compared with the updates computed in one go."""
+    start = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("w"))
+    start = start.select("vec_id", "w", F.reverse("w").alias("g"), F.transform("w", lambda x: F.lit(0.0)).alias("m"), F.transform("w", lambda x: F.lit(0.0)).alias("v"))
+
+    def update(s: DataFrame, n: int) -> DataFrame:
+        b1, b2, lr, decay, eps = optimizer.BETA1, optimizer.BETA2, 1e-3, optimizer.DECAY, optimizer.EPS
+        m = F.zip_with("m", "g", lambda a, g: a * b1 + g * (1 - b1))
+        v = F.zip_with("v", "g", lambda a, g: a * b2 + g * g * (1 - b2))
+        step = F.zip_with("m", "v", lambda a, b: a / (1 - b1**n) / (F.sqrt(b / (1 - b2**n)) + eps))
+        return s.withColumns({"m": m, "v": v}).withColumn("w", F.zip_with("w", step, lambda w, d: w - w * (lr * decay) - d * lr))
+
+    update(start, 1).write.format("noop").mode("overwrite").save()  # the untimed one
+    state, seconds = start, []
+    for n in range(1, 21):
+        path = shared.folder(spark, f"update-{n}")
+        began = time.perf_counter()
+        update(state, n).write.parquet(path)
+        seconds.append(time.perf_counter() - began)
+        state = spark.read.schema(start.schema).parquet(path)
+    # The gradient does not change, so corrected moments are its own: twenty updates are one affine map of w.
+    keep = 1 - 1e-3 * optimizer.DECAY
+    whole = start.withColumn("again", F.zip_with("w", "g", lambda w, g: w * keep**20 - g / (F.abs(g) + optimizer.EPS) * (1e-3 * (1 - keep**20) / (1 - keep))))
+    timed = all(s > 0 for s in seconds)
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    both = state.select("vec_id", "w").join(whole.select("vec_id", "again"), "vec_id")
+    same = ~F.exists(F.zip_with("w", "again", lambda a, b: F.abs(a - b) > 1e-9), lambda x: x)
+    return both.select("vec_id", F.lit(len(seconds)).cast("long").alias("updates"), F.lit(timed).alias("timed"), same.alias("same"), (F.round(add("w"), 6) + 0.0).alias("total"))
+
+
 @query("u02_observed_metrics", "select count(*) n, max(user_id) hi from events")
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters that ride along with another job instead of a pass of their own."""

@@ -130,10 +130,10 @@ def broadcast_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(mean, "l_returnflag").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") - F.col("m"), 4).alias("centred"))
 
 
-@query("x21_constant_tables", "select p, i, round(cos(p * pow(10000::double, -2.0::double * i / 64)), 9) c, round(sin(p * pow(10000::double, -2.0::double * i / 64)), 9) s from (select unnest(range(256)) p), range(32) t(i)")
+@query("x21_constant_tables", "select p, i, round(cos(p * pow(10000::double, -2.0::double * i / 64)), 9) c, round(sin(p * pow(10000::double, -2.0::double * i / 64)), 9) s from (select vec_id p from embeddings), range(32) t(i)")
 def constants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rotation tables for 256 positions and 32 frequencies."""
-    t = spark.range(256).select(F.col("id").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))).alias("i"))
+    """Rotation tables of 32 frequencies for every position of the embeddings."""
+    t = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))).alias("i"))
     angle = F.col("p").cast("double") * F.pow(F.lit(10000.0), -2.0 * F.col("i") / 64)
     return t.select("p", "i", F.round(F.cos(angle), 9).alias("c"), F.round(F.sin(angle), 9).alias("s"))
 
