@@ -220,6 +220,13 @@ def _blocks(member: DataFrame, group: DataFrame, bits: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id, kept, first, text_key. `first`
     marks the document that stands for its group (it differs from `kept` only for ids of several texts)."""
+    point = work.mark()
+    found = work.save(_near_duplicates(docs, size, percent), "near-duplicates")
+    work.drop_since(point, found)
+    return found
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     signed = work.save(signatures(docs, size), "signatures")
     again = work.save(signed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).filter("lo <> hi").select("doc_id"), "repeated-ids")
     if again.isEmpty():

@@ -8,7 +8,7 @@ Trees are perfect and flattened into arrays, so scoring a batch is `depth` numpy
 Defined results: null and empty texts have zero statistics and are scored like any text; null labels are
 not learned from; an id labelled twice has its higher label, an id of several texts stands for its least
 statistics; without both labels the score is their
-share (0.5 without any); repeated rows score alike; an empty table gives no rows; extra columns are ignored.
+share (0.5 without any); texts of any length are read whole; repeated rows score alike; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ set can beat all languages together, most documents are settled by one compariso
 Learned from a bounded sample for each language (`SAMPLE` documents on average, by a hash of the id),
 from text and language of documents whose crc32(doc_id) mod 5 is not 0. Defined results: null text and
 text without letters are `und` with score 0; without any training language all texts are `und`; null
-languages are not learned from; repeated rows are predicted alike; an empty table gives no rows; extra
+languages are not learned from; texts of any length are read whole; repeated rows are predicted alike; an empty table gives no rows; extra
 columns are ignored.
 """
 

@@ -14,7 +14,7 @@ the probability.
 Learned from a bounded sample of labelled documents (`SAMPLE`, by a hash of the id); everything else
 covers every whole text. Defined results: null and empty texts score as texts without hits; null labels
 are not learned from; an id or a text labelled twice counts as toxic if any label is, and an id of several
-texts stands for the least of them; repeated rows are scored alike; an empty table gives no rows; extra columns are ignored by `score` and kept by `screen`.
+texts stands for the least of them; texts of any length are read whole, one at a time; repeated rows are scored alike; an empty table gives no rows; extra columns are ignored by `score` and kept by `screen`.
 """
 
 from __future__ import annotations

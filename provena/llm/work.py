@@ -46,6 +46,20 @@ def drop(df: DataFrame) -> None:
         _made[:] = [x for x in _made if x[1] != path]
 
 
+def mark() -> int:
+    """A point in time for `drop_since`."""
+    return len(_made)
+
+
+def drop_since(point: int, *keep: DataFrame) -> None:
+    """Delete the work tables made since a mark, but for those kept: what a step needed for itself."""
+    kept = {getattr(x, "_provena_path", None) for x in keep}
+    gone = [x for x in _made[point:] if x[1] not in kept]
+    for spark, path in gone:
+        _delete(spark, path)
+    _made[:] = [x for x in _made if x not in gone]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder below the shared one that no later plan reads."""
     _delete(spark, path)
