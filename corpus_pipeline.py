@@ -17,7 +17,8 @@ EPOCHS, SEED = 2, 11
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents go."""
+    """Toxic documents go; null and empty texts stay, as they score low. Columns are kept, whatever their names; an
+    empty table, or labels that tell nothing, give the same rows back."""
     model = op6_toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return op6_toxicity.screen(docs, model)
 
@@ -37,17 +38,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are replaced by a mark."""
+    """Every row stays; its secrets are replaced by a mark and n_chars follows. A null text stays null with a null
+    n_chars, an empty one empty; other columns are kept, whatever their names; an empty table gives none."""
     return op7_secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; a document comes once for each epoch that takes it."""
+    """Sources at their target weights; a document comes once for each epoch that takes it. Null languages and sources
+    are branches of their own; null and empty texts have no tokens and come with their leaf; rows of one id stand or
+    fall together; columns are kept, whatever their names; an empty table gives none."""
     return op3_mixing.mix(docs, op3_mixing.WEIGHTS, TOTAL, EPOCHS, SEED).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, with their ids and their places in sequences."""
+    """Pieces of documents, with their ids and their places in sequences. Null and empty texts are the end id alone;
+    repeated rows and null ids are packed like others; extra columns are left out; an empty table gives none."""
     return op8_packing.pack(docs)
 
 
@@ -60,5 +65,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        point, before = work.mark(), docs
         docs = work.save(stage(spark, docs, sf_dir), f"stage-{name}")
+        work.drop_since(point, docs)  # what the stage needed for itself
+        work.drop(before)
     return docs
