@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import tape, tiles
+from ..operators import tape, tiles, training
 from ..session import table
 from ._register import LONG, query
 from .join_queries import _W
@@ -84,3 +84,34 @@ def matmul_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tiles.from_rows(rows.join(names, "o"), "n", "w", 8, 16)
     y = tiles.to_long(tiles.product_nt(tiles.from_rows(e, "vec_id", "embedding", 128, 16), w), 128, 8)
     return y.join(names, F.col("c") == F.col("n")).select("r", F.col("o").alias("c"), F.round("x", 6).alias("x"))
+
+
+_LR, _B1, _B2 = "1e-2::double", "0.9::double", "0.95::double"
+
+
+def _step(n: int) -> str:
+    """State w{n}, m{n}, v{n} after step n of the head, from that before."""
+    return f"""l{n} as (select r, o, sum(x * w) x from {LONG} t join w{n - 1} using (c) group by r, o), p{n} as (select r, o, exp(x - m) / sum(exp(x - m)) over (partition by r) p from (select *, max(x) over (partition by r) m from l{n})),
+g{n} as (select o, c, sum((p - case when o = label then 1 else 0 end) * t.x) / (select count(*) from embeddings) g from p{n} join embeddings on vec_id = p{n}.r join {LONG} t on t.r = p{n}.r group by o, c),
+k{n} as (select least(1::double, 0.05::double / (sqrt(sum(g * g)) + 1e-6::double)) k from g{n}),
+s{n} as (select o, c, w, {_B1} * m + (1 - {_B1}) * g * k m, {_B2} * v + (1 - {_B2}) * g * k * g * k v from w{n - 1} join g{n} using (o, c) cross join k{n}),
+w{n} as (select o, c, w - {_LR} * 0.1::double * w - {_LR} * (m / (1 - pow({_B1}, {n}))) / (sqrt(v / (1 - pow({_B2}, {n}))) + 1e-8::double) w, m, v from s{n})"""
+
+
+@query("m10_m15_head_training", f"with w0 as (select o, c, {_MAT.format(k=7)} w, 0::double m, 0::double v from range({CLASSES}) a(o), range(64) b(c)), {', '.join(_step(n) for n in (1, 2, 3))} select o, c, round(w, 8) + 0::double w, round(m, 8) + 0::double m, round(1000 * v, 8) + 0::double v from w3")
+def head_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three steps of a linear head on the tape, clipped by the gradient's norm, with decay; its values and moments are
+    tiles from step to step."""
+    e = table(spark, sf_dir, "embeddings")
+    n = e.count()
+    x = tiles.from_rows(e, "vec_id", "embedding", 128, 64)
+    target = tiles.from_rows(e.select("vec_id", F.array("label").alias("label")), "vec_id", "label", 128, 1)
+
+    def loss(t: tape.Tape, p: dict) -> tape.Tensor:
+        return t.cross_entropy(t.product(t.leaf(x), p["head"]), target, n, 64)
+
+    start = {"head": tiles.from_rule(e, CLASSES, WIDTH, 64, 64, _rule(7))}
+    states, _ = training.train(spark, start, loss, 3, 128, WIDTH, lr=1e-2, decay=0.1, most=0.05)
+    rows = tiles.to_long(states["head"], 64, 3 * WIDTH).withColumn("part", F.floor(F.col("c") / WIDTH))
+    pick = lambda k, f=1: F.round(F.max(F.when(F.col("part") == k, F.col("x"))) * f, 8) + 0.0
+    return rows.groupBy(F.col("r").alias("o"), (F.col("c") % WIDTH).alias("at")).agg(pick(0).alias("w"), pick(1).alias("m"), pick(2, 1000).alias("v")).withColumnRenamed("at", "c")

@@ -117,6 +117,56 @@ def test_gradients_by_central_differences(spark):
             assert abs((up - down) / (2 * e) - g[at]) < 1e-7, (name, at)
 
 
+def test_training_lowers_the_loss_as_plain_steps_do(spark):
+    """Two layers, decay by parameter, against numpy with its own gradients."""
+    from provena.operators import training
+
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(HIDDEN, WIDTH)) * 0.5, rng.normal(size=(CLASSES, HIDDEN)) * 0.5
+    x, target = rng.normal(size=(14, WIDTH)), rng.integers(0, CLASSES, 14)
+    decay = {"a": 0.0, "b": 0.2}
+
+    def loss(t, p):
+        tx = t.leaf(tiles.from_rows(rows(spark, x), "k", "v", WINDOW, HEAD))
+        ty = t.leaf(tiles.from_rows(rows(spark, target[:, None].astype(float)), "k", "v", WINDOW, 1)).tiles
+        h = t.product(tx, p["a"])
+        return t.cross_entropy(t.product(t.swiglu(h, h), p["b"]), ty, len(x), HEAD)  # one tensor on both sides of a product
+
+    start = {k: tiles.from_rows(rows(spark, v), "k", "v", HEAD, HEAD) for k, v in (("a", a), ("b", b))}
+    states, seen = training.train(spark, start, loss, 2, WINDOW, HEAD, lr=0.05, decay=decay, most=0.5)
+
+    w = {"a": a.copy(), "b": b.copy()}
+    m = {k: np.zeros_like(v) for k, v in w.items()}
+    v = {k: np.zeros_like(x_) for k, x_ in w.items()}
+
+    def forward(w):
+        h = x @ w["a"].T
+        z = (h * h / (1 + np.exp(-h))) @ w["b"].T
+        top = z.max(1, keepdims=True)
+        return (np.log(np.exp(z - top).sum(1)) + top[:, 0] - z[np.arange(len(z)), target]).mean()
+
+    for n in (1, 2):
+        assert abs(seen[n - 1][0] - forward(w)) < 1e-9
+        g = {}
+        for k in w:
+            g[k] = np.zeros_like(w[k])
+            for at in np.ndindex(w[k].shape):
+                was = w[k][at]
+                w[k][at] = was + 1e-5
+                up = forward(w)
+                w[k][at] = was - 1e-5
+                g[k][at], w[k][at] = (up - forward(w)) / 2e-5, was
+        norm = sum((d * d).sum() for d in g.values()) ** 0.5
+        assert abs(norm - seen[n - 1][1]) < 1e-6
+        for k in w:
+            d = g[k] * min(1, 0.5 / (norm + 1e-6))
+            m[k], v[k] = 0.9 * m[k] + 0.1 * d, 0.95 * v[k] + 0.05 * d * d
+            w[k] = w[k] - 0.05 * decay[k] * w[k] - 0.05 * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.95**n)) + 1e-8)
+    assert seen[1][0] < seen[0][0]
+    for k in w:
+        assert np.allclose(back(training.values(states[k]), w[k].shape, HEAD, HEAD), w[k], atol=1e-4)
+
+
 def test_states_merge_in_any_order():
     rng = np.random.default_rng(1)
     x = rng.normal(scale=300, size=(3, 40))
