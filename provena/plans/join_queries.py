@@ -58,6 +58,8 @@ def gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.join(emb, "token").select("event_id", "token", F.round("x", 6).alias("first_value"))
 
 
+#: Values of a weight that may be broadcast.
+HELD_WEIGHTS = 1 << 20
 _W = f"(select label o, c, avg(x) w from {LONG} join embeddings on vec_id = r group by all)"
 
 
@@ -81,10 +83,14 @@ def matmul(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m03_linear_arrow", f"select r, w.o::bigint c, round(sum(x * w), 6) x from {LONG} v join {_W} w using (c) group by r, w.o")
 def linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same product by numpy blocks with the weight broadcast (one row for each label)."""
+    """The same product by numpy blocks with the weight broadcast (one row for each label), as long as it has no more
+    than `HELD_WEIGHTS` values; beyond, by a join."""
     import numpy as np
 
-    rows = class_weights(spark, sf_dir).orderBy("o", "c").collect()  # labels by width
+    weights = class_weights(spark, sf_dir)
+    if weights.count() > HELD_WEIGHTS:
+        return matmul(spark, sf_dir)
+    rows = weights.orderBy("o", "c").collect()  # labels by width
     names = sorted({r["o"] for r in rows})
     weight = np.array([r["w"] for r in rows]).reshape(len(names), -1)
     out = tensors.linear_arrow(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", weight)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import contracts, optimizer, parity, tensors
 from ..session import table
 from ._register import LONG, query
-from .join_queries import _W, logits
+from .join_queries import _W, HELD_WEIGHTS, logits
 
 #: Rows of a context window; attention looks only inside its window.
 CONTEXT = 32
@@ -232,7 +232,10 @@ def parity_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .join_queries import class_weights
 
     e = table(spark, sf_dir, "embeddings")
-    rows = class_weights(spark, sf_dir).orderBy("o", "c").collect()  # labels by width
+    weights = class_weights(spark, sf_dir)
+    if weights.count() > HELD_WEIGHTS:
+        raise ValueError("the candidates of this query hold the weights in memory, and there are too many")
+    rows = weights.orderBy("o", "c").collect()  # labels by width
     names = sorted({r["o"] for r in rows})
     weight = np.array([r["w"] for r in rows]).reshape(len(names), -1)
     label = F.element_at(F.array(*(F.lit(n).cast("long") for n in names)), F.col("pos") + 1)
