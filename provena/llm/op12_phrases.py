@@ -34,10 +34,10 @@ from .bytes_ import byte_set, column, mix, release, segment_hashes, slices
 
 #: Longest phrase, smallest count, percent of a phrase's count that a longer one needs to take its place.
 MAX_WORDS, LEAST, ABSORBS, FIRST = 3, 10, 50, 2000
-SLICE = 3 << 20
+SLICE = 2 << 20
 #: The longer runs of pairs with this share of all words of about SAMPLE texts (no more than 1 / SHARE pairs)
 #: are dealt by their third word too.
-SHARE, SAMPLE = 0.001, 20_000
+SHARE, SAMPLE = 0.001, 4_000
 BUCKETS = (4096, 64, 1)
 _CUT, _GAP = byte_set(b".,;:!?\n\x0b\x0c\r"), byte_set(b" \t")
 
