@@ -11,7 +11,7 @@ SYMBOLS = byte_set(b"#*$%&|<>")
 
 class Lines:
     """`\\n`-split lines that hold a word: `doc`, `raw` (hash of the exact line), `norm` (hash of its
-    case-folded words, so white space does not count) and `words`."""
+    case-folded words, so white space does not count), `words`, and `starts`, their first bytes."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, words: Words, folded: np.ndarray):
         solid = buf != 10
@@ -27,7 +27,7 @@ class Lines:
         line = np.searchsorted(starts, words.starts, "right") - 1
         own, first, count = np.unique(line, return_index=True, return_counts=True)
         self.doc = np.searchsorted(off, starts[own], "right") - 1
-        self.raw, self.words = raw[own], count
+        self.raw, self.words, self.starts = raw[own], count, starts[own]
         place = np.arange(len(line)) - np.repeat(first, count)
         value = mix(folded + (place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.norm = mix(np.add.reduceat(value, first) + count.astype(np.uint64)) if len(own) else np.zeros(0, np.uint64)

@@ -108,21 +108,24 @@ def judge(docs: DataFrame, host: str = "source", count_copies: bool = False) ->
 
 def _stripped(batches: Iterator[pa.RecordBatch], names: list[str], at: int) -> Iterator[pa.RecordBatch]:
     """Rows are the columns `names` in their order, then the lines to remove; `at` is the text's place."""
-    for batch in batches:
-        texts = batch.column(at).to_pylist()
-        for i, gone in enumerate(batch.column(len(names)).to_pylist()):
-            if gone and texts[i]:
-                keep = []
-                for line in texts[i].split("\n"):
-                    raw = np.frombuffer(line.encode(), np.uint8)
-                    ends = np.array([0, len(raw)])
-                    words = Words(raw, ends)
-                    found = Lines(raw, ends, words, words.hashes(fold=True)).norm.view(np.int64)
-                    if not len(found) or int(found[0]) not in gone:
-                        keep.append(line)
-                texts[i] = "\n".join(keep)
-        own = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))]
-        yield pa.RecordBatch.from_arrays(own, names)
+    for batch, buf, off in slices(batches, text=f"c{at}"):
+        gone = batch.column(len(names))
+        changed = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
+        text = batch.column(at)
+        if len(changed):
+            words = Words(buf, off)
+            lines = Lines(buf, off, words, words.hashes(fold=True))
+            norm, first = lines.norm.view(np.int64), np.searchsorted(lines.doc, np.arange(batch.num_rows + 1))
+            texts = text.to_pylist()
+            for i in changed.tolist():
+                own = slice(first[i], first[i + 1])
+                out = lines.starts[own][np.isin(norm[own], gone[i].values.to_numpy())]
+                breaks = off[i] + np.flatnonzero(buf[off[i] : off[i + 1]] == 10)
+                starts, ends = np.append(off[i], breaks + 1), np.append(breaks, off[i + 1])
+                keep = ~np.isin(starts, out)
+                texts[i] = b"\n".join(buf[a:b].tobytes() for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)).decode()
+            text = pa.array(texts, text.type)
+        yield pa.RecordBatch.from_arrays([text if i == at else batch.column(i) for i in range(len(names))], names)
 
 
 def strip(docs: DataFrame, host: str = "source") -> DataFrame:
