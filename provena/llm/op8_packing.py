@@ -193,6 +193,15 @@ def _placed(batches: Iterator[pa.RecordBatch], table_, key_shift: int = 44) -> I
         yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in names), pa.array(s[:, 2] + own // s[:, 3]), pa.array(s[:, 4] + own % s[:, 3] * length)], [*names, "sequence_id", "offset"])
 
 
+def _dealt(pieces: DataFrame, histogram: dict[int, int], group: int) -> DataFrame:
+    """Pieces with `pack_part`, so that a length's pieces come in groups of about `group`, and `pack_content`: pieces of
+    a null or repeated id are told apart by what they hold."""
+    content = F.crc32("ids") if "ids" in pieces.columns else F.col("ids_crc32") if "ids_crc32" in pieces.columns else F.lit(0).cast("long")
+    deal = pieces.sparkSession.createDataFrame([(k, -(-n // group)) for k, n in histogram.items()], "length long, pack_parts long")
+    dealt = pieces.join(F.broadcast(deal), "length").withColumn("pack_part", F.pmod(F.xxhash64("doc_id", "start", content), "pack_parts"))
+    return dealt.withColumn("pack_content", content).drop("pack_parts")
+
+
 def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset to pieces (any columns beside doc_id, start and length stay)."""
     spark = pieces.sparkSession
@@ -202,10 +211,7 @@ def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     if not histogram:
         return pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     group = max(1, -(-sum(histogram.values()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    # Pieces of a null or repeated id are told apart by what they hold.
-    content = F.crc32("ids") if "ids" in pieces.columns else F.col("ids_crc32") if "ids_crc32" in pieces.columns else F.lit(0).cast("long")
-    deal = spark.createDataFrame([(k, -(-n // group)) for k, n in histogram.items()], "length long, pack_parts long")
-    dealt = pieces.join(F.broadcast(deal), "length").withColumn("pack_part", F.pmod(F.xxhash64("doc_id", "start", content), "pack_parts")).withColumn("pack_content", content).drop("pack_parts")
+    dealt = _dealt(pieces, histogram, group)
     base = dealt.groupBy("length", "pack_part").agg(F.count("*").alias("n")).selectExpr("length", "pack_part", "sum(n) over (partition by length order by pack_part) - n as pack_base")
     columns = pieces.columns
     ranked = dealt.join(base, ["length", "pack_part"]).selectExpr(*(f"`{c}`" for c in columns), "pack_base + row_number() over (partition by length, pack_part order by doc_id, start, pack_content) - 1 as pack_rank")

@@ -413,3 +413,22 @@ def test_op10_default_takes_five_words():
     import inspect
 
     assert inspect.signature(op10_minhash.near_duplicates).parameters["size"].default == 5
+
+
+def test_packing_of_null_ids_in_bounded_groups(spark):
+    """A table without ids: pieces of one length are told apart by what they hold, so no group gathers them all."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["the", "of", "and", "city", "river", "stone"], k=6)) for _ in range(3000)]
+    pieces = op8_packing.tokenize(spark.createDataFrame(make(texts, [None] * 3000), SCHEMA))
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").count().withColumnRenamed("count", "n").collect()}
+    assert max(histogram.values()) > 2000
+    groups = [r["count"] for r in op8_packing._dealt(pieces, histogram, 50).groupBy("length", "pack_part").count().collect()]
+    assert sum(groups) == 3000 and max(groups) < 150
+    got = op8_packing.place(pieces).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for own in by.values():
+        own.sort()
+        assert [o for o, _ in own] == list(itertools.accumulate([0, *(n for _, n in own[:-1])])) and sum(n for _, n in own) <= 4096
+    assert len(got) == 3000 and sum(r.length for r in got) > 0.95 * 4096 * (len(by) - 1)
