@@ -36,7 +36,7 @@ from .bytes_ import column, slices
 SIZE = 4096
 END = 2
 #: Chunks that a worker remembers (about 150 bytes each).
-_CACHE = 900_000
+_CACHE = 300_000
 #: The white space of Latin-1 as the tokenizer sees it (U+001C to U+001F are no part of it).
 _SPACE = r"\x09-\x0D\x20\x85\xA0"
 #: Two marks side by side, which the tokenizer takes as one.
@@ -196,7 +196,7 @@ def _placed(batches: Iterator[pa.RecordBatch], table_, key_shift: int = 44) -> I
 def _dealt(pieces: DataFrame, histogram: dict[int, int], group: int) -> DataFrame:
     """Pieces with `pack_part`, so that a length's pieces come in groups of about `group`, and `pack_content`: pieces of
     a null or repeated id are told apart by what they hold."""
-    content = F.crc32("ids") if "ids" in pieces.columns else F.col("ids_crc32") if "ids_crc32" in pieces.columns else F.lit(0).cast("long")
+    content = F.col("ids_crc32") if "ids_crc32" in pieces.columns else F.lit(0).cast("long")
     deal = pieces.sparkSession.createDataFrame([(k, -(-n // group)) for k, n in histogram.items()], "length long, pack_parts long")
     dealt = pieces.join(F.broadcast(deal), "length").withColumn("pack_part", F.pmod(F.xxhash64("doc_id", "start", content), "pack_parts"))
     return dealt.withColumn("pack_content", content).drop("pack_parts")
@@ -206,6 +206,10 @@ def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset to pieces (any columns beside doc_id, start and length stay)."""
     spark = pieces.sparkSession
     ship(spark)
+    if "ids" in pieces.columns:  # ids stay behind: places are found for narrow rows and joined
+        whole = work.save(pieces.withColumn("pack_row", F.monotonically_increasing_id()), "pieces")
+        placed = place(whole.select("pack_row", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32")), size)
+        return whole.join(placed.select("pack_row", "sequence_id", "offset"), "pack_row").drop("pack_row")
     pieces = work.save(pieces, "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     if not histogram:
