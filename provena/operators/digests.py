@@ -75,17 +75,24 @@ def _hashed(batches: Iterator[pa.RecordBatch], keys: int, separator: bytes, name
         yield rows()
 
 
-def ordered(entries: DataFrame, keys: list[str], order: list[str], data: Column, separator: bytes = b"") -> DataFrame:
-    """(keys, n, bytes, sha): the digest of each key's entries in order (of equal ones, by their bytes), with a
-    separator between them. Without keys all entries are one state. Entries without data are left out."""
+def chunks(entries: DataFrame, keys: list[str], order: list[str], data: Column, separator: bytes = b"") -> DataFrame:
+    """(keys, part, seq, n, data): each key's entries in order (of equal ones, by their bytes), joined with a separator into
+    chunks that follow each other by part and seq. Entries without data are left out."""
     ship(entries.sparkSession)
     named = entries.select(*keys, *(F.col(o).alias(f"order_{i}") for i, o in enumerate(order)), data.cast("binary").alias("data")).filter("data is not null")
     by = [*keys, *(f"order_{i}" for i in range(len(order))), "data"]
     types = "".join(f"{k} {named.schema[k].dataType.simpleString()}, " for k in keys)
     sorted_ = named.repartitionByRange(*by).sortWithinPartitions(*by).select(*keys, "data")
     names = [*keys, "part", "seq", "n", "data"]
-    chunks = sorted_.mapInArrow(lambda it: _chunked(it, len(keys), separator, names), f"{types}part long, seq long, n long, data binary")
-    dealt = (chunks.repartition(*keys) if keys else chunks.repartition(1)).sortWithinPartitions(*keys, "part", "seq").select(*keys, "n", "data")
+    return sorted_.mapInArrow(lambda it: _chunked(it, len(keys), separator, names), f"{types}part long, seq long, n long, data binary")
+
+
+def ordered(entries: DataFrame, keys: list[str], order: list[str], data: Column, separator: bytes = b"") -> DataFrame:
+    """(keys, n, bytes, sha): the digest of each key's entries in order (of equal ones, by their bytes), with a
+    separator between them. Without keys all entries are one state. Entries without data are left out."""
+    parts = chunks(entries, keys, order, data, separator)
+    types = "".join(f"{k} {parts.schema[k].dataType.simpleString()}, " for k in keys)
+    dealt = (parts.repartition(*keys) if keys else parts.repartition(1)).sortWithinPartitions(*keys, "part", "seq").select(*keys, "n", "data")
     out = [*keys, "n", "bytes", "sha"]
     return dealt.mapInArrow(lambda it: _hashed(it, len(keys), separator, out), f"{types}n long, bytes long, sha string")
 

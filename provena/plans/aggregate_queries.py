@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import contracts, optimizer, running, tensors
+from ..operators import contracts, digests, optimizer, running, tensors
 from ..session import table
 from ._register import LONG, query
 
@@ -172,8 +172,12 @@ def sorted_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "user_id")))
 
 
-@query("o06_unconsumed_message", "select p_brand, p_partkey // 1000 chunk, 'unconsumed: ' || string_agg(p_name, ', ' order by p_name) message from part where p_size > 40 group by all")
+@query("o06_unconsumed_message", "select p_brand, 'unconsumed: ' || string_agg(p_name, ', ' order by p_name) message from part where p_size > 40 group by p_brand")
 def message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A message holds the names of a thousand keys at most; a brand with more has several, numbered by their keys."""
-    g = table(spark, sf_dir, "part").filter("p_size > 40").groupBy("p_brand", F.floor(F.col("p_partkey") / 1000).cast("long").alias("chunk"))
-    return g.agg(F.concat(F.lit("unconsumed: "), F.array_join(F.sort_array(F.collect_list("p_name")), ", ")).alias("message"))
+    """One message of all names for each brand. Names are sorted by ranges and tasks join them into pieces, so what meets for
+    a brand is a piece from each task."""
+    part = table(spark, sf_dir, "part").filter("p_size > 40")
+    pieces = digests.chunks(part, ["p_brand"], ["p_name"], F.col("p_name"), b", ").select("p_brand", F.struct("part", "seq", F.col("data").cast("string").alias("names")).alias("piece"))
+    unnamed = part.filter("p_name is null").select("p_brand", F.lit(None).cast(pieces.schema["piece"].dataType).alias("piece")).distinct()
+    g = pieces.unionByName(unnamed).groupBy("p_brand").agg(F.array_sort(F.collect_list("piece")).alias("l"))
+    return g.select("p_brand", F.when(F.size("l") > 0, F.concat(F.lit("unconsumed: "), F.array_join(F.transform("l", lambda p: p["names"]), ", "))).alias("message"))
