@@ -80,3 +80,22 @@ def broken(spark, checkpoint=None, marker=None, agreement=None, state="s"):
 )
 def test_rules_one_by_one(spark, found, rules):
     assert broken(spark, **found) == rules
+
+
+@pytest.mark.parametrize("separator", [b"", b"--"])
+def test_long_states_in_links(spark, monkeypatch, separator):
+    """A long state is digested by several jobs, each of which reads a link of it; short ones end in their task."""
+    monkeypatch.setattr(digests, "CHUNK", 1000)
+    monkeypatch.setattr(digests, "LINK", 400_000)
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, None, *range(2, 60)]), i // 2, rng.randbytes(rng.choice([0, 3, 400, 2500]))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, o long, data binary").repartition(5)
+    for keys in (["k"], []):
+        got = {r.k if keys else 0: (r.n, r.bytes, r.sha) for r in digests.ordered(df, keys, ["o"], F.col("data"), separator).collect()}
+        want = {}
+        for k in {r[0] for r in rows} if keys else {0}:
+            own = [d for _, _, d in sorted((r for r in rows if not keys or r[0] == k), key=lambda r: r[1:])]
+            whole = separator.join(own)
+            want[k] = (len(own), len(whole), hashlib.sha256(whole).hexdigest())
+        assert got == want
+    assert want[0][1] > 4 * digests.LINK
