@@ -6,6 +6,8 @@ an alias that is missing gives way to the next one, and a rule without a value p
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,27 +30,28 @@ def _differs(got: Column, want: Column) -> Column:
     return F.coalesce(got != want, F.lit(False))
 
 
+def _any(*conditions: Column) -> Column:
+    return reduce(Column.__or__, conditions)
+
+
 def violations(expected: DataFrame, checkpoints: DataFrame, markers: DataFrame, agreements: DataFrame, hashes: DataFrame) -> DataFrame:
     """(rule, entity, detail) of every broken rule. `expected` has entity, state, step, stage_tokens and lifetime_tokens;
     `checkpoints` entity, state (the digest of what is there) and values; `markers` and `agreements` entity and
-    values; `hashes` entity and data (the digest of the training data)."""
-    e = F.col("entity")
+    values; `hashes` entity and data (the digest of the training data). All rules of a join are
+    tested in one pass over it."""
+    e, v = F.col("entity"), F.col("values")
     want = expected.select("entity", *(F.col(c).alias(f"want_{c}") for c in ("state", "step", "stage_tokens", "lifetime_tokens")))
-    here, done = want.join(checkpoints, "entity", "left"), want.join(markers, "entity")
-    bound = agreements.join(hashes, "entity", "left")
-    v = F.col("values")
-    rules = [contracts.violations(here, "checkpoint state", e, F.coalesce(F.col("state") != F.col("want_state"), F.lit(True)), F.col("state"))]
-    for rows, where, names in ((here, "checkpoint", CHECKPOINT), (done, "marker", MARKER)):
-        for what, aliases in names.items():
-            got = contracts.lenient_alias(v, *aliases)
-            rules.append(contracts.violations(rows, f"{where} {what}", e, _differs(got, F.col(f"want_{what}")), got))
-    status = v["status"]
-    rules.append(contracts.violations(done, "marker status", e, _differs(status, F.lit("PASS")), status))
-    state = _given(v, MARKER_STATE)
-    rules.append(contracts.violations(done, "marker state", e, _differs(state, F.col("want_state")), state))
-    for rows, where in ((done, "marker"), (bound, "contract")):
-        used = F.exists(F.array(*(v[n] for n in TEST_FLAGS)), lambda x: F.coalesce(~x.isin(*UNUSED), F.lit(False)))
-        rules.append(contracts.violations(rows, f"{where} test split", e, used, F.coalesce(*(v[n] for n in TEST_FLAGS))))
-    other = F.exists(F.array(*(v[n] for n in CONTRACT_DATA)), lambda x: _differs(x, F.col("data")))
-    rules.append(contracts.violations(bound, "contract data", e, other, F.coalesce(*(v[n] for n in CONTRACT_DATA))))
-    return contracts.union(*rules)
+    counters = lambda names: [contracts.lenient_alias(v, *aliases).alias(f"got_{what}") for what, aliases in names.items()]
+    used = _any(*(F.coalesce(~v[n].isin(*UNUSED), F.lit(False)) for n in TEST_FLAGS)).alias("used")
+    flag = F.coalesce(*(v[n] for n in TEST_FLAGS)).alias("flag")
+    # what the rules need is taken out of the maps first, so joins do not carry them
+    here = want.join(checkpoints.select("entity", "state", *counters(CHECKPOINT)), "entity", "left")
+    done = want.join(markers.select("entity", *counters(MARKER), v["status"].alias("status"), _given(v, MARKER_STATE).alias("given"), used, flag), "entity")
+    bound = agreements.select("entity", used, flag, *(v[n].alias(f"data_{i}") for i, n in enumerate(CONTRACT_DATA))).join(hashes, "entity", "left")
+    data = [F.col(f"data_{i}") for i in range(len(CONTRACT_DATA))]
+    got = lambda where, names: [(f"{where} {what}", _differs(F.col(f"got_{what}"), F.col(f"want_{what}")), F.col(f"got_{what}")) for what in names]
+    split = lambda where: (f"{where} test split", F.col("used"), F.col("flag"))
+    of_here = [("checkpoint state", F.coalesce(F.col("state") != F.col("want_state"), F.lit(True)), F.col("state")), *got("checkpoint", CHECKPOINT)]
+    of_done = [*got("marker", MARKER), ("marker status", _differs(F.col("status"), F.lit("PASS")), F.col("status")), ("marker state", _differs(F.col("given"), F.col("want_state")), F.col("given")), split("marker")]
+    of_bound = [split("contract"), ("contract data", _any(*(_differs(x, F.col("data")) for x in data)), F.coalesce(*data))]
+    return contracts.union(*(contracts.all_violations(rows, e, rules) for rows, rules in ((here, of_here), (done, of_done), (bound, of_bound))))

@@ -13,6 +13,13 @@ def violations(rows: DataFrame, rule: str, entity: Column, broken: Column, detai
     return rows.filter(F.coalesce(broken, F.lit(True))).select(F.lit(rule).alias("rule"), entity.cast("string").alias("entity"), detail.cast("string").alias("detail"))
 
 
+def all_violations(rows: DataFrame, entity: Column, rules: list[tuple[str, Column, Column]]) -> DataFrame:
+    """`violations` of several rules (rule, broken, detail) over the same rows, which are read once."""
+    found = F.array(*(F.when(F.coalesce(broken, F.lit(True)), F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))) for rule, broken, detail in rules))
+    each = rows.select(entity.cast("string").alias("entity"), found.alias("found")).select("entity", F.explode_outer("found").alias("own"))  # outer: no test of the array goes before the projection
+    return each.filter("own is not null").select("own.rule", "entity", "own.detail")
+
+
 def union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import boundary, digests
 from ..session import table
+from ..sources import shared
 from ._register import query
 
 _ENTRY = "l_orderkey || ':' || l_linenumber || ':' || l_partkey"
@@ -40,7 +41,9 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     that vary. A run's number modulo 32 tells which one of twelve rules it breaks."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("c"), (F.col("o_orderkey") % 32).alias("k"), (F.col("o_orderkey") % 3).alias("turn"))
     state = digests.ordered(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_orderkey", "l_linenumber"], _entry(), b";").select(F.col("l_orderkey").alias("key"), "sha")
-    runs = o.join(state, "key").withColumn("entity", F.col("key").cast("string"))
+    path = shared.folder(spark, "runs")  # written once, as five tables are made of it
+    o.join(state, "key").withColumn("entity", F.col("key").cast("string")).write.parquet(path)
+    runs = spark.read.parquet(path)
     text = lambda x: x.cast("string")
     broken = lambda rule, bad, good: F.when(F.col("k") == _BROKEN.index(rule) + 1, bad).otherwise(good)
     step, tokens, life = F.col("key"), F.col("c") * 256, F.col("c") * 512
