@@ -1,17 +1,21 @@
 """Language-model scoring by a hierarchical Pitman-Yor process.
 
-A token's restaurant is named by the ending of the word before it (its last two bytes, in 32 groups each);
-the 32 contexts that share a last byte share a parent, the parents share the root, and the root's base is
-uniform over the training words and one unknown. Tokens are customers of the contexts, and each table of a
-restaurant is a customer of its parent. Seating is sampled by Gibbs: for each context and word in turn, the
-number of tables is drawn from its conditional given the tables of all others (who sits where is summed out
-by generalised Stirling numbers: exact up to `EXACT` customers, by their scaling law beyond), then in the
-parents, then in the root. The predictive probabilities of the last samples are averaged.
-
-A word's customers in all restaurants are one row of at most 1,024 counts, so words are sampled independently
-given the restaurants' totals; those (1,024 + 32 + 1 numbers) are summed after each round and given to all.
-Training counts and scores travel as one row for each word and block of texts. Blocks are written once, in
-buckets, so that scoring brings the words' answers to the texts and does not move the texts again.
+A token's restaurant is that of the whole word before it (of the end at a text's start). Its parent is named by
+that word's last two bytes (in 32 groups each), the 32 endings that share a last byte share a parent, those share the
+root, and the root's base is uniform over the training words and one unknown. Tokens are customers of the words'
+restaurants, and each table of a restaurant is a customer of its parent. Seating is sampled by Gibbs: for each
+restaurant and word in turn, the number of tables is drawn from its conditional given the tables of all others (who
+sits where is summed out by generalised Stirling numbers: exact up to `EXACT` customers, by their scaling law beyond),
+from the words' restaurants up to the root. The last samples are averaged: the tables of the words' restaurants, and
+the probabilities of the endings'.
+
+Words (by ranges of their hashes) lie in buckets of a block's size. The bucket of a word holds all its customers,
+from every restaurant, so words are sampled independently given the restaurants' totals. Those of the endings up to
+the root (1,024 + 32 + 1 numbers) are summed after each round and given to all. Those of the words' restaurants,
+as many as there are words, are summed in the bucket of the word that names them: each round sends the tables of
+pairs with two customers or more there, and brings the sums back (a pair of one customer has one table).
+Counts, tables and answers travel as arrays, one row for each bucket and block or bucket and bucket. Texts are
+written once, in blocks, so that scoring brings the answers to the texts and does not move the texts again.
 
 Words are told apart by 64-bit hashes. Defined results: null and empty texts are one end token; rows without
 an id are not learned from and count as not held out; repeated rows count each; without training texts
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship, table
 from . import work
-from .bytes_ import Words, buffers, column, release, slices
+from .bytes_ import Words, buffers, release, slices
 
 #: Rounds of sweeps between which totals are exchanged, sweeps of a round, and samples that are averaged.
 ROUNDS, SWEEPS, KEPT = 3, 2, 3
@@ -52,6 +56,8 @@ def _groups() -> np.ndarray:
 
 
 _GROUP, _NONE = _groups(), 31
+_MODEL = ["bucket", "word", "size", "before", "context", "n"]
+_FIELDS = "bucket long, word binary, size binary, before binary, context binary, n binary"
 
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,14 +91,13 @@ def _block_tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _entries(word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words, the first entry of each, the contexts of all entries (by word, then context), and each
-    token's entry."""
+def _entries(word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct words, the first entry of each, of all entries (by word, then word before) the place of the word before
+    among the words and its ending, and each token's entry."""
     names, number = np.unique(word, return_inverse=True)
-    number *= CONTEXTS
-    number += context
-    pair, entry = np.unique(number, return_inverse=True)
-    return names, np.searchsorted(pair, np.arange(len(names) + 1) * CONTEXTS), pair % CONTEXTS, entry.astype(np.int32)
+    before = np.concatenate([np.searchsorted(names, np.array([_END], np.uint64)), number[:-1]])  # texts begin after an end
+    pair, at, entry = np.unique(number * len(names) + before, return_index=True, return_inverse=True)
+    return names, np.searchsorted(pair, np.arange(len(names) + 1) * len(names)), pair % len(names), context[at], entry.astype(np.int32)
 
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,45 +123,48 @@ def _values(col: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]].view(kind), (off - off[0]) // np.dtype(kind).itemsize
 
 
-def _counted(texts: pa.Table) -> pa.Table:
-    """(word, block, own): a word's contexts in the block, each with its customers from training texts."""
+def _all(rows: pa.Table, name: str, kind: str) -> np.ndarray:
+    """The values of a column of bytes, of all rows."""
+    return _values(rows.column(name).combine_chunks(), kind)[0] if rows.num_rows else np.zeros(0, kind)
+
+
+def _bucket(word: np.ndarray, buckets: int) -> np.ndarray:
+    return ((word >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _dealt(word: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that hold some of the ascending words, and the first word of each (and the end)."""
+    own = _bucket(word, buckets)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), own[1:] != own[:-1]]))
+    return own[first], np.append(first, len(own))
+
+
+def _counted(texts: pa.Table, buckets: int) -> pa.Table:
+    """A row for each bucket: the block's words with their numbers of entries; of each entry the word before, its
+    ending and the customers from training texts."""
     doc, word, context = _block_tokens(*buffers(texts.column("text")))
     learn = texts.column("learn").to_numpy()
-    names, first, contexts, entry = _entries(word, context)
-    n = np.bincount(entry[learn[doc]], minlength=len(contexts))
+    names, first, before, ending, entry = _entries(word, context)
+    n = np.bincount(entry[learn[doc]], minlength=len(before))
     del doc, word, context, entry
+    own, cut = _dealt(names, buckets)
+    at = first[cut]
     release()
-    return pa.table([pa.array(names.view(np.int64)), pa.array(np.full(len(names), texts.column("block")[0].as_py())), _binary(contexts | n << 10, first)], ["word", "block", "own"])
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by word to one row for each word; the last word of a batch waits for the next."""
-    wait = None
-
-    def summed(word: np.ndarray, first: np.ndarray, own: np.ndarray) -> tuple:
-        new = np.concatenate([[True], word[1:] != word[:-1]])
-        row = np.repeat(np.cumsum(new) - 1, np.diff(first))
-        pair, at = np.unique(row * CONTEXTS + (own & (CONTEXTS - 1)), return_inverse=True)
-        n = np.zeros(len(pair), np.int64)
-        np.add.at(n, at, own >> 10)
-        return word[new], np.searchsorted(pair, np.arange(new.sum() + 1) * CONTEXTS), pair % CONTEXTS | n << 10
-
-    def out(word: np.ndarray, first: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(word), _binary(own[first[0] : first[-1]], first - first[0])], ["word", "own"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        own, first = _values(column(batch, "own"), "<i8")
-        word = column(batch, "word").to_numpy()
-        if wait:
-            word, first, own = np.concatenate([wait[0], word]), np.concatenate([[0], first + len(wait[1])]), np.concatenate([wait[1], own])
-        word, first, own = summed(word, first, own)
-        wait = word[-1:], own[first[-2] :]
-        if len(word) > 1:
-            yield out(word[:-1], first[:-1], own)
-    if wait:
-        yield out(wait[0], np.array([0, len(wait[1])]), wait[1])
+    return pa.table([pa.array(np.full(len(own), texts.column("block")[0].as_py())), pa.array(own), _binary(names, cut), _binary(np.diff(first).astype("<u4"), cut), _binary(names[before], at), _binary(ending.astype("<u2"), at), _binary(n.astype("<u4"), at)], ["block", *_MODEL])
+
+
+def _united(rows: pa.Table) -> pa.Table:
+    """Rows of a bucket as one."""
+    word = np.repeat(_all(rows, "word", "<u8"), _all(rows, "size", "<u4"))
+    before = _all(rows, "before", "<u8")
+    order = np.lexsort((before, word))
+    word, before = word[order], before[order]
+    new = np.concatenate([[True], word[1:] != word[:-1]])
+    pair = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]) | new)
+    n = np.add.reduceat(_all(rows, "n", "<u4")[order].astype(np.int64), pair)
+    at = np.flatnonzero(new[pair])
+    whole = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
+    return pa.table([rows.column("bucket")[:1].combine_chunks(), whole(word[pair][at], "<u8"), whole(np.diff(np.append(at, len(pair))), "<u4"), whole(before[pair], "<u8"), whole(_all(rows, "context", "<u2")[order][pair], "<u2"), whole(n, "<u4")], _MODEL)
 
 
 class Stirling:
@@ -290,66 +298,170 @@ class Seating:
         return (self.c2 - DISCOUNT * self.t2 + (STRENGTH + DISCOUNT * g.t2[at]) * p1[self.pair]) / (STRENGTH + g.c2[at])
 
 
-def _seated(batches: Iterator[pa.RecordBatch], held, turn: int, sweeps: int) -> Iterator[tuple]:
+class Pairs:
+    """Customers and tables of a bucket's words in the words' restaurants, above them the seating of the endings."""
+
+    def __init__(self, rows: pa.Table):
+        self.words, size = _all(rows, "word", "<u8"), _all(rows, "size", "<u4")
+        self.before, self.c = _all(rows, "before", "<u8"), _all(rows, "n", "<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(self.words)), size)
+        self.first = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        key, self.above = np.unique(word * CONTEXTS + _all(rows, "context", "<u2"), return_inverse=True)
+        self.own, self.own_first = key % CONTEXTS, np.searchsorted(key, np.arange(len(self.words) + 1) * CONTEXTS)
+        self.t, self.many = np.minimum(self.c, 1), np.flatnonzero(self.c > 1)
+        self.rest = np.zeros(len(self.many), np.int64)
+
+    def take(self, back: pa.Table) -> None:
+        """Tables of the last round, and of each pair's restaurant for other words."""
+        at = _all(back, "at", "<u4")
+        self.t[at] = _all(back, "t", "<u4")
+        rest = np.zeros(len(self.c), np.int64)
+        rest[at] = _all(back, "rest", "<i8")
+        self.rest = rest[self.many]
+
+    def customers(self) -> np.ndarray:
+        return np.bincount(self.above, self.t, len(self.own)).astype(np.int64)
+
+    def seat(self) -> None:
+        self.seats = Seating(self.own_first, self.own | self.customers() << 10)
+
+    def sweep(self, g: Totals, s: Stirling, rng: np.random.Generator) -> None:
+        """The words' restaurants, then those above; the ending's probability is that without a row's own tables."""
+        x, at = self.seats, self.above[self.many]
+        c, k = x.c2[at] - self.t[self.many], x.context[at]
+        p1 = x.middle(g, x.parent, x.c1, x.t1, x.root(g, x.c0, x.t0)[x.pair_word])[x.pair[at]]
+        h = (c - DISCOUNT * np.minimum(x.t2[at], c) + (STRENGTH + DISCOUNT * g.t2[k]) * p1) / (STRENGTH + g.c2[k])
+        self.t[self.many] = draw_tables(self.c[self.many], h, self.rest, s, rng)
+        x.c2 = self.customers()
+        x.sweep(g, s, rng)
+
+
+def _contexts(rows: pa.Table, buckets: int) -> pa.Table:
+    """Of the words before, in their own buckets: customers, and pairs of one customer."""
+    c = _all(rows, "n", "<u4")
+    before, at = np.unique(_all(rows, "before", "<u8")[c > 0], return_inverse=True)
+    own, cut = _dealt(before, buckets)
+    c = c[c > 0]
+    return pa.table([pa.array(own), _binary(before, cut), _binary(np.bincount(at, c, len(before)).astype("<i8"), cut), _binary(np.bincount(at, c == 1, len(before)).astype("<i8"), cut)], ["bucket", "word", "c", "single"])
+
+
+def _contexts_united(rows: pa.Table) -> pa.Table:
+    word, at = np.unique(_all(rows, "word", "<u8"), return_inverse=True)
+    sums = [np.bincount(at, _all(rows, x, "<i8"), len(word)).astype("<i8") for x in ("c", "single")]
+    return pa.table([rows.column("bucket")[:1].combine_chunks(), *(pa.array([x.tobytes()], pa.binary()) for x in (word, *sums))], ["bucket", "word", "c", "single"])
+
+
+def _round(rows: pa.Table, back: pa.Table | None, held, turn: int, sweeps: int, buckets: int) -> pa.Table:
+    """Tables of pairs of several customers, sent to the buckets of the words before (`home` and `at` say where from);
+    and one row of sums: tables by ending, by parent and of the root, customers by ending, words, tokens."""
+    g, s = held.value
+    bucket, x = rows.column("bucket")[0].as_py(), Pairs(rows)
+    if back is not None:
+        x.take(back)
+    rng = np.random.default_rng([SEED, turn, bucket])
+    x.seat()
+    for _ in range(sweeps):
+        x.sweep(g, s, rng)
+    y = x.seats
+    sums = np.concatenate([np.bincount(y.context, y.t2, CONTEXTS), np.bincount(y.parent, y.t1, GROUPS), [y.t0.sum()], np.bincount(y.context, y.c2, CONTEXTS), [(y.c0 > 0).sum(), x.c.sum()]]).astype(np.int64)
+    many = x.many[np.argsort(x.before[x.many], kind="stable")]
+    own, cut = _dealt(x.before[many], buckets)
+    sent = pa.table([pa.array(own), pa.array(np.full(len(own), bucket)), _binary(x.before[many], cut), _binary(many.astype("<u4"), cut), _binary(x.t[many].astype("<u4"), cut), pa.nulls(len(own), pa.list_(pa.int64()))], ["bucket", "home", "word", "at", "t", "sums"])
+    none = pa.nulls(1, pa.binary())
+    release()
+    return pa.concat_tables([sent, pa.table([pa.array([-1]), pa.array([bucket]), none, none, none, pa.array([sums.tolist()], pa.list_(pa.int64()))], sent.column_names)])
+
+
+def _rested(contexts: pa.Table, sent: pa.Table) -> pa.Table:
+    """The tables sent, and those of their restaurants for other words, back to where they came from."""
+    if not sent.num_rows:
+        return pa.table({"bucket": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("at", "t", "rest")}})
+    word, total = _all(contexts, "word", "<u8"), _all(contexts, "single", "<i8")
+    t, first = _values(sent.column("t").combine_chunks(), "<u4")
+    at = np.searchsorted(word, _all(sent, "word", "<u8"))
+    total = total + np.bincount(at, t, len(word)).astype(np.int64)
+    return pa.table([sent.column("home"), sent.column("at"), sent.column("t"), _binary(total[at] - t, first)], ["bucket", "at", "t", "rest"])
+
+
+_FINAL = "bucket long, kind int, word binary, size binary, before binary, a binary, p binary, n binary"
+
+
+def _final(kind: int, own: np.ndarray, *cols: pa.Array | None) -> pa.Table:
+    return pa.table([pa.array(own), pa.array(np.full(len(own), kind, np.int32)), *(pa.nulls(len(own), pa.binary()) if c is None else c for c in cols)], ["bucket", "kind", "word", "size", "before", "a", "p", "n"])
+
+
+def _predicted(rows: pa.Table, back: pa.Table, held, turn: int, buckets: int) -> pa.Table:
+    """Means of the samples kept: of each pair its discounted customers and its probability by ending (kind 0), and the
+    tables of pairs of several customers, summed by the word before in that word's bucket (kind 1)."""
     g, s = held.value
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1 << 12):
-            part = batch.slice(lo, 1 << 12)
-            own, first = _values(column(part, "own"), "<i8")
-            word = column(part, "word").to_numpy()
-            rng = np.random.default_rng([SEED, turn, int(word[0]) & (2**63 - 1)])
-            seats = Seating(first, own)
-            for _ in range(sweeps):
-                seats.sweep(g, s, rng)
-            yield word, first, seats, g, s, rng
-
-
-def _summed(batches: Iterator[pa.RecordBatch], held, turn: int, sweeps: int) -> Iterator[pa.RecordBatch]:
-    """(slot, n): tables by context (slots from 0), by parent and of the root, customers by context, words, tokens."""
-    total = np.zeros(2 * CONTEXTS + GROUPS + 3, np.int64)
-    for _, _, x, *_ in _seated(batches, held, turn, sweeps):
-        parts = [np.bincount(x.context, x.t2, CONTEXTS), np.bincount(x.parent, x.t1, GROUPS), [x.t0.sum()], np.bincount(x.context, x.c2, CONTEXTS), [(x.c0 > 0).sum(), x.c2.sum()]]
-        total += np.concatenate(parts).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["slot", "n"])
-
-
-def _predicted(batches: Iterator[pa.RecordBatch], held, turn: int) -> Iterator[pa.RecordBatch]:
-    """(word, customers, contexts, probabilities): log10 of the mean over the samples kept."""
-    for word, first, seats, g, s, rng in _seated(batches, held, turn, SWEEPS):
-        p = np.zeros(len(seats.context))
-        for _ in range(KEPT):
-            seats.sweep(g, s, rng)
-            p += seats.predictive(g)
-        n = np.add.reduceat(seats.c2, first[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n), _binary(seats.context.astype("<u2"), first), _binary(np.log10(p / KEPT).astype("<f4"), first)], ["word", "n", "contexts", "logs"])
-
-
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, word, n, logs): the probabilities of the word's contexts in the block, in their order."""
-    for batch in batches:
-        own, first = _values(column(batch, "own"), "<i8")
-        have, at = _values(column(batch, "contexts"), "<u2")
-        logs, _ = _values(column(batch, "logs"), "<f4")
-        row = lambda f: np.repeat(np.arange(batch.num_rows), np.diff(f)) * CONTEXTS
-        found = logs[np.searchsorted(row(at) + have, row(first) + (own & (CONTEXTS - 1)))]
-        yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("block", "word", "n")), _binary(found, first)], ["block", "word", "n", "logs"])
+    bucket, x = rows.column("bucket")[0].as_py(), Pairs(rows)
+    x.take(back)
+    rng = np.random.default_rng([SEED, turn, bucket])
+    x.seat()
+    for _ in range(SWEEPS):
+        x.sweep(g, s, rng)
+    p, t = np.zeros(len(x.own)), np.zeros(len(x.c))
+    for _ in range(KEPT):
+        x.sweep(g, s, rng)
+        p += x.seats.predictive(g)
+        t += x.t
+    p, t = p / KEPT, t / KEPT
+    whole = lambda v, kind: pa.array([v.astype(kind).tobytes()], pa.binary())
+    answer = _final(0, np.array([bucket]), whole(x.words, "<u8"), whole(np.diff(x.first), "<u4"), whole(x.before, "<u8"), whole(x.c - DISCOUNT * t, "<f4"), whole(p[x.above], "<f4"), whole(np.add.reduceat(x.c, x.first[:-1]), "<i8"))
+    before, at = np.unique(x.before[x.many], return_inverse=True)
+    own, cut = _dealt(before, buckets)
+    release()
+    return pa.concat_tables([answer, _final(1, own, _binary(before, cut), None, None, _binary(np.bincount(at, t[x.many], len(before)), cut), None, None)])
+
+
+def _informed(contexts: pa.Table, sent: pa.Table) -> pa.Table:
+    """Tables and customers of the words' restaurants (kind 2)."""
+    word = _all(contexts, "word", "<u8")
+    t = _all(contexts, "single", "<i8") + np.bincount(np.searchsorted(word, _all(sent, "word", "<u8")), _all(sent, "a", "<f8"), len(word))
+    own = contexts.column("bucket")[:1].to_numpy()
+    return _final(2, own, pa.array([word.tobytes()], pa.binary()), None, None, pa.array([t.astype("<f8").tobytes()], pa.binary()), None, pa.array([_all(contexts, "c", "<i8").tobytes()], pa.binary()))
+
+
+def _answered(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """For each row asked, in its order: of its words the training tokens, and tables and customers of their restaurants; of
+    its entries the discounted customers and the probability by ending."""
+    kind = known.column("kind").to_numpy()
+    pairs, contexts = known.filter(pa.array(kind == 0)), known.filter(pa.array(kind == 2))
+    words, before = _all(pairs, "word", "<u8"), _all(pairs, "before", "<u8")
+    names = np.unique(before)
+    key = lambda word, size, prior: np.repeat(np.searchsorted(words, word), size) * len(names) + np.searchsorted(names, prior)
+    have = key(words, _all(pairs, "size", "<u4"), before)
+    word, first = _values(asked.column("word").combine_chunks(), "<u8")
+    prior, entry = _values(asked.column("before").combine_chunks(), "<u8")
+    at = np.searchsorted(have, key(word, _all(asked, "size", "<u4"), prior))
+    context = _all(contexts, "word", "<u8")
+    place = np.searchsorted(context, word)
+    if len(context):
+        seen = context[np.minimum(place, len(context) - 1)] == word
+    else:
+        seen = np.zeros(len(word), bool)
+    t, c = np.zeros(len(word), "<f4"), np.zeros(len(word), "<i8")
+    t[seen], c[seen] = _all(contexts, "a", "<f8")[place[seen]], _all(contexts, "n", "<i8")[place[seen]]
+    n = _all(pairs, "n", "<i8")[np.searchsorted(words, word)]
+    release()
+    return pa.table([asked.column("block"), asked.column("bucket"), _binary(n, first), _binary(t, first), _binary(c, first), _binary(_all(pairs, "a", "<f4")[at], entry), _binary(_all(pairs, "p", "<f4")[at], entry)], ["block", "bucket", "n", "t", "c", "a", "p"])
 
 
 def _scored(texts: pa.Table, answers: pa.Table, train: int, words: int) -> pa.Table:
     """The rows of one block with their scores."""
-    order = pa.array(np.argsort(answers.column("word").to_numpy().view(np.uint64)))
-    n = answers.column("n").to_numpy()[order.to_numpy()]
-    logs, _ = _values(answers.column("logs").combine_chunks().take(order), "<f4")  # as the block's own entries lie
+    answers = answers.sort_by("bucket")  # as the block's own entries lie
+    n, t, c = (_all(answers, x, k) for x, k in (("n", "<i8"), ("t", "<f4"), ("c", "<i8")))
     doc, token, context = _block_tokens(*buffers(texts.column("text")))
-    _, own_first, _, entry = _entries(token, context)
-    at = np.searchsorted(own_first, entry, "right") - 1  # the token's word
+    _, own_first, before, _, entry = _entries(token, context)
     size = texts.num_rows
     del token, context
+    logs = np.log10((_all(answers, "a", "<f4") + (STRENGTH + DISCOUNT * t[before].astype(float)) * _all(answers, "p", "<f4")) / (STRENGTH + c[before]))
+    at = np.searchsorted(own_first, entry, "right") - 1  # the token's word
     total = lambda x: np.bincount(doc, x, size)
     base = np.log10((n + 0.1) / (train + 0.1 * (words + 1))) if words else np.zeros(len(n))
     whole = lambda x: pa.array(x.astype(np.int64))
     out = pa.table([texts.column("doc_id"), texts.column("held_out"), whole(np.bincount(doc, minlength=size)), whole(total(n[at] > 0)), pa.array(np.full(size, train)), pa.array(total(base[at])), pa.array(total(logs[entry]))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-    del doc, entry, at, n, logs
+    del doc, entry, at, n, t, c, logs, before
     release()
     return out
 
@@ -359,40 +471,62 @@ def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 10 =
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    name, parts = f"provena_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = []
+
+    def placed(df: DataFrame, name: str, *by: str) -> DataFrame:
+        """Written once, in Spark's buckets, so that grouping by `by` does not move it again."""
+        made.append((f"provena_{name}_{uuid.uuid4().hex}", f"{work.folder(spark)}/provena/{name}-{uuid.uuid4().hex}"))
+        df.write.option("path", made[-1][1]).option("compression", "zstd").bucketBy(parts, *by).saveAsTable(made[-1][0])
+        return spark.table(made[-1][0])
+
     rows = docs.selectExpr("doc_id", f"coalesce({held_out}, false) as held_out", f"coalesce(not ({held_out}), false) as learn", "coalesce(text, '') as text")
-    fields = f"block long, doc_id {kind}, held_out boolean, learn boolean, text string"
-    path = f"{work.folder(spark)}/provena/{name}"
-    rows.mapInArrow(_blocked, fields).write.option("path", path).option("compression", "zstd").bucketBy(parts, "block").saveAsTable(name)
-    blocks = spark.table(name)
-    counted = work.save(blocks.select("block", "learn", "text").groupBy("block").applyInArrow(_counted, "word long, block long, own binary"), "word-counts")
-    salts = 1 + blocks.select("block").distinct().count() // TOGETHER
-    split = counted.select("word", F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"), "own")
-    merged = split.repartition("word", "salt").sortWithinPartitions("word", "salt").mapInArrow(_merged, "word long, own binary")
+    blocks = placed(rows.mapInArrow(_blocked, f"block long, doc_id {kind}, held_out boolean, learn boolean, text string"), "blocks", "block")
+    count = blocks.select("block").distinct().count()
+    salts, buckets = 1 + count // TOGETHER, max(parts, count)
+    counted = blocks.select("block", "learn", "text").groupBy("block").applyInArrow(lambda t: _counted(t, buckets), f"block long, {_FIELDS}")
+    asked = placed(counted.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts))).repartition(parts, "bucket", "salt"), "asked", "bucket", "salt")
+    united = asked.groupBy("bucket", "salt").applyInArrow(_united, _FIELDS)
     if salts > 1:
-        merged = merged.repartition("word").sortWithinPartitions("word").mapInArrow(_merged, "word long, own binary")
-    model = work.save(merged, "restaurants")
+        united = united.groupBy("bucket").applyInArrow(_united, _FIELDS)
+    model = placed(united, "pairs", "bucket")
+    fields = "bucket long, word binary, c binary, single binary"
+    contexts = placed(model.groupBy("bucket").applyInArrow(lambda t: _contexts(t, buckets), fields).groupBy("bucket").applyInArrow(_contexts_united, fields), "contexts", "bucket")
     g, s = Totals(np.zeros(CONTEXTS, np.int64), np.zeros(GROUPS, np.int64), 0, np.zeros(CONTEXTS, np.int64), 0), Stirling()
-    train = 0
+    train, back, sent = 0, None, None
+    first_round = lambda held: lambda rows: _round(rows, None, held, 0, 0, buckets)
+    later_round = lambda held, turn: lambda rows, back: _round(rows, back, held, turn, SWEEPS, buckets)
     for turn in range(ROUNDS + 1):  # the first counts one table for each entry
         held = spark.sparkContext.broadcast((g, s))
-        sums = model.mapInArrow(lambda it, held=held, turn=turn: _summed(it, held, turn, SWEEPS if turn else 0), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # one row for each restaurant
+        fields = "bucket long, home long, word binary, at binary, t binary, sums array<long>"
+        if back is None:
+            seated = model.groupBy("bucket").applyInArrow(first_round(held), fields)
+        else:
+            seated = model.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(later_round(held, turn), fields)
+        last, sent = sent, work.save(seated, "tables")
+        if last is not None:
+            work.drop(last)
+        sums = sent.filter("bucket < 0").select(F.posexplode("sums").alias("slot", "n")).groupBy("slot").agg(F.sum("n").alias("n")).collect()  # one row for each restaurant above the words'
         x = np.zeros(2 * CONTEXTS + GROUPS + 3, np.int64)
         for r in sums:
             x[r.slot] = r.n
         a, b = CONTEXTS, CONTEXTS + GROUPS
         g, train = Totals(x[:a], x[a:b], int(x[b]), x[b + 1 : -2], int(x[-2])), int(x[-1])
+        back = contexts.groupBy("bucket").cogroup(sent.filter("bucket >= 0").groupBy("bucket")).applyInArrow(_rested, "bucket long, at binary, t binary, rest binary")
     held = spark.sparkContext.broadcast((g, s))
-    known = model.mapInArrow(lambda it: _predicted(it, held, ROUNDS + 1), "word long, n long, contexts binary, logs binary")
-    answers = counted.join(known, "word").select("block", "word", "own", "n", "contexts", "logs").mapInArrow(_answered, "block long, word long, n long, logs binary")
+    final = work.save(model.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(lambda t, b: _predicted(t, b, held, ROUNDS + 1, buckets), _FINAL), "predicted")
+    work.drop(sent)
+    info = contexts.groupBy("bucket").cogroup(final.filter("kind = 1").groupBy("bucket")).applyInArrow(_informed, _FINAL)
+    known = final.filter("kind = 0").unionByName(info).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    answers = asked.groupBy("bucket", "salt").cogroup(known.groupBy("bucket", "salt")).applyInArrow(_answered, "block long, bucket long, n binary, t binary, c binary, a binary, p binary")
     words = g.words
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     result = blocks.select("block", "doc_id", "held_out", "learn", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda left, right: _scored(left, right, train, words), out)
     result = work.save(result, "scores")
-    spark.sql(f"drop table {name}")
-    work.remove(spark, path)
-    work.drop(counted)
-    work.drop(model)
+    for name, path in made:
+        spark.sql(f"drop table {name}")
+        work.remove(spark, path)
+    work.drop(final)
     return result
 
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from provena.llm import op11_pitman_yor as op
@@ -182,3 +183,50 @@ def test_scores_against_one_process(spark):
 def test_held_out_text_is_likelier_than_its_base_score(spark):
     r = op.query(spark, "/root/testdata/sf0.01").groupBy("held_out").sum("score", "base_score").collect()
     assert all(x["sum(score)"] > 0.95 * x["sum(base_score)"] for x in r)
+
+
+def test_restaurants_of_whole_words(spark):
+    """Words that end alike have restaurants of their own: what follows one is not likely after the other."""
+    rng = random.Random(4)
+    after = {"walking": ["alpha", "beta"], "talking": ["gamma", "delta"]}
+    texts = [" ".join(f"{w} {rng.choice(after[w])}" for w in rng.choices(["walking", "talking"], k=10)) for _ in range(60)]
+    held = [i for i in range(400) if not learned(i)]
+    texts = [*texts, *([None] * 400)]
+    texts[held[-1]], texts[held[-2]] = "walking alpha walking beta", "walking gamma walking delta"
+    r = {x.doc_id: x.score for x in op.score(spark.createDataFrame(make(texts), SCHEMA).repartition(3)).collect()}
+    assert r[held[-1]] > r[held[-2]] + 2  # equal but for the words' own restaurants
+
+
+def pairs(docs):
+    """A bucket that holds all pairs of (word before, word), as the operator's row, and the words' hashes."""
+    text = pa.table({"block": [0] * len(docs), "learn": [True] * len(docs), "text": docs})
+    return op.Pairs(op._united(op._counted(text, 1).drop_columns("block")))
+
+
+def test_probabilities_after_a_word_sum_to_one():
+    rng = random.Random(9)
+    x = pairs([words(rng, 80) for _ in range(30)])
+    x.seat()
+    s, gen = op.Stirling(), np.random.default_rng(0)
+    totals = lambda y: op.Totals(np.bincount(y.context, y.t2, op.CONTEXTS), np.bincount(y.parent, y.t1, op.GROUPS), y.t0.sum(), np.bincount(y.context, y.c2, op.CONTEXTS), len(x.words))
+    for _ in range(4):
+        of = np.bincount(np.unique(x.before, return_inverse=True)[1], x.t)[np.unique(x.before, return_inverse=True)[1]].astype(int)
+        x.rest = (of - x.t)[x.many]
+        x.sweep(totals(x.seats), s, gen)
+    y, g = x.seats, totals(x.seats)
+    assert y.c2.sum() == x.t.sum() and (x.t >= 1).all() and (x.t <= x.c).all()
+    root = y.root(g, y.c0, y.t0)
+    for u in np.unique(x.before)[:10]:
+        own = np.flatnonzero(x.before == u)
+        k = y.context[x.above[own[0]]]
+        parent = k // op.GROUPS
+        base = np.append(root, y.root(g, np.zeros(1), np.zeros(1)))  # the last is the unknown word
+        p1 = y.middle(g, np.array([parent]), np.zeros(1), np.zeros(1), base)
+        at = np.flatnonzero(y.parent == parent)
+        p1[y.pair_word[at]] = y.middle(g, y.parent[at], y.c1[at], y.t1[at], root[y.pair_word[at]])
+        p2 = (op.STRENGTH + op.DISCOUNT * g.t2[k]) * p1 / (op.STRENGTH + g.c2[k])
+        at = np.flatnonzero(y.context == k)
+        p2[y.word[at]] = y.predictive(g)[at]
+        p3 = (op.STRENGTH + op.DISCOUNT * x.t[own].sum()) * p2
+        p3[np.repeat(np.arange(len(x.words)), np.diff(x.first))[own]] += x.c[own] - op.DISCOUNT * x.t[own]
+        assert abs(p3.sum() / (op.STRENGTH + x.c[own].sum()) - 1) < 1e-9
