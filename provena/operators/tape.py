@@ -64,19 +64,19 @@ class Tape:
 
     def norm(self, x: Tensor, width: int, eps: float = 1e-5) -> Tensor:
         """x / sqrt(mean x^2 + eps) over rows of `width` values, in however many column tiles."""
-        square = self._kept(tiles.add_up(tiles.each(x.tiles, lambda r: [(r["i"], 0, (_array(r) ** 2).sum(1, keepdims=True))])))
+        square = self._kept(tiles.add_up(x.tiles, lambda r: [(r["i"], 0, (_array(r) ** 2).sum(1, keepdims=True))]))
         root = lambda s: 1 / np.sqrt(s / width + eps)
 
         def rule(g: DataFrame) -> tuple:
-            both = tiles.zip_tiles(g, x.tiles, lambda dy, v: np.hstack([dy, v]))
-            dots = tiles.add_up(tiles.zip_tiles(g, x.tiles, lambda dy, v: (dy * v).sum(1, keepdims=True)).withColumn("j", F.lit(0).cast("long")))
-            sums = tiles.zip_tiles(square, dots, lambda s, d: np.hstack([s, d]))
+            both = tiles.beside(g, x.tiles)
+            dots = tiles.add_up(both, lambda r: [(r["i"], 0, (_array(r) * _array(r, "r_")).sum(1, keepdims=True))])
+            sums = square.select("i", *(F.col(c).alias(f"s_{c}") for c in ("h", "w", "data"))).join(dots.select("i", *(F.col(c).alias(f"d_{c}") for c in ("h", "w", "data"))), "i")
 
-            def back(v: np.ndarray, s: np.ndarray) -> np.ndarray:
-                (dy, x_), q = np.hsplit(v, 2), root(s[:, :1])
-                return q * dy - x_ * q**3 * s[:, 1:] / width
+            def back(r: dict) -> list:
+                q = root(_array(r, "s_"))
+                return [(r["i"], r["j"], q * _array(r) - _array(r, "r_") * q**3 * _array(r, "d_") / width)]
 
-            return (tiles.with_rows(both, sums, back),)
+            return (tiles.each(both.join(sums, "i"), back),)
 
         return self._new(tiles.with_rows(x.tiles, square, lambda v, s: v * root(s)), (x,), rule)
 
@@ -144,7 +144,7 @@ class Tape:
             top = x.max(1, keepdims=True)
             return [(r["i"], 0, np.hstack([top, np.exp(x - top).sum(1, keepdims=True)]))]
 
-        both = self._kept(tiles.zip_tiles(tiles.merge(tiles.each(logits.tiles, state), softmax_state), target, lambda s, y: np.hstack([s, y])))
+        both = self._kept(tiles.zip_tiles(tiles.merge(logits.tiles, softmax_state, state), target, lambda s, y: np.hstack([s, y])))
 
         def hit(r: dict) -> tuple:
             x, (top, total, y) = _array(r), np.hsplit(_array(r, "r_"), 3)
@@ -159,7 +159,7 @@ class Tape:
             return [(r["i"], r["j"], (np.exp(x - top) / total - own) / rows)]
 
         beside = tiles.beside(logits.tiles, both.drop("j"), ["i"])
-        return self._new(tiles.add_up(tiles.each(beside, part)), (logits,), lambda g: (tiles.each(beside, back),))
+        return self._new(tiles.add_up(beside, part), (logits,), lambda g: (tiles.each(beside, back),))
 
     def gradients(self, loss: Tensor, *wanted: Tensor) -> list[DataFrame]:
         """The gradient of a loss (its own seed is 1) by each of `wanted`."""

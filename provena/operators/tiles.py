@@ -42,6 +42,7 @@ def each(rows: DataFrame, kernel: Callable[[dict], Iterator[tuple[int, int, np.n
             for lo in range(0, b.num_rows, 16):
                 if made := [t for row in b.slice(lo, 16).to_pylist() for t in kernel(row)]:
                     yield _batch(made)
+        pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 
     return rows.mapInArrow(turn, TILE)
 
@@ -65,23 +66,29 @@ def with_rows(x: DataFrame, row: DataFrame, f: Callable[[np.ndarray, np.ndarray]
     return each(beside(x, row.drop("j"), ["i"]), lambda r: [(r["i"], r["j"], f(_array(r), _array(r, "r_")))])
 
 
-def merge(tiles: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """One tile for each (i, j): an associative f over all of them, first inside each task. A task holds HELD
-    partial tiles at most and sends them on when it has that many."""
-    ship(tiles.sparkSession)
+def _itself(row: dict) -> Iterator[tuple[int, int, np.ndarray]]:
+    yield row["i"], row["j"], _array(row)
+
+
+def merge(rows: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray], kernel: Callable[[dict], Iterator[tuple[int, int, np.ndarray]]] = _itself) -> DataFrame:
+    """One tile for each (i, j): an associative f over all tiles that a kernel makes of each row, first inside each
+    task. A task makes and merges them in one Python worker, holds HELD partial tiles at most and sends them on when
+    it has that many."""
+    ship(rows.sparkSession)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             for lo in range(0, b.num_rows, 16):
-                for r in b.slice(lo, 16).to_pylist():
-                    key, x = (r["i"], r["j"]), _array(r)
+                for i, j, x in (t for row in b.slice(lo, 16).to_pylist() for t in kernel(row)):
+                    key = (i, j)
                     held[key] = f(held[key], x) if key in held else x
                     if len(held) > HELD:
                         yield _batch([(*k, v) for k, v in held.items()])
                         held.clear()
         if held:
             yield _batch([(*k, v) for k, v in held.items()])
+        pa.default_memory_pool().release_unused()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sum_ = None, None
@@ -100,12 +107,13 @@ def merge(tiles: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -
                     yield _batch(done)
         if key:
             yield _batch([(*key, sum_)])
+        pa.default_memory_pool().release_unused()
 
-    return tiles.mapInArrow(partial, TILE).repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(whole, TILE)
+    return rows.mapInArrow(partial, TILE).repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(whole, TILE)
 
 
-def add_up(tiles: DataFrame) -> DataFrame:
-    return merge(tiles, lambda a, b: a + b)
+def add_up(rows: DataFrame, kernel: Callable[[dict], Iterator[tuple[int, int, np.ndarray]]] = _itself) -> DataFrame:
+    return merge(rows, lambda a, b: a + b, kernel)
 
 
 def _salts(tall: DataFrame, inner: str) -> int:
@@ -124,17 +132,17 @@ def _joined(left: DataFrame, right: DataFrame, inner: tuple[str, str], by: str)
 
 def product_nt(x: DataFrame, w: DataFrame) -> DataFrame:
     """X W^T: x is (i, j), w is (o, j)."""
-    return add_up(each(_joined(x, w, ("j", "j"), "i"), lambda r: [(r["i"], r["r_i"], _array(r) @ _array(r, "r_").T)]))
+    return add_up(_joined(x, w, ("j", "j"), "i"), lambda r: [(r["i"], r["r_i"], _array(r) @ _array(r, "r_").T)])
 
 
 def product_nn(x: DataFrame, w: DataFrame) -> DataFrame:
     """X W: x is (i, o), w is (o, j)."""
-    return add_up(each(_joined(x, w, ("j", "i"), "i"), lambda r: [(r["i"], r["r_j"], _array(r) @ _array(r, "r_"))]))
+    return add_up(_joined(x, w, ("j", "i"), "i"), lambda r: [(r["i"], r["r_j"], _array(r) @ _array(r, "r_"))])
 
 
 def product_tn(x: DataFrame, y: DataFrame) -> DataFrame:
     """X^T Y: x is (i, o), y is (i, j); the sum runs over the block rows."""
-    return add_up(each(beside(x, y, ["i"]), lambda r: [(r["j"], r["r_j"], _array(r).T @ _array(r, "r_"))]))
+    return add_up(beside(x, y, ["i"]), lambda r: [(r["j"], r["r_j"], _array(r).T @ _array(r, "r_"))])
 
 
 def from_rows(rows: DataFrame, key: str, vec: str, height: int, width: int) -> DataFrame:
@@ -171,7 +179,7 @@ def to_long(x: DataFrame, height: int, width: int) -> DataFrame:
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.to_pylist():
+            for t in (t for lo in range(0, b.num_rows, 16) for t in b.slice(lo, 16).to_pylist()):
                 v = _array(t)
                 r, c = np.indices(v.shape)
                 yield pa.RecordBatch.from_arrays([pa.array((t["i"] * height + r).ravel()), pa.array((t["j"] * width + c).ravel()), pa.array(v.ravel())], ["r", "c", "x"])

@@ -33,7 +33,7 @@ def squares(gradients: list[DataFrame]) -> float:
     all_ = gradients[0]
     for g in gradients[1:]:
         all_ = all_.unionByName(g)
-    one = tiles.add_up(tiles.each(all_, lambda r: [(0, 0, (_array(r) ** 2).sum().reshape(1, 1))])).first()
+    one = tiles.add_up(all_, lambda r: [(0, 0, (_array(r) ** 2).sum().reshape(1, 1))]).first()
     return float(_array(one.asDict())[0, 0]) if one else 0.0
 
 

@@ -176,3 +176,15 @@ def test_states_merge_in_any_order():
         for i in list(order)[1:]:
             s = tape.softmax_state(s, parts[i])
         assert np.allclose(s[:, 0] + np.log(s[:, 1]), x.max(1) + np.log(np.exp(x - x.max(1, keepdims=True)).sum(1)))
+
+
+def test_a_product_is_made_and_merged_in_one_worker(spark):
+    """Before the shuffle and after it, a task of a product has one Python worker."""
+    e = spark.range(70).select("id", F.array(*(F.col("id") * k for k in range(6))).alias("vec"))
+    x, w = tiles.from_rows(e, "id", "vec", 8, 2), tiles.from_rows(e.filter("id < 5"), "id", "vec", 8, 2)
+    made = spark.createDataFrame(x.collect(), tiles.TILE), spark.createDataFrame(w.collect(), tiles.TILE)
+    y = tiles.product_nt(*made)
+    assert y._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    v = np.array([[i * k for k in range(6)] for i in range(70)], float)
+    got = {(r.r, r.c): r.x for r in tiles.to_long(y, 8, 8).collect()}
+    assert got == {(i, o): float(v[i] @ v[o]) for i in range(70) for o in range(5)}
