@@ -153,18 +153,42 @@ def _counted(texts: pa.Table, buckets: int) -> pa.Table:
     return pa.table([pa.array(np.full(len(own), texts.column("block")[0].as_py())), pa.array(own), _binary(names, cut), _binary(np.diff(first).astype("<u4"), cut), _binary(names[before], at), _binary(ending.astype("<u2"), at), _binary(n.astype("<u4"), at)], ["block", *_MODEL])
 
 
-def _united(rows: pa.Table) -> pa.Table:
-    """Rows of a bucket as one."""
-    word = np.repeat(_all(rows, "word", "<u8"), _all(rows, "size", "<u4"))
-    before = _all(rows, "before", "<u8")
+def _steps(at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Ascending places of each row as steps from the one before; small numbers take little room."""
+    out = np.diff(at, prepend=0)
+    out[first[:-1][np.diff(first) > 0]] = at[first[:-1][np.diff(first) > 0]]
+    return out.astype("<u4")
+
+
+def _places(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The places that `_steps` were taken of, and the first of each row."""
+    steps, first = _values(rows.column(name).combine_chunks(), "<u4")
+    at = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+    return at[1:] - np.repeat(at[first[:-1]], np.diff(first)), first
+
+
+def _united(rows: pa.Table, by: str) -> pa.Table:
+    """Rows of a bucket as one (`to` -1), and for each of them (`to`: its `by`) the places of its words and entries there."""
+    words, row_words = _values(rows.column("word").combine_chunks(), "<u8")
+    word = np.repeat(words, _all(rows, "size", "<u4"))
+    before, row = _values(rows.column("before").combine_chunks(), "<u8")
     order = np.lexsort((before, word))
     word, before = word[order], before[order]
     new = np.concatenate([[True], word[1:] != word[:-1]])
-    pair = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]) | new)
+    new_pair = np.concatenate([[True], before[1:] != before[:-1]]) | new
+    pair = np.flatnonzero(new_pair)
     n = np.add.reduceat(_all(rows, "n", "<u4")[order].astype(np.int64), pair)
     at = np.flatnonzero(new[pair])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new_pair) - 1
+    names = word[pair][at]
     whole = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
-    return pa.table([rows.column("bucket")[:1].combine_chunks(), whole(word[pair][at], "<u8"), whole(np.diff(np.append(at, len(pair))), "<u4"), whole(before[pair], "<u8"), whole(_all(rows, "context", "<u2")[order][pair], "<u2"), whole(n, "<u4")], _MODEL)
+    bucket = rows.column("bucket")[0].as_py()
+    one = [pa.array([-1]), pa.array([bucket]), whole(names, "<u8"), whole(np.diff(np.append(at, len(pair))), "<u4"), whole(before[pair], "<u8"), whole(_all(rows, "context", "<u2")[order][pair], "<u2"), whole(n, "<u4")]
+    own = [rows.column(by).combine_chunks(), pa.array(np.full(rows.num_rows, bucket)), *(pa.nulls(rows.num_rows, pa.binary()) for _ in range(5))]
+    none = pa.nulls(1, pa.binary())
+    out = ["to", *_MODEL, "words_at", "entries_at"]
+    return pa.concat_tables([pa.table([*one, none, none], out), pa.table([*own, _binary(_steps(np.searchsorted(names, words), row_words), row_words), _binary(_steps(place, row), row)], out)])
 
 
 class Stirling:
@@ -311,13 +335,17 @@ class Pairs:
         self.t, self.many = np.minimum(self.c, 1), np.flatnonzero(self.c > 1)
         self.rest = np.zeros(len(self.many), np.int64)
 
+    def sent(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of several customers by the word before, and that word of each."""
+        order = np.argsort(self.before[self.many], kind="stable")
+        return order, self.before[self.many][order]
+
     def take(self, back: pa.Table) -> None:
         """Tables of the last round, and of each pair's restaurant for other words."""
-        at = _all(back, "at", "<u4")
-        self.t[at] = _all(back, "t", "<u4")
-        rest = np.zeros(len(self.c), np.int64)
-        rest[at] = _all(back, "rest", "<i8")
-        self.rest = rest[self.many]
+        if back.num_rows:
+            back, (order, _) = back.sort_by("of"), self.sent()
+            self.t[self.many[order]] = _all(back, "t", "<u4")
+            self.rest[order] = _all(back, "rest", "<i8")
 
     def customers(self) -> np.ndarray:
         return np.bincount(self.above, self.t, len(self.own)).astype(np.int64)
@@ -337,23 +365,41 @@ class Pairs:
 
 
 def _contexts(rows: pa.Table, buckets: int) -> pa.Table:
-    """Of the words before, in their own buckets: customers, and pairs of one customer."""
+    """Of the words before, in their own buckets: customers, pairs of one customer and pairs of several."""
     c = _all(rows, "n", "<u4")
     before, at = np.unique(_all(rows, "before", "<u8")[c > 0], return_inverse=True)
     own, cut = _dealt(before, buckets)
     c = c[c > 0]
-    return pa.table([pa.array(own), _binary(before, cut), _binary(np.bincount(at, c, len(before)).astype("<i8"), cut), _binary(np.bincount(at, c == 1, len(before)).astype("<i8"), cut)], ["bucket", "word", "c", "single"])
+    sums = [_binary(np.bincount(at, x, len(before)).astype("<i8"), cut) for x in (c == 1, c > 1)]
+    return pa.table([pa.array(own), pa.array(np.full(len(own), rows.column("bucket")[0].as_py())), _binary(before, cut), *sums], ["bucket", "home", "word", "single", "several"])
 
 
 def _contexts_united(rows: pa.Table) -> pa.Table:
-    word, at = np.unique(_all(rows, "word", "<u8"), return_inverse=True)
-    sums = [np.bincount(at, _all(rows, x, "<i8"), len(word)).astype("<i8") for x in ("c", "single")]
-    return pa.table([rows.column("bucket")[:1].combine_chunks(), *(pa.array([x.tobytes()], pa.binary()) for x in (word, *sums))], ["bucket", "word", "c", "single"])
+    """Pairs of one customer of the bucket's training words (`home` -1), and for each bucket with pairs of several the places
+    of their words before, and how many there are of each."""
+    given, row = _values(rows.column("word").combine_chunks(), "<u8")
+    word, at = np.unique(given, return_inverse=True)
+    several = _all(rows, "several", "<i8")
+    some = several > 0
+    first = np.searchsorted(np.flatnonzero(some), row)
+    full = np.diff(first) > 0
+    first = np.append(first[:-1][full], first[-1])
+    single = np.bincount(at, _all(rows, "single", "<i8"), len(word)).astype("<i8")
+    bucket, none = rows.column("bucket")[0].as_py(), pa.nulls(1, pa.binary())
+    names = ["bucket", "home", "single", "at", "several"]
+    one = pa.table([pa.array([bucket]), pa.array([-1]), pa.array([single.tobytes()], pa.binary()), none, none], names)
+    home = rows.column("home").to_numpy()[full]
+    routes = pa.table([pa.array(np.full(len(home), bucket)), pa.array(home), pa.nulls(len(home), pa.binary()), _binary(_steps(at[some], first), first), _binary(several[some].astype("<u4"), first)], names)
+    return pa.concat_tables([one, routes])
+
+
+def _homes(contexts: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    home = contexts.column("home").to_numpy()
+    return _all(contexts.filter(pa.array(home < 0)), "single", "<i8"), contexts.filter(pa.array(home >= 0)).sort_by("home")
 
 
 def _round(rows: pa.Table, back: pa.Table | None, held, turn: int, sweeps: int, buckets: int) -> pa.Table:
-    """Tables of pairs of several customers, sent to the buckets of the words before (`home` and `at` say where from);
-    and one row of sums: tables by ending, by parent and of the root, customers by ending, words, tokens."""
+    """Tables of pairs of several customers, sent to the buckets of the words before (`home` says where from); and one row of sums: tables by ending, by parent and of the root, customers by ending, words, tokens."""
     g, s = held.value
     bucket, x = rows.column("bucket")[0].as_py(), Pairs(rows)
     if back is not None:
@@ -364,35 +410,32 @@ def _round(rows: pa.Table, back: pa.Table | None, held, turn: int, sweeps: int,
         x.sweep(g, s, rng)
     y = x.seats
     sums = np.concatenate([np.bincount(y.context, y.t2, CONTEXTS), np.bincount(y.parent, y.t1, GROUPS), [y.t0.sum()], np.bincount(y.context, y.c2, CONTEXTS), [(y.c0 > 0).sum(), x.c.sum()]]).astype(np.int64)
-    many = x.many[np.argsort(x.before[x.many], kind="stable")]
-    own, cut = _dealt(x.before[many], buckets)
-    sent = pa.table([pa.array(own), pa.array(np.full(len(own), bucket)), _binary(x.before[many], cut), _binary(many.astype("<u4"), cut), _binary(x.t[many].astype("<u4"), cut), pa.nulls(len(own), pa.list_(pa.int64()))], ["bucket", "home", "word", "at", "t", "sums"])
+    order, before = x.sent()
+    own, cut = _dealt(before, buckets)
+    sent = pa.table([pa.array(own), pa.array(np.full(len(own), bucket)), _binary(x.t[x.many[order]].astype("<u4"), cut), pa.nulls(len(own), pa.list_(pa.int64()))], ["bucket", "home", "t", "sums"])
     none = pa.nulls(1, pa.binary())
     release()
-    return pa.concat_tables([sent, pa.table([pa.array([-1]), pa.array([bucket]), none, none, none, pa.array([sums.tolist()], pa.list_(pa.int64()))], sent.column_names)])
+    return pa.concat_tables([sent, pa.table([pa.array([-1]), pa.array([bucket]), none, pa.array([sums.tolist()], pa.list_(pa.int64()))], sent.column_names)])
 
 
 def _rested(contexts: pa.Table, sent: pa.Table) -> pa.Table:
     """The tables sent, and those of their restaurants for other words, back to where they came from."""
     if not sent.num_rows:
-        return pa.table({"bucket": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("at", "t", "rest")}})
-    word, total = _all(contexts, "word", "<u8"), _all(contexts, "single", "<i8")
+        return pa.table({"bucket": pa.array([], pa.int64()), "of": pa.array([], pa.int64()), "t": pa.array([], pa.binary()), "rest": pa.array([], pa.binary())})
+    single, routes = _homes(contexts)
+    sent = sent.sort_by("home")
     t, first = _values(sent.column("t").combine_chunks(), "<u4")
-    at = np.searchsorted(word, _all(sent, "word", "<u8"))
-    total = total + np.bincount(at, t, len(word)).astype(np.int64)
-    return pa.table([sent.column("home"), sent.column("at"), sent.column("t"), _binary(total[at] - t, first)], ["bucket", "at", "t", "rest"])
-
-
-_FINAL = "bucket long, kind int, word binary, size binary, before binary, a binary, p binary, n binary"
+    at = np.repeat(_places(routes, "at")[0], _all(routes, "several", "<u4"))
+    total = single + np.bincount(at, t, len(single)).astype(np.int64)
+    return pa.table([sent.column("home"), sent.column("bucket"), sent.column("t"), _binary(total[at] - t, first)], ["bucket", "of", "t", "rest"])
 
 
-def _final(kind: int, own: np.ndarray, *cols: pa.Array | None) -> pa.Table:
-    return pa.table([pa.array(own), pa.array(np.full(len(own), kind, np.int32)), *(pa.nulls(len(own), pa.binary()) if c is None else c for c in cols)], ["bucket", "kind", "word", "size", "before", "a", "p", "n"])
+_FINAL = "bucket long, home long, a binary, p binary, n binary"
 
 
 def _predicted(rows: pa.Table, back: pa.Table, held, turn: int, buckets: int) -> pa.Table:
-    """Means of the samples kept: of each pair its discounted customers and its probability by ending (kind 0), and the
-    tables of pairs of several customers, summed by the word before in that word's bucket (kind 1)."""
+    """Means of the samples kept: of each pair its discounted customers and its probability by ending (`home` -1), and
+    the tables of pairs of several customers, summed by the word before, for that word's bucket."""
     g, s = held.value
     bucket, x = rows.column("bucket")[0].as_py(), Pairs(rows)
     x.take(back)
@@ -407,61 +450,61 @@ def _predicted(rows: pa.Table, back: pa.Table, held, turn: int, buckets: int) ->
         t += x.t
     p, t = p / KEPT, t / KEPT
     whole = lambda v, kind: pa.array([v.astype(kind).tobytes()], pa.binary())
-    answer = _final(0, np.array([bucket]), whole(x.words, "<u8"), whole(np.diff(x.first), "<u4"), whole(x.before, "<u8"), whole(x.c - DISCOUNT * t, "<f4"), whole(p[x.above], "<f4"), whole(np.add.reduceat(x.c, x.first[:-1]), "<i8"))
-    before, at = np.unique(x.before[x.many], return_inverse=True)
+    one = pa.table([pa.array([bucket]), pa.array([-1]), whole(x.c - DISCOUNT * t, "<f4"), whole(p[x.above], "<f4"), whole(np.add.reduceat(x.c, x.first[:-1]), "<i8")], ["bucket", "home", "a", "p", "n"])
+    order, before = x.sent()
+    before, at = np.unique(before, return_inverse=True)
     own, cut = _dealt(before, buckets)
+    none = pa.nulls(len(own), pa.binary())
+    sent = pa.table([pa.array(own), pa.array(np.full(len(own), bucket)), _binary(np.bincount(at, t[x.many[order]], len(before)), cut), none, none], one.column_names)
     release()
-    return pa.concat_tables([answer, _final(1, own, _binary(before, cut), None, None, _binary(np.bincount(at, t[x.many], len(before)), cut), None, None)])
+    return pa.concat_tables([one, sent])
 
 
 def _informed(contexts: pa.Table, sent: pa.Table) -> pa.Table:
-    """Tables and customers of the words' restaurants (kind 2)."""
-    word = _all(contexts, "word", "<u8")
-    t = _all(contexts, "single", "<i8") + np.bincount(np.searchsorted(word, _all(sent, "word", "<u8")), _all(sent, "a", "<f8"), len(word))
-    own = contexts.column("bucket")[:1].to_numpy()
-    return _final(2, own, pa.array([word.tobytes()], pa.binary()), None, None, pa.array([t.astype("<f8").tobytes()], pa.binary()), None, pa.array([_all(contexts, "c", "<i8").tobytes()], pa.binary()))
-
-
-def _answered(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """For each row asked, in its order: of its words the training tokens, and tables and customers of their restaurants; of
-    its entries the discounted customers and the probability by ending."""
-    kind = known.column("kind").to_numpy()
-    pairs, contexts = known.filter(pa.array(kind == 0)), known.filter(pa.array(kind == 2))
-    words, before = _all(pairs, "word", "<u8"), _all(pairs, "before", "<u8")
-    names = np.unique(before)
-    key = lambda word, size, prior: np.repeat(np.searchsorted(words, word), size) * len(names) + np.searchsorted(names, prior)
-    have = key(words, _all(pairs, "size", "<u4"), before)
-    word, first = _values(asked.column("word").combine_chunks(), "<u8")
-    prior, entry = _values(asked.column("before").combine_chunks(), "<u8")
-    at = np.searchsorted(have, key(word, _all(asked, "size", "<u4"), prior))
-    context = _all(contexts, "word", "<u8")
-    place = np.searchsorted(context, word)
-    if len(context):
-        seen = context[np.minimum(place, len(context) - 1)] == word
-    else:
-        seen = np.zeros(len(word), bool)
-    t, c = np.zeros(len(word), "<f4"), np.zeros(len(word), "<i8")
-    t[seen], c[seen] = _all(contexts, "a", "<f8")[place[seen]], _all(contexts, "n", "<i8")[place[seen]]
-    n = _all(pairs, "n", "<i8")[np.searchsorted(words, word)]
+    """Tables of the training words' restaurants (`home` -2)."""
+    single, routes = _homes(contexts)
+    t = single.astype(float)
+    if sent.num_rows:
+        t += np.bincount(_places(routes, "at")[0], _all(sent.sort_by("home"), "a", "<f8"), len(t))
+    none = pa.nulls(1, pa.binary())
+    return pa.table([contexts.column("bucket")[:1].combine_chunks(), pa.array([-2]), pa.array([t.astype("<f4").tobytes()], pa.binary()), none, none], ["bucket", "home", "a", "p", "n"])
+
+
+def _known(rows: pa.Table) -> pa.Table:
+    """A bucket's answers: of its words the training tokens (as many customers have their restaurants) and the tables of
+    their restaurants; of its entries the discounted customers and the probability by ending."""
+    home = rows.column("home").to_numpy()
+    pairs = rows.filter(pa.array(home == -1))
+    n = _all(pairs, "n", "<i8")
+    t = np.zeros(len(n), "<f4")
+    t[n > 0] = _all(rows.filter(pa.array(home == -2)), "a", "<f4")  # every training token comes before another one
+    return pa.table([*(pairs.column(c) for c in ("bucket", "n")), pa.array([t.tobytes()], pa.binary()), *(pairs.column(c) for c in ("a", "p"))], ["bucket", "n", "t", "a", "p"])
+
+
+def _answered(routes: pa.Table, known: pa.Table) -> pa.Table:
+    """For each row that was united, in its order, what is known of its words and entries."""
+    word, first = _places(routes, "words_at")
+    entry, row = _places(routes, "entries_at")
+    cols = [_binary(_all(known, c, k)[at], f) for c, k, at, f in (("n", "<i8", word, first), ("t", "<f4", word, first), ("a", "<f4", entry, row), ("p", "<f4", entry, row))]
     release()
-    return pa.table([asked.column("block"), asked.column("bucket"), _binary(n, first), _binary(t, first), _binary(c, first), _binary(_all(pairs, "a", "<f4")[at], entry), _binary(_all(pairs, "p", "<f4")[at], entry)], ["block", "bucket", "n", "t", "c", "a", "p"])
+    return pa.table([routes.column("to"), routes.column("bucket"), *cols], ["to", "bucket", "n", "t", "a", "p"])
 
 
 def _scored(texts: pa.Table, answers: pa.Table, train: int, words: int) -> pa.Table:
     """The rows of one block with their scores."""
     answers = answers.sort_by("bucket")  # as the block's own entries lie
-    n, t, c = (_all(answers, x, k) for x, k in (("n", "<i8"), ("t", "<f4"), ("c", "<i8")))
+    n, t = _all(answers, "n", "<i8"), _all(answers, "t", "<f4")
     doc, token, context = _block_tokens(*buffers(texts.column("text")))
     _, own_first, before, _, entry = _entries(token, context)
     size = texts.num_rows
     del token, context
-    logs = np.log10((_all(answers, "a", "<f4") + (STRENGTH + DISCOUNT * t[before].astype(float)) * _all(answers, "p", "<f4")) / (STRENGTH + c[before]))
+    logs = np.log10((_all(answers, "a", "<f4") + (STRENGTH + DISCOUNT * t[before].astype(float)) * _all(answers, "p", "<f4")) / (STRENGTH + n[before]))
     at = np.searchsorted(own_first, entry, "right") - 1  # the token's word
     total = lambda x: np.bincount(doc, x, size)
     base = np.log10((n + 0.1) / (train + 0.1 * (words + 1))) if words else np.zeros(len(n))
     whole = lambda x: pa.array(x.astype(np.int64))
     out = pa.table([texts.column("doc_id"), texts.column("held_out"), whole(np.bincount(doc, minlength=size)), whole(total(n[at] > 0)), pa.array(np.full(size, train)), pa.array(total(base[at])), pa.array(total(logs[entry]))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-    del doc, entry, at, n, t, c, logs, before
+    del doc, entry, at, n, t, logs, before
     release()
     return out
 
@@ -485,20 +528,26 @@ def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 10 =
     count = blocks.select("block").distinct().count()
     salts, buckets = 1 + count // TOGETHER, max(parts, count)
     counted = blocks.select("block", "learn", "text").groupBy("block").applyInArrow(lambda t: _counted(t, buckets), f"block long, {_FIELDS}")
-    asked = placed(counted.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts))).repartition(parts, "bucket", "salt"), "asked", "bucket", "salt")
-    united = asked.groupBy("bucket", "salt").applyInArrow(_united, _FIELDS)
+    salted = counted.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)))
+    fields = f"to long, {_FIELDS}, words_at binary, entries_at binary"
+    united = salted.groupBy("bucket", "salt").applyInArrow(lambda key, t: _united(t, "block").append_column("salt", pa.array(np.full(t.num_rows + 1, key[1].as_py()))), f"{fields}, salt long")
+    united = placed(united, "blocks_united", "bucket")
+    routes = united.filter("to >= 0").select("to", "bucket", "salt", "words_at", "entries_at")
     if salts > 1:
-        united = united.groupBy("bucket").applyInArrow(_united, _FIELDS)
-    model = placed(united, "pairs", "bucket")
-    fields = "bucket long, word binary, c binary, single binary"
-    contexts = placed(model.groupBy("bucket").applyInArrow(lambda t: _contexts(t, buckets), fields).groupBy("bucket").applyInArrow(_contexts_united, fields), "contexts", "bucket")
+        again = placed(united.filter("to < 0").select("salt", *_MODEL).groupBy("bucket").applyInArrow(lambda t: _united(t, "salt"), fields), "salts_united", "bucket")
+    else:
+        again = united
+    model = again.filter("to < 0").select(*_MODEL)
+    fields = "bucket long, home long, word binary, single binary, several binary"
+    contexts = model.groupBy("bucket").applyInArrow(lambda t: _contexts(t, buckets), fields).groupBy("bucket").applyInArrow(_contexts_united, "bucket long, home long, single binary, at binary, several binary")
+    contexts = placed(contexts, "contexts", "bucket")
     g, s = Totals(np.zeros(CONTEXTS, np.int64), np.zeros(GROUPS, np.int64), 0, np.zeros(CONTEXTS, np.int64), 0), Stirling()
     train, back, sent = 0, None, None
     first_round = lambda held: lambda rows: _round(rows, None, held, 0, 0, buckets)
     later_round = lambda held, turn: lambda rows, back: _round(rows, back, held, turn, SWEEPS, buckets)
     for turn in range(ROUNDS + 1):  # the first counts one table for each entry
         held = spark.sparkContext.broadcast((g, s))
-        fields = "bucket long, home long, word binary, at binary, t binary, sums array<long>"
+        fields = "bucket long, home long, t binary, sums array<long>"
         if back is None:
             seated = model.groupBy("bucket").applyInArrow(first_round(held), fields)
         else:
@@ -512,13 +561,20 @@ def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 10 =
             x[r.slot] = r.n
         a, b = CONTEXTS, CONTEXTS + GROUPS
         g, train = Totals(x[:a], x[a:b], int(x[b]), x[b + 1 : -2], int(x[-2])), int(x[-1])
-        back = contexts.groupBy("bucket").cogroup(sent.filter("bucket >= 0").groupBy("bucket")).applyInArrow(_rested, "bucket long, at binary, t binary, rest binary")
+        back = contexts.groupBy("bucket").cogroup(sent.filter("bucket >= 0").groupBy("bucket")).applyInArrow(_rested, "bucket long, of long, t binary, rest binary")
     held = spark.sparkContext.broadcast((g, s))
     final = work.save(model.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(lambda t, b: _predicted(t, b, held, ROUNDS + 1, buckets), _FINAL), "predicted")
     work.drop(sent)
-    info = contexts.groupBy("bucket").cogroup(final.filter("kind = 1").groupBy("bucket")).applyInArrow(_informed, _FINAL)
-    known = final.filter("kind = 0").unionByName(info).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    answers = asked.groupBy("bucket", "salt").cogroup(known.groupBy("bucket", "salt")).applyInArrow(_answered, "block long, bucket long, n binary, t binary, c binary, a binary, p binary")
+    info = contexts.groupBy("bucket").cogroup(final.filter("home >= 0").groupBy("bucket")).applyInArrow(_informed, _FINAL)
+    fields = "n binary, t binary, a binary, p binary"
+    known = final.filter("home < 0").unionByName(info).groupBy("bucket").applyInArrow(_known, f"bucket long, {fields}")
+    fields = f"to long, bucket long, {fields}"
+    if salts > 1:
+        known = again.filter("to >= 0").select("to", "bucket", "words_at", "entries_at").groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answered, fields).withColumnRenamed("to", "salt")
+        answers = routes.groupBy("bucket", "salt").cogroup(known.groupBy("bucket", "salt")).applyInArrow(_answered, fields)
+    else:
+        answers = routes.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answered, fields)
+    answers = answers.withColumnRenamed("to", "block")
     words = g.words
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     result = blocks.select("block", "doc_id", "held_out", "learn", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda left, right: _scored(left, right, train, words), out)
