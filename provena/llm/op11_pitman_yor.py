@@ -418,6 +418,14 @@ def _round(rows: pa.Table, back: pa.Table | None, held, turn: int, sweeps: int,
     return pa.concat_tables([sent, pa.table([pa.array([-1]), pa.array([bucket]), none, pa.array([sums.tolist()], pa.list_(pa.int64()))], sent.column_names)])
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of a task's sums."""
+    total = np.zeros(2 * CONTEXTS + GROUPS + 3, np.int64)
+    for batch in batches:
+        total += batch.column(0).flatten().to_numpy().reshape(-1, len(total)).sum(0)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["sums"])
+
+
 def _rested(contexts: pa.Table, sent: pa.Table) -> pa.Table:
     """The tables sent, and those of their restaurants for other words, back to where they came from."""
     if not sent.num_rows:
@@ -555,10 +563,8 @@ def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 10 =
         last, sent = sent, work.save(seated, "tables")
         if last is not None:
             work.drop(last)
-        sums = sent.filter("bucket < 0").select(F.posexplode("sums").alias("slot", "n")).groupBy("slot").agg(F.sum("n").alias("n")).collect()  # one row for each restaurant above the words'
-        x = np.zeros(2 * CONTEXTS + GROUPS + 3, np.int64)
-        for r in sums:
-            x[r.slot] = r.n
+        sums = sent.filter("bucket < 0").select("sums").mapInArrow(_added, "sums array<long>").collect()  # one row for each task
+        x = np.sum([r.sums for r in sums] or [np.zeros(2 * CONTEXTS + GROUPS + 3)], axis=0).astype(np.int64)
         a, b = CONTEXTS, CONTEXTS + GROUPS
         g, train = Totals(x[:a], x[a:b], int(x[b]), x[b + 1 : -2], int(x[-2])), int(x[-1])
         back = contexts.groupBy("bucket").cogroup(sent.filter("bucket >= 0").groupBy("bucket")).applyInArrow(_rested, "bucket long, of long, t binary, rest binary")
