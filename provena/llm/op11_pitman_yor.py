@@ -14,16 +14,20 @@ from every restaurant, so words are sampled independently given the restaurants'
 the root (1,024 + 32 + 1 numbers) are summed after each round and given to all. Those of the words' restaurants,
 as many as there are words, are summed in the bucket of the word that names them: each round sends the tables of
 pairs with two customers or more there, and brings the sums back (a pair of one customer has one table).
-Counts, tables and answers travel as arrays, one row for each bucket and block or bucket and bucket. Texts are
-written once, in blocks, so that scoring brings the answers to the texts and does not move the texts again.
+Counts, tables and answers travel as compressed arrays, one row for each bucket and block or bucket and bucket; the words
+before are listed once in such a row. Texts are written once, in blocks, so that scoring brings the answers to the
+texts and does not move the texts again; it takes the blocks in turns, so that the answers of one turn lie on disk at a
+time. With many blocks, a bucket's rows are united in groups of blocks first (salts, each of one turn), then the groups'.
 
-Words are told apart by 64-bit hashes. Defined results: null and empty texts are one end token; rows without
+Words are told apart by 64 bits: 54 of their hash, and the ten that name their ending. Defined results: null and empty texts are one end token; rows without
 an id are not learned from and count as not held out; repeated rows count each; without training texts
 every token has probability 1; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -39,11 +43,12 @@ from .bytes_ import Words, buffers, release, slices
 #: Rounds of sweeps between which totals are exchanged, sweeps of a round, and samples that are averaged.
 ROUNDS, SWEEPS, KEPT = 3, 2, 3
 DISCOUNT, STRENGTH, SEED = 0.8, 1.0, 17
-#: Bytes of a block's texts, blocks that count a word together, and customers with exact Stirling numbers.
-BLOCK, TOGETHER, EXACT = 16 << 20, 256, 2048
+#: Bytes of a block's texts, blocks that count a word together, turns of scoring, and customers with exact Stirling numbers.
+BLOCK, TOGETHER, TURNS, EXACT = 16 << 20, 256, 4, 2048
 GROUPS = 32
 CONTEXTS = GROUPS * GROUPS
-_END = 1
+_END = CONTEXTS - 1  # of no letters
+_ZSTD = pa.Codec("zstd", 1)
 
 
 def _groups() -> np.ndarray:
@@ -56,48 +61,46 @@ def _groups() -> np.ndarray:
 
 
 _GROUP, _NONE = _groups(), 31
-_MODEL = ["bucket", "word", "size", "before", "context", "n"]
-_FIELDS = "bucket long, word binary, size binary, before binary, context binary, n binary"
+_MODEL = ["bucket", "word", "size", "prior", "before", "n"]
+_FIELDS = "bucket long, word binary, size binary, prior binary, before binary, n binary"
 
 
-def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token (words, then the end): its text, word hash and context."""
+def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token (words, then the end): its text and its word, the ending in the word's last bits."""
     words = Words(buf, off)
     count = words.counts
     doc = np.repeat(np.arange(len(count)), count + 1)
     word = np.full(len(doc), _END, np.uint64)
-    ends = np.cumsum(count + 1) - 1  # places of the end tokens
     is_word = np.ones(len(doc), bool)
-    is_word[ends] = False
-    word[is_word] = words.hashes(fold=True)
+    is_word[np.cumsum(count + 1) - 1] = False  # places of the end tokens
     last = _GROUP[buf[words.ends - 1]]
     before = np.where(words.ends - words.starts > 1, _GROUP[buf[np.maximum(words.ends - 2, 0)]], _NONE)
-    own = np.full(len(doc), _NONE * GROUPS + _NONE)
-    own[is_word] = last * GROUPS + before
-    context = np.full(len(doc), _NONE * GROUPS + _NONE)
-    context[1:] = own[:-1]
-    context[ends[:-1] + 1] = _NONE * GROUPS + _NONE
-    return doc, word, context
+    word[is_word] = words.hashes(fold=True) & ~np.uint64(CONTEXTS - 1) | (last * GROUPS + before).astype(np.uint64)
+    return doc, word
 
 
-def _block_tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _ending(word: np.ndarray) -> np.ndarray:
+    return (word & np.uint64(CONTEXTS - 1)).astype(np.int64)
+
+
+def _block_tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """`tokens` of a block, a megabyte of texts at a time."""
     parts, lo = [], 0
     while lo < len(off) - 1:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + (1 << 20), "right")) - 1)
-        doc, word, context = tokens(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-        parts.append((doc.astype(np.int32) + np.int32(lo), word, context.astype(np.int16)))
+        doc, word = tokens(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        parts.append((doc.astype(np.int32) + np.int32(lo), word))
         lo = hi
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _entries(word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, ...]:
+def _entries(word: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct words, the first entry of each, of all entries (by word, then word before) the place of the word before
-    among the words and its ending, and each token's entry."""
+    among the words, and each token's entry."""
     names, number = np.unique(word, return_inverse=True)
     before = np.concatenate([np.searchsorted(names, np.array([_END], np.uint64)), number[:-1]])  # texts begin after an end
-    pair, at, entry = np.unique(number * len(names) + before, return_index=True, return_inverse=True)
-    return names, np.searchsorted(pair, np.arange(len(names) + 1) * len(names)), pair % len(names), context[at], entry.astype(np.int32)
+    pair, entry = np.unique(number * len(names) + before, return_inverse=True)
+    return names, np.searchsorted(pair, np.arange(len(names) + 1) * len(names)), pair % len(names), entry.astype(np.int32)
 
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,20 +114,36 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, block)), *batch.columns], ["block", *batch.schema.names])
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """How many values, then the first bytes of all, the second bytes of all and so on, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return len(values).to_bytes(4, "little") + _ZSTD.compress(planes.tobytes(), asbytes=True) if len(values) else b""
+
+
+def _whole(values: np.ndarray, kind: str) -> pa.Array:
+    return pa.array([_packed(values.astype(kind))], pa.binary())
+
+
 def _binary(values: np.ndarray, first: np.ndarray) -> pa.Array:
-    """Runs of `values` that begin at `first`, as bytes."""
-    off = (first * values.itemsize).astype(np.int64)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+    """Runs of `values` that begin at `first`, each packed."""
+    return pa.array([_packed(values[a:b]) for a, b in itertools.pairwise(first.tolist())], pa.binary())
 
 
 def _values(col: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a column of bytes, and the first of each row."""
-    raw, off = np.frombuffer(col.buffers()[2] or b"", np.uint8), np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-    return raw[off[0] : off[-1]].view(kind), (off - off[0]) // np.dtype(kind).itemsize
+    """All values of a column of packed runs, and the first of each row."""
+    raw, off = col.buffers()[2], np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].tolist()
+    sizes = [int.from_bytes(raw[a : a + 4], "little") if b > a else 0 for a, b in itertools.pairwise(off)]
+    first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    out = np.empty(first[-1], kind)
+    rows = out.view(np.uint8).reshape(len(out), out.itemsize)
+    for a, b, lo, n in zip(off, off[1:], first.tolist(), sizes, strict=False):
+        if n:
+            rows[lo : lo + n] = np.frombuffer(_ZSTD.decompress(raw.slice(a + 4, b - a - 4), n * out.itemsize), np.uint8).reshape(out.itemsize, n).T
+    return out, first
 
 
 def _all(rows: pa.Table, name: str, kind: str) -> np.ndarray:
-    """The values of a column of bytes, of all rows."""
+    """The values of a column of packed runs, of all rows."""
     return _values(rows.column(name).combine_chunks(), kind)[0] if rows.num_rows else np.zeros(0, kind)
 
 
@@ -139,56 +158,67 @@ def _dealt(word: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return own[first], np.append(first, len(own))
 
 
+def _steps(at: np.ndarray, first: np.ndarray, kind: str = "<u4") -> np.ndarray:
+    """Ascending values of each row as steps from the one before; small numbers take little room."""
+    out = np.diff(at, prepend=at.dtype.type(0))
+    out[first[:-1][np.diff(first) > 0]] = at[first[:-1][np.diff(first) > 0]]
+    return out.astype(kind)
+
+
+def _places(rows: pa.Table, name: str, kind: str = "<u4") -> tuple[np.ndarray, np.ndarray]:
+    """The values that `_steps` were taken of, and the first of each row."""
+    steps, first = _values(rows.column(name).combine_chunks(), kind)
+    at = np.zeros(len(steps) + 1, np.uint64 if kind == "<u8" else np.int64)
+    np.cumsum(steps, dtype=at.dtype, out=at[1:])  # of words modulo 2^64, as the difference below
+    return at[1:] - np.repeat(at[first[:-1]], np.diff(first)), first
+
+
+def _listed(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of each run, the first of each, and of each value its place among those of its run."""
+    runs = [np.unique(values[a:b], return_inverse=True) for a, b in itertools.pairwise(first.tolist())]
+    return np.concatenate([x for x, _ in runs]), np.cumsum([0, *(len(x) for x, _ in runs)]), np.concatenate([at for _, at in runs])
+
+
 def _counted(texts: pa.Table, buckets: int) -> pa.Table:
-    """A row for each bucket: the block's words with their numbers of entries; of each entry the word before, its
-    ending and the customers from training texts."""
-    doc, word, context = _block_tokens(*buffers(texts.column("text")))
+    """A row for each bucket: the block's words with their numbers of entries; the distinct words before; of each entry the
+    place among these and the customers from training texts."""
+    doc, word = _block_tokens(*buffers(texts.column("text")))
     learn = texts.column("learn").to_numpy()
-    names, first, before, ending, entry = _entries(word, context)
+    names, first, before, entry = _entries(word)
     n = np.bincount(entry[learn[doc]], minlength=len(before))
-    del doc, word, context, entry
+    del doc, word, entry
     own, cut = _dealt(names, buckets)
     at = first[cut]
+    prior, prior_first, place = _listed(before, at)
+    out = [pa.array(np.full(len(own), texts.column("block")[0].as_py())), pa.array(own), _binary(_steps(names, cut, "<u8"), cut), _binary(np.diff(first).astype("<u4"), cut), _binary(_steps(names[prior], prior_first, "<u8"), prior_first), _binary(place.astype("<u4"), at), _binary(n.astype("<u4"), at)]
     release()
-    return pa.table([pa.array(np.full(len(own), texts.column("block")[0].as_py())), pa.array(own), _binary(names, cut), _binary(np.diff(first).astype("<u4"), cut), _binary(names[before], at), _binary(ending.astype("<u2"), at), _binary(n.astype("<u4"), at)], ["block", *_MODEL])
-
-
-def _steps(at: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Ascending places of each row as steps from the one before; small numbers take little room."""
-    out = np.diff(at, prepend=0)
-    out[first[:-1][np.diff(first) > 0]] = at[first[:-1][np.diff(first) > 0]]
-    return out.astype("<u4")
-
-
-def _places(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """The places that `_steps` were taken of, and the first of each row."""
-    steps, first = _values(rows.column(name).combine_chunks(), "<u4")
-    at = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
-    return at[1:] - np.repeat(at[first[:-1]], np.diff(first)), first
+    return pa.table(out, ["block", *_MODEL])
 
 
 def _united(rows: pa.Table, by: str) -> pa.Table:
     """Rows of a bucket as one (`to` -1), and for each of them (`to`: its `by`) the places of its words and entries there."""
-    words, row_words = _values(rows.column("word").combine_chunks(), "<u8")
-    word = np.repeat(words, _all(rows, "size", "<u4"))
-    before, row = _values(rows.column("before").combine_chunks(), "<u8")
-    order = np.lexsort((before, word))
-    word, before = word[order], before[order]
-    new = np.concatenate([[True], word[1:] != word[:-1]])
-    new_pair = np.concatenate([[True], before[1:] != before[:-1]]) | new
-    pair = np.flatnonzero(new_pair)
-    n = np.add.reduceat(_all(rows, "n", "<u4")[order].astype(np.int64), pair)
-    at = np.flatnonzero(new[pair])
+    words, row_words = _places(rows, "word", "<u8")
+    names, number = np.unique(words, return_inverse=True)
+    prior, row_prior = _places(rows, "prior", "<u8")
+    prior, listed = np.unique(prior, return_inverse=True)
+    before, row = _values(rows.column("before").combine_chunks(), "<u4")
+    before = listed[before + np.repeat(row_prior[:-1], np.diff(row))]
+    key = np.repeat(number, _all(rows, "size", "<u4")) * len(prior) + before
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    at = np.flatnonzero(new)
+    n = np.add.reduceat(_all(rows, "n", "<u4")[order].astype(np.int64), at)
     place = np.empty(len(order), np.int64)
-    place[order] = np.cumsum(new_pair) - 1
-    names = word[pair][at]
-    whole = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
+    place[order] = np.cumsum(new) - 1
+    size = np.bincount(key[at] // len(prior), minlength=len(names))
     bucket = rows.column("bucket")[0].as_py()
-    one = [pa.array([-1]), pa.array([bucket]), whole(names, "<u8"), whole(np.diff(np.append(at, len(pair))), "<u4"), whole(before[pair], "<u8"), whole(_all(rows, "context", "<u2")[order][pair], "<u2"), whole(n, "<u4")]
+    whole = lambda x: _whole(_steps(x, np.array([0, len(x)]), "<u8"), "<u8")
+    one = [pa.array([-1]), pa.array([bucket]), whole(names), _whole(size, "<u4"), whole(prior), _whole(key[at] % len(prior), "<u4"), _whole(n, "<u4")]
     own = [rows.column(by).combine_chunks(), pa.array(np.full(rows.num_rows, bucket)), *(pa.nulls(rows.num_rows, pa.binary()) for _ in range(5))]
     none = pa.nulls(1, pa.binary())
     out = ["to", *_MODEL, "words_at", "entries_at"]
-    return pa.concat_tables([pa.table([*one, none, none], out), pa.table([*own, _binary(_steps(np.searchsorted(names, words), row_words), row_words), _binary(_steps(place, row), row)], out)])
+    return pa.concat_tables([pa.table([*one, none, none], out), pa.table([*own, _binary(_steps(number, row_words), row_words), _binary(_steps(place, row), row)], out)])
 
 
 class Stirling:
@@ -326,17 +356,18 @@ class Pairs:
     """Customers and tables of a bucket's words in the words' restaurants, above them the seating of the endings."""
 
     def __init__(self, rows: pa.Table):
-        self.words, size = _all(rows, "word", "<u8"), _all(rows, "size", "<u4")
-        self.before, self.c = _all(rows, "before", "<u8"), _all(rows, "n", "<u4").astype(np.int64)
+        self.words, size = _places(rows, "word", "<u8")[0], _all(rows, "size", "<u4")
+        self.prior, self.before = _places(rows, "prior", "<u8")[0], _all(rows, "before", "<u4").astype(np.int64)
+        self.c = _all(rows, "n", "<u4").astype(np.int64)
         word = np.repeat(np.arange(len(self.words)), size)
         self.first = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        key, self.above = np.unique(word * CONTEXTS + _all(rows, "context", "<u2"), return_inverse=True)
+        key, self.above = np.unique(word * CONTEXTS + _ending(self.prior)[self.before], return_inverse=True)
         self.own, self.own_first = key % CONTEXTS, np.searchsorted(key, np.arange(len(self.words) + 1) * CONTEXTS)
         self.t, self.many = np.minimum(self.c, 1), np.flatnonzero(self.c > 1)
         self.rest = np.zeros(len(self.many), np.int64)
 
     def sent(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of several customers by the word before, and that word of each."""
+        """Pairs of several customers by the word before, and that word's place of each."""
         order = np.argsort(self.before[self.many], kind="stable")
         return order, self.before[self.many][order]
 
@@ -366,28 +397,27 @@ class Pairs:
 
 def _contexts(rows: pa.Table, buckets: int) -> pa.Table:
     """Of the words before, in their own buckets: customers, pairs of one customer and pairs of several."""
-    c = _all(rows, "n", "<u4")
-    before, at = np.unique(_all(rows, "before", "<u8")[c > 0], return_inverse=True)
-    own, cut = _dealt(before, buckets)
-    c = c[c > 0]
-    sums = [_binary(np.bincount(at, x, len(before)).astype("<i8"), cut) for x in (c == 1, c > 1)]
-    return pa.table([pa.array(own), pa.array(np.full(len(own), rows.column("bucket")[0].as_py())), _binary(before, cut), *sums], ["bucket", "home", "word", "single", "several"])
+    c, at, before = _all(rows, "n", "<u4"), _all(rows, "before", "<u4"), _places(rows, "prior", "<u8")[0]
+    some = np.bincount(at, c > 0, len(before)) > 0
+    own, cut = _dealt(before[some], buckets)
+    sums = [_binary(np.bincount(at, x, len(before))[some].astype("<i8"), cut) for x in (c == 1, c > 1)]
+    return pa.table([pa.array(own), pa.array(np.full(len(own), rows.column("bucket")[0].as_py())), _binary(_steps(before[some], cut, "<u8"), cut), *sums], ["bucket", "home", "word", "single", "several"])
 
 
 def _contexts_united(rows: pa.Table) -> pa.Table:
     """Pairs of one customer of the bucket's training words (`home` -1), and for each bucket with pairs of several the places
     of their words before, and how many there are of each."""
-    given, row = _values(rows.column("word").combine_chunks(), "<u8")
+    given, row = _places(rows, "word", "<u8")
     word, at = np.unique(given, return_inverse=True)
     several = _all(rows, "several", "<i8")
     some = several > 0
     first = np.searchsorted(np.flatnonzero(some), row)
     full = np.diff(first) > 0
     first = np.append(first[:-1][full], first[-1])
-    single = np.bincount(at, _all(rows, "single", "<i8"), len(word)).astype("<i8")
+    single = np.bincount(at, _all(rows, "single", "<i8"), len(word))
     bucket, none = rows.column("bucket")[0].as_py(), pa.nulls(1, pa.binary())
     names = ["bucket", "home", "single", "at", "several"]
-    one = pa.table([pa.array([bucket]), pa.array([-1]), pa.array([single.tobytes()], pa.binary()), none, none], names)
+    one = pa.table([pa.array([bucket]), pa.array([-1]), _whole(single, "<i8"), none, none], names)
     home = rows.column("home").to_numpy()[full]
     routes = pa.table([pa.array(np.full(len(home), bucket)), pa.array(home), pa.nulls(len(home), pa.binary()), _binary(_steps(at[some], first), first), _binary(several[some].astype("<u4"), first)], names)
     return pa.concat_tables([one, routes])
@@ -411,7 +441,7 @@ def _round(rows: pa.Table, back: pa.Table | None, held, turn: int, sweeps: int,
     y = x.seats
     sums = np.concatenate([np.bincount(y.context, y.t2, CONTEXTS), np.bincount(y.parent, y.t1, GROUPS), [y.t0.sum()], np.bincount(y.context, y.c2, CONTEXTS), [(y.c0 > 0).sum(), x.c.sum()]]).astype(np.int64)
     order, before = x.sent()
-    own, cut = _dealt(before, buckets)
+    own, cut = _dealt(x.prior[before], buckets)
     sent = pa.table([pa.array(own), pa.array(np.full(len(own), bucket)), _binary(x.t[x.many[order]].astype("<u4"), cut), pa.nulls(len(own), pa.list_(pa.int64()))], ["bucket", "home", "t", "sums"])
     none = pa.nulls(1, pa.binary())
     release()
@@ -457,11 +487,10 @@ def _predicted(rows: pa.Table, back: pa.Table, held, turn: int, buckets: int) ->
         p += x.seats.predictive(g)
         t += x.t
     p, t = p / KEPT, t / KEPT
-    whole = lambda v, kind: pa.array([v.astype(kind).tobytes()], pa.binary())
-    one = pa.table([pa.array([bucket]), pa.array([-1]), whole(x.c - DISCOUNT * t, "<f4"), whole(p[x.above], "<f4"), whole(np.add.reduceat(x.c, x.first[:-1]), "<i8")], ["bucket", "home", "a", "p", "n"])
+    one = pa.table([pa.array([bucket]), pa.array([-1]), _whole(x.c - DISCOUNT * t, "<f4"), _whole(p[x.above], "<f4"), _whole(np.add.reduceat(x.c, x.first[:-1]), "<i8")], ["bucket", "home", "a", "p", "n"])
     order, before = x.sent()
     before, at = np.unique(before, return_inverse=True)
-    own, cut = _dealt(before, buckets)
+    own, cut = _dealt(x.prior[before], buckets)
     none = pa.nulls(len(own), pa.binary())
     sent = pa.table([pa.array(own), pa.array(np.full(len(own), bucket)), _binary(np.bincount(at, t[x.many[order]], len(before)), cut), none, none], one.column_names)
     release()
@@ -475,7 +504,7 @@ def _informed(contexts: pa.Table, sent: pa.Table) -> pa.Table:
     if sent.num_rows:
         t += np.bincount(_places(routes, "at")[0], _all(sent.sort_by("home"), "a", "<f8"), len(t))
     none = pa.nulls(1, pa.binary())
-    return pa.table([contexts.column("bucket")[:1].combine_chunks(), pa.array([-2]), pa.array([t.astype("<f4").tobytes()], pa.binary()), none, none], ["bucket", "home", "a", "p", "n"])
+    return pa.table([contexts.column("bucket")[:1].combine_chunks(), pa.array([-2]), _whole(t, "<f4"), none, none], ["bucket", "home", "a", "p", "n"])
 
 
 def _known(rows: pa.Table) -> pa.Table:
@@ -486,11 +515,13 @@ def _known(rows: pa.Table) -> pa.Table:
     n = _all(pairs, "n", "<i8")
     t = np.zeros(len(n), "<f4")
     t[n > 0] = _all(rows.filter(pa.array(home == -2)), "a", "<f4")  # every training token comes before another one
-    return pa.table([*(pairs.column(c) for c in ("bucket", "n")), pa.array([t.tobytes()], pa.binary()), *(pairs.column(c) for c in ("a", "p"))], ["bucket", "n", "t", "a", "p"])
+    return pa.table([*(pairs.column(c) for c in ("bucket", "n")), _whole(t, "<f4"), *(pairs.column(c) for c in ("a", "p"))], ["bucket", "n", "t", "a", "p"])
 
 
 def _answered(routes: pa.Table, known: pa.Table) -> pa.Table:
     """For each row that was united, in its order, what is known of its words and entries."""
+    if not routes.num_rows:  # no block of this turn has words of the bucket
+        return pa.table({"to": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in "ntap"}})
     word, first = _places(routes, "words_at")
     entry, row = _places(routes, "entries_at")
     cols = [_binary(_all(known, c, k)[at], f) for c, k, at, f in (("n", "<i8", word, first), ("t", "<f4", word, first), ("a", "<f4", entry, row), ("p", "<f4", entry, row))]
@@ -502,10 +533,10 @@ def _scored(texts: pa.Table, answers: pa.Table, train: int, words: int) -> pa.Ta
     """The rows of one block with their scores."""
     answers = answers.sort_by("bucket")  # as the block's own entries lie
     n, t = _all(answers, "n", "<i8"), _all(answers, "t", "<f4")
-    doc, token, context = _block_tokens(*buffers(texts.column("text")))
-    _, own_first, before, _, entry = _entries(token, context)
+    doc, token = _block_tokens(*buffers(texts.column("text")))
+    _, own_first, before, entry = _entries(token)
     size = texts.num_rows
-    del token, context
+    del token
     logs = np.log10((_all(answers, "a", "<f4") + (STRENGTH + DISCOUNT * t[before].astype(float)) * _all(answers, "p", "<f4")) / (STRENGTH + n[before]))
     at = np.searchsorted(own_first, entry, "right") - 1  # the token's word
     total = lambda x: np.bincount(doc, x, size)
@@ -519,33 +550,55 @@ def _scored(texts: pa.Table, answers: pa.Table, train: int, words: int) -> pa.Ta
 
 def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 10 = 0") -> DataFrame:
     """Every row of `docs` with its token counts, base score and score, learned from rows not held out."""
+    conf, name = docs.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    given = conf.get(name, "false")
+    conf.set(name, "true")  # no shuffle here is read by a second action
+    try:
+        return _score(docs, held_out)
+    finally:
+        conf.set(name, given)
+
+
+def _score(docs: DataFrame, held_out: str) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = []
 
-    def placed(df: DataFrame, name: str, *by: str) -> DataFrame:
-        """Written once, in Spark's buckets, so that grouping by `by` does not move it again."""
+    turn_of = lambda block: f"cast(pmod({block} + shiftright({block}, 32), {TURNS}) as int)"
+
+    def placed(df: DataFrame | list[DataFrame], name: str, *by: str, turns: str = "") -> DataFrame:
+        """Written once (of several, one after the other), in Spark's buckets, so that grouping by `by` does not move it
+        again; with the blocks named by `turns` in a folder for each turn (rows of none in -1)."""
         made.append((f"provena_{name}_{uuid.uuid4().hex}", f"{work.folder(spark)}/provena/{name}-{uuid.uuid4().hex}"))
-        df.write.option("path", made[-1][1]).option("compression", "zstd").bucketBy(parts, *by).saveAsTable(made[-1][0])
+        for x in df if isinstance(df, list) else [df]:
+            if turns:
+                x = x.withColumn("turn", F.expr(f"if({turns} < 0, -1, {turn_of(turns)})"))
+            out = x.write.mode("append").option("path", made[-1][1]).option("compression", "zstd").bucketBy(parts, *by)
+            (out.partitionBy("turn") if turns else out).saveAsTable(made[-1][0])
         return spark.table(made[-1][0])
 
     rows = docs.selectExpr("doc_id", f"coalesce({held_out}, false) as held_out", f"coalesce(not ({held_out}), false) as learn", "coalesce(text, '') as text")
-    blocks = placed(rows.mapInArrow(_blocked, f"block long, doc_id {kind}, held_out boolean, learn boolean, text string"), "blocks", "block")
+    blocks = placed(rows.mapInArrow(_blocked, f"block long, doc_id {kind}, held_out boolean, learn boolean, text string"), "blocks", "block", turns="block")
     count = blocks.select("block").distinct().count()
-    salts, buckets = 1 + count // TOGETHER, max(parts, count)
-    counted = blocks.select("block", "learn", "text").groupBy("block").applyInArrow(lambda t: _counted(t, buckets), f"block long, {_FIELDS}")
-    salted = counted.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)))
+    salted, buckets = count >= TOGETHER, max(parts, count)
+    salt = f"{turn_of('block')} + {TURNS} * pmod(xxhash64(block), {1 + count // (TOGETHER * TURNS)})" if salted else "0L"
     fields = f"to long, {_FIELDS}, words_at binary, entries_at binary"
-    united = salted.groupBy("bucket", "salt").applyInArrow(lambda key, t: _united(t, "block").append_column("salt", pa.array(np.full(t.num_rows + 1, key[1].as_py()))), f"{fields}, salt long")
-    united = placed(united, "blocks_united", "bucket")
-    routes = united.filter("to >= 0").select("to", "bucket", "salt", "words_at", "entries_at")
-    if salts > 1:
-        again = placed(united.filter("to < 0").select("salt", *_MODEL).groupBy("bucket").applyInArrow(lambda t: _united(t, "salt"), fields), "salts_united", "bucket")
-    else:
-        again = united
-    model = again.filter("to < 0").select(*_MODEL)
+
+    def unite(blocks: DataFrame) -> DataFrame:
+        counted = blocks.select("block", "learn", "text").groupBy("block").applyInArrow(lambda t: _counted(t, buckets), f"block long, {_FIELDS}")
+        of_bucket = lambda key, t: _united(t, "block").append_column("salt", pa.array(np.full(t.num_rows + 1, key[1].as_py())))
+        return counted.withColumn("salt", F.expr(salt)).groupBy("bucket", "salt").applyInArrow(of_bucket, f"{fields}, salt long")
+
+    united = placed([unite(blocks.filter(F.col("turn") == turn)) for turn in range(TURNS)] if salted else unite(blocks), "blocks_united", "bucket", turns="to")
+    model = united.filter("turn < 0").select("salt", *_MODEL)
+    if salted:
+        path = made[-1][1]
+        again = placed(model.groupBy("bucket").applyInArrow(lambda t: _united(t, "salt"), fields), "salts_united", "bucket")
+        work.remove(spark, f"{path}/turn=-1")  # no later plan reads it
+        model = again.filter("to < 0")
+    model = model.select(*_MODEL)
     fields = "bucket long, home long, word binary, single binary, several binary"
     contexts = model.groupBy("bucket").applyInArrow(lambda t: _contexts(t, buckets), fields).groupBy("bucket").applyInArrow(_contexts_united, "bucket long, home long, single binary, at binary, several binary")
     contexts = placed(contexts, "contexts", "bucket")
@@ -575,20 +628,24 @@ def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 10 =
     fields = "n binary, t binary, a binary, p binary"
     known = final.filter("home < 0").unionByName(info).groupBy("bucket").applyInArrow(_known, f"bucket long, {fields}")
     fields = f"to long, bucket long, {fields}"
-    if salts > 1:
-        known = again.filter("to >= 0").select("to", "bucket", "words_at", "entries_at").groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answered, fields).withColumnRenamed("to", "salt")
-        answers = routes.groupBy("bucket", "salt").cogroup(known.groupBy("bucket", "salt")).applyInArrow(_answered, fields)
-    else:
-        answers = routes.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answered, fields)
-    answers = answers.withColumnRenamed("to", "block")
-    words = g.words
+    known = placed(known, "known", "bucket")
+    work.drop(final)
+    by = ["bucket", "salt"] if salted else ["bucket"]
+    words, scored = g.words, []
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    result = blocks.select("block", "doc_id", "held_out", "learn", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda left, right: _scored(left, right, train, words), out)
-    result = work.save(result, "scores")
+    for turn in range(TURNS):
+        routes = united.filter(F.col("turn") == turn).select("to", "bucket", "salt", "words_at", "entries_at")
+        mine = known
+        if salted:
+            of_turn = again.filter(f"to >= 0 and pmod(to, {TURNS}) = {turn}").select("to", "bucket", "words_at", "entries_at")
+            mine = of_turn.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answered, fields).withColumnRenamed("to", "salt")
+        answers = routes.groupBy(*by).cogroup(mine.groupBy(*by)).applyInArrow(_answered, fields).withColumnRenamed("to", "block")
+        texts = blocks.filter(F.col("turn") == turn).select("block", "doc_id", "held_out", "learn", "text")
+        scored.append(work.save(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda left, right: _scored(left, right, train, words), out), "scores"))
+    result = functools.reduce(DataFrame.union, scored)
     for name, path in made:
         spark.sql(f"drop table {name}")
         work.remove(spark, path)
-    work.drop(final)
     return result
 
 

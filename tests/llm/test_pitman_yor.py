@@ -230,3 +230,44 @@ def test_probabilities_after_a_word_sum_to_one():
         p3 = (op.STRENGTH + op.DISCOUNT * x.t[own].sum()) * p2
         p3[np.repeat(np.arange(len(x.words)), np.diff(x.first))[own]] += x.c[own] - op.DISCOUNT * x.t[own]
         assert abs(p3.sum() / (op.STRENGTH + x.c[own].sum()) - 1) < 1e-9
+
+
+def test_bytes_of_what_is_sent():
+    """What a block sends, and what is sent back, takes less than eight bytes for each (word, word before)."""
+    rng = random.Random(6)
+    vocabulary = [words(rng, 1) for _ in range(20_000)]
+    texts = [" ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(len(vocabulary))], k=2000)) for _ in range(100)]
+    text = pa.table({"block": [0] * len(texts), "learn": [True] * len(texts), "text": texts})
+    sent = op._counted(text, 8)
+    n = sum(int(op._all(r, "size", "<u4").sum()) for r in (sent.slice(i, 1) for i in range(8)))
+    assert n == len({(w, p) for t in texts for w, p in zip(tokens(t), [None, *tokens(t)], strict=False)})
+    assert sum(sent.column(c).nbytes for c in op._MODEL) < 8 * n
+    size = len(np.unique(op.tokens(*op.buffers(text.column("text")))[1]))
+    known = pa.table({"n": op._whole(np.arange(size) % 9, "<i8"), "t": op._whole(np.arange(size) % 7, "<f4"), "a": op._whole(np.full(n, 0.2), "<f4"), "p": op._whole(np.random.default_rng(1).random(n), "<f4")})
+    routes = op._united(op._counted(text, 1), "block").slice(1, 1)
+    answers = op._answered(routes, known)
+    assert (op._all(answers, "p", "<f4") == op._all(known, "p", "<f4")).all()
+    assert sum(answers.column(c).nbytes for c in "ntap") < 8 * n
+
+
+def test_packed_values():
+    for kind in ("<u4", "<u8", "<f8"):
+        values, first = np.array([7, 1, 2**31, 0, 5]).astype(kind), np.array([0, 2, 2, 5])
+        got, at = op._values(op._binary(values, first).slice(1), kind)
+        assert got.tolist() == values[2:].tolist() and at.tolist() == [0, 0, 3]
+    at, first = np.array([2**63, 2**64 - 1, 0, 3], np.uint64), np.array([0, 2, 4])
+    assert op._places(pa.table({"x": op._binary(op._steps(at, first, "<u8"), first)}), "x", "<u8")[0].tolist() == at.tolist()
+
+
+@pytest.mark.parametrize("together", [256, 1])
+def test_turns(spark, monkeypatch, together):
+    """Scores are the same in one turn and in several; no setting is left behind."""
+    monkeypatch.setattr(op, "TOGETHER", together)
+    rng = random.Random(7)
+    docs = spark.createDataFrame(make([words(rng, n) for n in range(40)]), SCHEMA).repartition(5, "doc_id").localCheckpoint()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    given, got = spark.conf.get(name), []
+    for turns in (1, 3):
+        monkeypatch.setattr(op, "TURNS", turns)
+        got.append(sorted(tuple(r) for r in op.score(docs).collect()))
+    assert got[0] == got[1] and len(got[0]) == 40 and spark.conf.get(name) == given
